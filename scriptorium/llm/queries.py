@@ -42,6 +42,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.jaccard import near_groups
+
+    return near_groups(_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 ORACLE_OP6 = """
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents)
 SELECT doc_id, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
@@ -51,7 +57,7 @@ FROM d
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sharding, op4_best_fit_packing, op6_exact_dedup, op8_quality_classifier)}
+    return {f.__name__: f for f in (op1_sharding, op4_best_fit_packing, op6_exact_dedup, op8_quality_classifier, op9_ngram_jaccard_join)}
 
 
 def oracle_sql() -> dict[str, str]:
