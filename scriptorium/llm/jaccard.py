@@ -145,16 +145,18 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def _further_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough tokens under every further order."""
+    """Pairs that share enough tokens under every further order; only prefixes of some pair are moved."""
     names = [f"further{k}" for k in range(FURTHER_ORDERS)]
-    side = lambda at: prefixes.select(F.col("node").alias(at), F.struct("n", *names).alias(f"{at}s")).dropDuplicates([at])
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    wanted = probe_filter(prefixes.select("node", "n", *names), bitmap_filter(nodes, positive_hash("node")), positive_hash("node")).where("maybe")
+    side = lambda at: wanted.select(F.col("node").alias(at), F.struct("n", *names).alias(f"{at}s"))
     both = pairs.join(side("x"), "x").join(side("y"), "y")
     needed = F.ceil((F.col("xs.n") + F.col("ys.n")) * percent / (100 + percent) - F.lit(1e-9))
     bound = F.least(*[F.floor(F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100 - F.lit(1e-9)) + 1) - (F.col(f"{s}.n") - needed) for s in ("xs", "ys")])
     kept = both.withColumn("bound", bound)
     for name in names:
         kept = kept.where(F.size(F.array_intersect(f"xs.{name}", f"ys.{name}")) >= F.col("bound"))
-    return kept.select("x", "y")
+    return kept.select("x", "y").distinct()
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -217,7 +219,7 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
     starred = _pairs(hot.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & other & _enough_left(percent)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = checkpointed(_further_orders(pairs.distinct(), prefixes, percent))
+        likely = checkpointed(_further_orders(checkpointed(pairs.distinct()), prefixes, percent))
         return checkpointed(_verify(likely, docs, words, percent))
 
     found = verified(rare.unionByName(starred))
@@ -246,7 +248,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     rows = measured.where("n >= 0").select("doc_id", "n", "key")
     frequent = _frequent(measured)
     classes = rows.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"))
-    mapped = checkpointed(rows.join(classes.where("copies > 1").select("key", "node"), "key", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
+    several = checkpointed(classes.where("copies > 1").select("key", "node"))
+    mapped = checkpointed(rows.join(several, "key", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
 
     copies = mapped.where("node <> doc_id").select("doc_id").distinct()
     probed = probe_filter(known, bitmap_filter(copies, positive_hash("doc_id")), positive_hash("doc_id"))
