@@ -20,6 +20,92 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of all documents, decoded again: counts, digests and whether nothing was lost."""
+    import public_tokenizers
+
+    from scriptorium.llm.piece_sampling import decode_ids, encode_sampled
+
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    rows = decode_ids(encode_sampled(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    text = F.coalesce("text", F.lit(""))
+    return rows.select(
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
+        (F.col("decoded") == text).alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def list_entries(pages: DataFrame) -> DataFrame:
+    """A dated URL list made from the pages' own hosts by rule: the public tables have none.
+
+    A host's md5 decides whether it is blocked or allowed, as host or as domain, from which day, and
+    whether the entry was removed later; one page in 16 has a dated entry of its first path segments.
+    """
+    from scriptorium.llm.url_filter import host_of
+
+    seen = pages.select(host_of(F.col("url")).alias("host"), F.regexp_extract("url", PREFIX, 1).alias("prefix")).where("host <> ''")
+    rule = lambda name: F.conv(F.substring(F.md5(name), 1, 7), 16, 10).cast("long")
+    h = rule("pattern")
+    hosts = seen.select(F.col("host").alias("pattern"), F.when(rule("host") % 2 == 0, "host").otherwise("domain").alias("kind")).distinct().where(h % 4 != 3)
+    paths = seen.where("prefix <> ''").select(F.col("prefix").alias("pattern"), F.lit("prefix").alias("kind")).distinct().where(h % 16 == 5)
+    base = hosts.unionByName(paths).select(
+        "kind", "pattern", F.when(h % 5 == 0, "allow").otherwise("block").alias("verdict"),
+        F.concat(F.lit("c"), (h % 7).cast("string")).alias("category"), F.date_add(F.lit("2024-01-01").cast("date"), (h % 300).cast("int")).alias("day"),
+    )
+    gone = base.where(h % 3 == 0).withColumn("day", F.date_add("day", (20 + h % 60).cast("int")))
+    return base.withColumn("action", F.lit("add")).unionByName(gone.withColumn("action", F.lit("remove")))
+
+
+PREFIX = "//([^/?#]+/[^/?#]+/[0-9]+)"
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as captures, fetched on a day by page_id, against the dated list made from their hosts."""
+    from scriptorium.llm.url_filter import judge
+
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    fetched = F.date_add(F.lit("2024-01-01").cast("date"), F.pmod("page_id", F.lit(366)).cast("int"))
+    return judge(pages.select(F.col("page_id").alias("capture_id"), "url", fetched.alias("fetched")), list_entries(pages)).withColumnRenamed("capture_id", "page_id")
+
+
+ORACLE_OP3 = """
+WITH p AS (
+  SELECT page_id, CAST('2024-01-01' AS DATE) + CAST(page_id % 366 AS INTEGER) AS fetched,
+         lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
+         list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:8] AS segments,
+         regexp_extract(url, '//([^/?#]+/[^/?#]+/[0-9]+)', 1) AS prefix
+  FROM pages
+), names AS (
+  SELECT DISTINCT host AS pattern, CASE WHEN CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) % 2 = 0 THEN 'host' ELSE 'domain' END AS kind FROM p WHERE host <> '' AND CAST('0x' || substr(md5(host), 1, 7) AS BIGINT) % 4 <> 3
+  UNION ALL
+  SELECT DISTINCT prefix, 'prefix' FROM p WHERE prefix <> '' AND CAST('0x' || substr(md5(prefix), 1, 7) AS BIGINT) % 16 = 5
+), base AS (
+  SELECT kind, pattern, CASE WHEN CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 5 = 0 THEN 'allow' ELSE 'block' END AS verdict, 'c' || (CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 7) AS category,
+         CAST('2024-01-01' AS DATE) + CAST(CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 300 AS INTEGER) AS since,
+         CASE WHEN CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 3 = 0 THEN CAST('2024-01-01' AS DATE) + CAST(CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 300 + 20 + CAST('0x' || substr(md5(pattern), 1, 7) AS BIGINT) % 60 AS INTEGER) END AS until,
+         CASE kind WHEN 'host' THEN 'h:' WHEN 'domain' THEN 'd:' ELSE 'p:' END || pattern AS key
+  FROM names
+), asked AS (
+  SELECT page_id, fetched, 'h:' || host AS key, 1000 AS rank FROM p
+  UNION ALL
+  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[-k:], '.'), k FROM p, range(1, 20) r(k) WHERE k <= len(string_split(host, '.'))
+  UNION ALL
+  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(segments[1:k], '/'), 1000 + k FROM p, range(1, 9) r(k) WHERE k <= len(segments)
+), hit AS (
+  SELECT page_id, base.*, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, since DESC, verdict = 'block' DESC, category DESC, base.key DESC) AS n
+  FROM asked JOIN base ON asked.key = base.key AND since <= fetched AND (until IS NULL OR fetched < until)
+)
+SELECT p.page_id, p.host, coalesce(verdict, 'none') AS verdict, key AS entry, category, since AS active_since
+FROM p LEFT JOIN hit ON hit.page_id = p.page_id AND n = 1
+"""
+
+
+def op7_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.html_text import extract
+
+    return extract(_table(spark, sf_dir, "pages")).select("page_id", "visible", F.char_length("visible").cast("long").alias("n_chars"))
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -91,10 +177,10 @@ FROM d
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_sharding, op4_best_fit_packing, op5_chat_formatting, op6_exact_dedup, op8_quality_classifier,
-        op9_ngram_jaccard_join, op10_document_fingerprints,
+        op1_sharding, op2_sentencepiece_sampling, op3_url_filters, op4_best_fit_packing, op5_chat_formatting, op6_exact_dedup,
+        op7_html_extraction, op8_quality_classifier, op9_ngram_jaccard_join, op10_document_fingerprints,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6}
+    return {"op3_url_filters": ORACLE_OP3, "op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6}
