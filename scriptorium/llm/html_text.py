@@ -31,8 +31,8 @@ IMPLIED_END = {
     **dict.fromkeys("dt dd".split(), (frozenset({"dt", "dd"}), frozenset({"dl"}))),
     **dict.fromkeys("option optgroup".split(), (frozenset({"option"}), frozenset({"select"}))),
     **dict.fromkeys("td th".split(), (frozenset({"td", "th"}), frozenset({"tr", "table"}))),
-    "tr": (frozenset({"td", "th", "tr"}), frozenset({"table"})),
-    **dict.fromkeys("thead tbody tfoot".split(), (frozenset("td th tr thead tbody tfoot caption".split()), frozenset({"table"}))),
+    "tr": (frozenset({"td", "th", "tr", "caption", "colgroup"}), frozenset({"table"})),
+    **dict.fromkeys("thead tbody tfoot".split(), (frozenset("td th tr thead tbody tfoot caption colgroup".split()), frozenset({"table"}))),
 }
 ENDS_PARAGRAPH = BLOCK - frozenset("td th tr tbody thead tfoot body html".split())
 _TOKEN = re.compile(
@@ -81,6 +81,10 @@ def parse(source: str) -> Node:
             _close(stack, frozenset({"p"}), frozenset({"td", "th", "table", "button", "li", "dd", "dt"}))
         if tag in IMPLIED_END:
             _close(stack, *IMPLIED_END[tag])
+        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            row = Node("tr")
+            stack[-1].children.append(row)
+            stack.append(row)
         attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found[3])} if found[3] else {}
         node = Node(tag, attributes)
         stack[-1].children.append(node)

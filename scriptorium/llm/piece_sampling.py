@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ALPHA, OFFSET, SEED = 1.0, 3.0, 1
+ALPHA, OFFSET, SEED = 0.5, 3.0, 1
 MARK = "▁"
 CACHE_WORDS = 300_000
 #: Characters that are sampled together.
