@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import text_of
+from scriptorium.llm.runtime import bitmap_filter, positive_hash, probe_filter, text_of
 
 WORDS = 5
 #: One hash in eight is kept.
@@ -95,22 +95,21 @@ def _next_bucket(tops: DataFrame, width: int, levels: int) -> DataFrame:
     )
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id, ``columns``) with ``next_*``: those of the next row, descending doc_id, then cyclic.
+def with_next(docs: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, text) sketched, with ``next_*`` of the next row, descending doc_id, then cyclic.
 
-    Rows cross the network once, to their bucket of identifiers. A bucket's last row takes the head of
-    the next bucket, which is joined to it.
+    Rows cross the network once, to their bucket of identifiers. The head of the next bucket, needed by
+    a bucket's last row, joins it as a guest: a bitmap of bounded size picks the heads out of a scan.
     """
-    bucket = F.floor(F.col("doc_id") / BUCKET_IDS).cast("long")
-    order = Window.partitionBy("bucket").orderBy(F.desc("doc_id"), *columns)
-    whole = F.struct("doc_id", *columns)
-    rows = docs.withColumn("bucket", bucket).withColumn("n", F.row_number().over(order)).withColumn("next", F.lead(whole).over(order))
-    inside = rows.where("next IS NOT NULL").select("doc_id", *columns, "next")
     first = docs.agg(F.max("doc_id")).first()[0]
-    guests = _heads(docs).select("bucket", F.coalesce("guest", F.lit(first)).alias("guest"))
-    heads = rows.where("n = 1").select(F.col("doc_id").alias("guest"), whole.alias("next"))
-    last = rows.where("next IS NULL").drop("next").join(guests, "bucket").join(heads, "guest").select("doc_id", *columns, "next")
-    return inside.unionByName(last).select("doc_id", *columns, *[F.col(f"next.{c}").alias(f"next_{c}") for c in columns])
+    guests = _heads(docs).select("bucket", F.coalesce("guest", F.lit(first)).alias("doc_id"))
+    heads = probe_filter(docs, bitmap_filter(guests, positive_hash("doc_id")), positive_hash("doc_id")).where("maybe").drop("maybe")
+    bucket = F.floor(F.col("doc_id") / BUCKET_IDS).cast("long")
+    rows = with_sketch(docs, "text", "own").withColumns({"bucket": bucket, "guest": F.lit(0)})
+    rows = rows.unionByName(with_sketch(heads.join(guests, "doc_id"), "text", "own").withColumn("guest", F.lit(1)))
+    order = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), "text")
+    following = F.lead(F.struct("text", "own_limit", "own_hashes")).over(order)
+    return rows.withColumn("next", following).where("guest = 0").select("doc_id", "text", "own_limit", "own_hashes", *[F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "own_limit", "own_hashes")])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -122,7 +121,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    rows = with_next(with_sketch(rows, "text", "own"), ["text", "own_limit", "own_hashes"])
+    rows = with_next(rows)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.col("n_chars").cast("int") - third), F.substring("next_text", F.lit(1), third))
