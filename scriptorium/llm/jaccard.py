@@ -26,7 +26,8 @@ LOCAL_COUNT = 3
 #: From this count on a token sorts behind the rare ones; at most so many tokens are told to the
 #: tasks (4 MB). Tokens beyond count as rare, which costs time but no pair.
 FREQUENT_COUNT, FREQUENT_TOKENS = 12, 1 << 18
-FURTHER_ORDERS = 2
+#: Of each further order a prefix so many times as long is kept, of every token 16 bits.
+FURTHER_PREFIXES = (1, 4)
 CACHE_WORDS = 300_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5], np.uint64)
@@ -119,17 +120,20 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
                     rank = np.where(tokens[at] == s, classes[at], rank)
                 found = []
-                for k in range(1 + FURTHER_ORDERS):
+                for k, times in enumerate((1, *FURTHER_PREFIXES)):
+                    size = min(len(s), p * times)
                     key = (rank << np.uint64(58)) | (_mix(s + _SEEDS[k]) >> np.uint64(6))
-                    first = np.argpartition(key, p - 1)[:p] if p < len(s) else np.arange(len(s))
-                    first = first[np.argsort(key[first])]
-                    found.append(s[first].view(np.int64))
+                    first = np.argpartition(key, size - 1)[:size] if size < len(s) else np.arange(len(s))
                     if k == 0:
+                        first = first[np.argsort(key[first])]
                         cold = int((rank[first] == 0).sum())
+                        found.append(s[first].view(np.int64))
+                    else:
+                        found.append(np.unique(s[first].astype(np.uint16)).view(np.int16))
                 out.append((node, len(s), cold, *found))
-            yield pd.DataFrame(out, columns=["node", "n", "cold", "first", *(f"further{k}" for k in range(FURTHER_ORDERS))])
+            yield pd.DataFrame(out, columns=["node", "n", "cold", "first", *(f"further{k}" for k in range(len(FURTHER_PREFIXES)))])
 
-    kinds = ", ".join(f"further{k} array<long>" for k in range(FURTHER_ORDERS))
+    kinds = ", ".join(f"further{k} array<short>" for k in range(len(FURTHER_PREFIXES)))
     return docs.select("doc_id", "text").mapInPandas(run, f"node long, n long, cold long, first array<long>, {kinds}")
 
 
@@ -145,18 +149,23 @@ def _pairs(joined: DataFrame) -> DataFrame:
 
 
 def _further_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> DataFrame:
-    """Pairs that share enough tokens under every further order; only prefixes of some pair are moved."""
-    names = [f"further{k}" for k in range(FURTHER_ORDERS)]
-    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-    wanted = probe_filter(prefixes.select("node", "n", *names), bitmap_filter(nodes, positive_hash("node")), positive_hash("node")).where("maybe")
-    side = lambda at: wanted.select(F.col("node").alias(at), F.struct("n", *names).alias(f"{at}s"))
-    both = pairs.join(side("x"), "x").join(side("y"), "y")
-    needed = F.ceil((F.col("xs.n") + F.col("ys.n")) * percent / (100 + percent) - F.lit(1e-9))
-    bound = F.least(*[F.floor(F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * percent / 100 - F.lit(1e-9)) + 1) - (F.col(f"{s}.n") - needed) for s in ("xs", "ys")])
-    kept = both.withColumn("bound", bound)
-    for name in names:
-        kept = kept.where(F.size(F.array_intersect(f"xs.{name}", f"ys.{name}")) >= F.col("bound"))
-    return kept.select("x", "y").distinct()
+    """Pairs that share enough tokens under every further order, one order after the other.
+
+    If two sets are similar enough, their first ``bound`` common tokens are in both prefixes. Tokens are
+    compared by 16 bits; a set's prefix that has fewer distinct ones than tokens lowers the bound. Only
+    prefixes of some pair are moved.
+    """
+    for k, times in enumerate(FURTHER_PREFIXES):
+        nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+        wanted = probe_filter(prefixes.select("node", "n", f"further{k}"), bitmap_filter(nodes, positive_hash("node")), positive_hash("node")).where("maybe")
+        length = F.least("n", F.lit(times) * (F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1))
+        side = lambda at: wanted.select(F.col("node").alias(at), F.col("n").alias(f"{at}_n"), length.alias(f"{at}_length"), F.col(f"further{k}").alias(f"{at}_tokens"))  # noqa: B023, E731
+        both = pairs.join(side("x"), "x").join(side("y"), "y")
+        needed = F.expr(f"((x_n + y_n) * {percent} + {99 + percent}) div {100 + percent}")
+        bound = F.least(*[F.col(f"{s}_length") - (F.col(f"{s}_n") - needed) for s in "xy"])
+        lost = F.col("x_length") - F.size("x_tokens")
+        pairs = checkpointed(both.where(F.size(F.array_intersect("x_tokens", "y_tokens")) >= bound - lost).select("x", "y").distinct())
+    return pairs
 
 
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -219,7 +228,7 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
     starred = _pairs(hot.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & other & _enough_left(percent)))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        likely = checkpointed(_further_orders(checkpointed(pairs.distinct()), prefixes, percent))
+        likely = _further_orders(checkpointed(pairs.distinct()), prefixes, percent)
         return checkpointed(_verify(likely, docs, words, percent))
 
     found = verified(rare.unionByName(starred))
