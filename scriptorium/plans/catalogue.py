@@ -1,4 +1,8 @@
-"""Every query of the library by name, with the SQL that states it where SQL can."""
+"""Every query of the library by name, with the SQL that states it where SQL can.
+
+A query runs over the whole of its table; rules that the synthetic tables never trigger run over invented
+rows too (``fixtures``), which are the same in both engines.
+"""
 
 from __future__ import annotations
 
@@ -7,18 +11,592 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FLAGSHIP = "document_language_counts"
+from scriptorium.functions import patterns as P
+from scriptorium.functions import vocabulary as V
+from scriptorium.operators import (
+    entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, redaction, rendering, sessions, severity, timeline,
+)
+from scriptorium.plans import fixtures as X
+
+FLAGSHIP = "redaction_summary"
+AS_OF = "2026-11-01"
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_oracles: dict[str, str] = {}
 
 
-def document_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count("*").alias("documents"))
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(made: Query) -> Query:
+        _queries[made.__name__] = made
+        if sql is not None:
+            _oracles[made.__name__] = sql
+        return made
+
+    return add
 
 
 def queries() -> dict[str, Query]:
-    return {"document_language_counts": document_language_counts}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"document_language_counts": "SELECT lang, count(*) AS documents FROM documents GROUP BY lang"}
+    return dict(_oracles)
+
+
+def _docs(spark: SparkSession, sf_dir: str, fixture: X.Relation | None = None) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    return docs.unionByName(fixture.frame(spark)) if fixture else docs
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    return turns.unionByName(X.MESSAGES.frame(spark))
+
+
+def _text(pattern: str) -> str:
+    """A pattern as an SQL string."""
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+DOCS_AND_CONTACT = f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {X.CONTACT.sql})"
+MESSAGES_SQL = f"m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM {X.MESSAGES.sql})"
+
+_BLANK = "[^\\S\n]"
+_HANDLE = rf"(?im)^({_BLANK}*(?:{P.HANDLE_KEYS}){_BLANK}*[:\-–|]{_BLANK}*)(\S.*)$"
+
+# --- extraction ---
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, text, list_filter(string_split_regex(text, '\s+'), lambda w: w <> '') AS w FROM documents)
+SELECT doc_id, length(regexp_replace(text, '^\s+|\s+$', '', 'g')) >= 120 AS ok,
+       CASE WHEN length(regexp_replace(text, '^\s+|\s+$', '', 'g')) < 120 THEN 'too_little_text' END AS error, length(text) AS char_count,
+       round(CASE WHEN text = '' THEN 1.0 ELSE (length(text) - length(replace(text, ' ', ''))) / length(text) END, 6) AS space_share,
+       round(CASE WHEN len(w) = 0 THEN 1.0 ELSE len(list_filter(w, lambda x: length(x) = 1)) / len(w) END, 6) AS fragment_share
+FROM t
+""")
+def extract_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extraction.extract_gate(_docs(spark, sf_dir)).drop("text")
+
+
+@query("""
+SELECT doc_id, len(string_split(text, chr(10))) - CASE WHEN text LIKE '%' || chr(10) THEN 1 ELSE 0 END AS n_lines,
+       list_max(list_transform(string_split(text, chr(10)), lambda x: length(x))) AS longest FROM documents
+""")
+def line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines_of(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.char_length("line")).cast("long").alias("longest"))
+
+
+@query("SELECT lang, count(*) AS documents FROM documents GROUP BY lang")
+def document_language_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").agg(F.count("*").alias("documents"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {X.ICONS.sql} WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k - 1 AS line_no, ls[k] AS line FROM t, range(1, 20) r(k) WHERE k <= len(ls)
+      UNION ALL SELECT doc_id, 0, '' FROM {X.ICONS.sql} WHERE text IS NULL)
+SELECT doc_id, line_no, regexp_matches(line, '[-]') AS had_icon,
+       CASE WHEN regexp_matches(line, '[-]') THEN ltrim(regexp_replace(line, '[-]', '', 'g'), chr(9) || ' ' || chr(160)) ELSE line END AS line FROM l
+""")
+def private_use_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.private_use_stripped(lines.lines_of(X.ICONS.frame(spark))).select("doc_id", F.col("line_no").cast("long").alias("line_no"), "had_icon", "line")
+
+
+# --- personal data ---
+
+
+@query()
+def redaction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents and the fixture through every layer: categories, what is left, size of the text."""
+    rows = redaction.redact(_docs(spark, sf_dir, X.CONTACT), AS_OF)
+    return rows.select("doc_id", "categories", "residual", "degraded", F.char_length("redacted").alias("n_chars"), F.md5("redacted").alias("redacted_md5"))
+
+
+@query(rf"""
+SELECT lang, count(*) AS documents, CAST(sum(len(regexp_extract_all(text, {_text(P.EMAIL)}))) AS BIGINT) AS emails FROM documents GROUP BY lang
+""")
+def email_counts_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("lang").agg(F.count("*").alias("documents"), F.sum(F.size(F.regexp_extract_all("text", F.lit(P.EMAIL), 0))).alias("emails"))
+
+
+@query(rf"""
+WITH {DOCS_AND_CONTACT}
+SELECT doc_id, md5(regexp_replace(coalesce(text, ''), {_text(P.EMAIL)}, '[EMAIL REDACTED]', 'g')) AS redacted FROM docs
+""")
+def email_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", F.md5(redaction.emails(F.coalesce("text", F.lit("")))).alias("redacted"))
+
+
+@query(rf"""
+WITH {DOCS_AND_CONTACT}
+SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), {_text('(?i)' + P.PROFILE)}, '[PROFILE LINK REDACTED]', 'g'),
+       {_text(_HANDLE)}, '\1[PROFILE LINK REDACTED]', 'g')) AS redacted FROM docs
+""")
+def profile_and_handle_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", F.md5(redaction.handles(redaction.profiles(F.coalesce("text", F.lit(""))))).alias("redacted"))
+
+
+@query(rf"""
+WITH {DOCS_AND_CONTACT}
+SELECT doc_id, md5(regexp_replace(regexp_replace(coalesce(text, ''), {_text(P.IBAN)}, '[BANK DETAILS REDACTED]', 'g'),
+       {_text(rf'(?im)^.*\b(?:{P.ID_KEYS})\b.*$')}, '[ID NUMBER REDACTED]', 'g')) AS redacted FROM docs
+""")
+def iban_and_id_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", F.md5(redaction.id_numbers(redaction.bank_details(F.coalesce("text", F.lit(""))))).alias("redacted"))
+
+
+@query(rf"""
+SELECT doc_id, regexp_replace(coalesce(text, ''), {_text(rf'(?im)^({_BLANK}*(?:{P.FIELD_KEYS}){_BLANK}*[:：]{_BLANK}*)(\S.*)$')}, '\1[CONTACT DETAILS REMOVED]', 'g') AS redacted
+FROM {X.CONTACT.sql}
+""")
+def labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.CONTACT.frame(spark).select("doc_id", redaction.labelled_fields(F.coalesce("text", F.lit(""))).alias("redacted"))
+
+
+@query()
+def phone_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", (redaction.phones(text) != text).alias("has_phone"), F.md5(redaction.phones(text)).alias("redacted"))
+
+
+@query()
+def address_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", F.md5(redaction.addresses(text)).alias("redacted"))
+
+
+@query()
+def birth_date_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.CONTACT.frame(spark).select("doc_id", redaction.birth_dates(F.coalesce("text", F.lit("")), AS_OF).alias("redacted"))
+
+
+@query("WITH " + DOCS_AND_CONTACT + " SELECT doc_id, array_to_string(list_filter([" + ", ".join(
+    f"CASE WHEN regexp_matches(coalesce(text, ''), {_text(('(?i)' if i else '') + p)}) THEN '{c}' END" for c, p, i in redaction.RESIDUAL if c != "address") + "], lambda c: c IS NOT NULL), ',') AS residual FROM docs")
+def residual_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = F.filter(redaction.residual(F.coalesce("text", F.lit(""))), lambda c: c != "address")
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", F.array_join(found, ",").alias("residual"))
+
+
+# --- headings, sections, entries ---
+
+_VOCABULARY = X.Relation("variant string, display string, category string", list({v: (v, d, c) for d, c, vs in reversed(V.HEADINGS) for v in reversed(vs.split(", "))}.values()))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM {X.CV.sql} WHERE text IS NOT NULL),
+l AS (SELECT doc_id, k - 1 AS line_no, ls[k] AS line FROM t, range(1, 60) r(k) WHERE k <= len(ls)),
+s AS (SELECT *, lower(trim(line, ' :.-–—*•·|')) AS value FROM l WHERE length(trim(line)) BETWEEN 3 AND 60 AND NOT regexp_matches(trim(line), '^[\-–—•·*▪◦‣]')
+      AND NOT regexp_matches(trim(line), '[.;,]$') AND NOT regexp_matches(line, '(?:19|20)\d\d') AND len(string_split_regex(trim(line), '\s+')) <= 6),
+v AS (SELECT * FROM {_VOCABULARY.sql.replace("AS fixture", "AS voc")}),
+q AS (SELECT doc_id, line_no, line, 0 AS pass, value AS asked FROM s UNION ALL
+      SELECT doc_id, line_no, line, 1, regexp_replace(value, '^(?:(?:{"|".join(V.QUALIFIERS)}) )+', '') FROM s UNION ALL
+      SELECT doc_id, line_no, line, 3, lower(trim(regexp_extract(trim(line), '^\S\S?\s+(\S.*)$', 1), ' :.-–—*•·|')) FROM s)
+SELECT doc_id, line_no, line, arg_min(display, pass) AS display, arg_min(category, pass) AS category, CASE WHEN min(pass) = 3 THEN 'icon' END AS damage
+FROM q JOIN v ON variant = asked GROUP BY doc_id, line_no, line
+""")
+def heading_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = headings.identify(lines.lines_of(X.CV.frame(spark)), V.heading_table(spark))
+    return found.withColumn("line_no", F.col("line_no").cast("long"))
+
+
+@query()
+def heading_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.identify(lines.lines_of(X.DAMAGED.frame(spark)), V.heading_table(spark))
+
+
+@query()
+def document_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.identify(lines.lines_of(_docs(spark, sf_dir, X.CV)), V.heading_table(spark))
+
+
+@query(f"""
+WITH h AS (SELECT * FROM {X.HEADINGS_FOUND.sql}), n AS (SELECT doc_id, max(line_no) + 1 AS size FROM {X.PLAIN_LINES.sql} GROUP BY doc_id)
+SELECT doc_id, row_number() OVER w - 1 AS sec_no, line_no, display, category, line_no + 1 AS body_from, coalesce(lead(line_no) OVER w, size) AS body_to
+FROM h JOIN n USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)
+""")
+def section_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.sections(X.HEADINGS_FOUND.frame(spark), X.PLAIN_LINES.frame(spark))
+
+
+@query(f"""
+WITH h AS (SELECT * FROM {X.HEADINGS_FOUND.sql}), l AS (SELECT * FROM {X.PLAIN_LINES.sql})
+SELECT l.doc_id, l.line_no, l.line, arg_max(h.display, h.line_no) AS section, arg_max(h.category, h.line_no) AS category, max(h.line_no) AS heading_line
+FROM l LEFT JOIN h ON h.doc_id = l.doc_id AND h.line_no <= l.line_no
+WHERE NOT EXISTS (SELECT 1 FROM h x WHERE x.doc_id = l.doc_id AND x.line_no = l.line_no) GROUP BY ALL
+""")
+def lines_under_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.lines_with_section(X.PLAIN_LINES.frame(spark), X.HEADINGS_FOUND.frame(spark))
+
+
+_EXPECTED = X.Relation("section string, category string", [(s, c) for s, cs in V.REPORT_SECTIONS for c in cs])
+
+
+@query(f"""
+SELECT d.doc_id, e.section FROM (SELECT DISTINCT doc_id FROM {X.PLAIN_LINES.sql}) d CROSS JOIN (SELECT DISTINCT section FROM {_EXPECTED.sql}) e
+WHERE NOT EXISTS (SELECT 1 FROM {_EXPECTED.sql.replace("fixture", "x")} JOIN {X.HEADINGS_FOUND.sql.replace("fixture", "h")} ON h.category = x.category
+                  WHERE x.section = e.section AND h.doc_id = d.doc_id)
+""")
+def missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return headings.missing_sections(X.PLAIN_LINES.frame(spark), X.HEADINGS_FOUND.frame(spark), _EXPECTED.frame(spark))
+
+
+@query(rf"""
+WITH docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {X.CV.sql}),
+t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM docs), l AS (SELECT doc_id, unnest(ls) AS line FROM t)
+SELECT doc_id, regexp_extract(line, '^\s*([^\p{{L}}\p{{N}}_\s])\s+\S', 1) AS marker, count(*) AS uses FROM l
+WHERE regexp_extract(line, '^\s*([^\p{{L}}\p{{N}}_\s])\s+\S', 1) <> '' GROUP BY ALL HAVING count(*) >= 3
+""")
+def learned_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.learned_markers(lines.lines_of(_docs(spark, sf_dir, X.CV)))
+
+
+@query()
+def cv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = lines.lines_of(X.CV.frame(spark))
+    found = headings.lines_with_section(body, headings.identify(body, V.heading_table(spark)))
+    return entries.entries_of(found.where("section IS NOT NULL"))
+
+
+# --- dates ---
+
+_MONTHS = X.Relation("name string, number int", list(V.MONTH_NUMBERS.items()))
+_PLAIN_RANGE = rf"(?i)({P.ENDPOINT}){P.SEPARATOR}(?:{P.END_QUALIFIER})?({P.ENDPOINT}|(?:{P.PRESENT}))"
+
+
+def _endpoint_sql(token: str, widest: int) -> str:
+    numeric, named = r"'^(\d{1,2})\s*[./]\s*((?:19|20)\d{2})$'", r"'^([A-Za-zÀ-ÖØ-öø-ÿ0-9]{3,9})\.?[,/-]?\s*((?:19|20)\d{2})$'"
+    month = f"(SELECT number FROM months WHERE name = lower(regexp_extract({token}, {named}, 1)))"
+    return f"""CASE WHEN regexp_full_match({token}, '(?i){P.PRESENT}') THEN 2026 * 12 + 11
+      WHEN regexp_matches({token}, {numeric}) THEN CAST(regexp_extract({token}, {numeric}, 2) AS INT) * 12 + CAST(regexp_extract({token}, {numeric}, 1) AS INT)
+      WHEN regexp_matches({token}, {named}) THEN CAST(regexp_extract({token}, {named}, 2) AS INT) * 12 + coalesce({month}, {widest})
+      ELSE CAST({token} AS INT) * 12 + {widest} END"""
+
+
+@query(rf"""
+WITH months AS (SELECT * FROM {_MONTHS.sql}),
+m AS (SELECT *, regexp_extract_all(line, {_text(_PLAIN_RANGE)}, 0) AS raws, regexp_extract_all(line, {_text(_PLAIN_RANGE)}, 1) AS starts, regexp_extract_all(line, {_text(_PLAIN_RANGE)}, 2) AS ends
+      FROM {X.RANGE_LINES.sql}),
+r AS (SELECT doc_id, line_no, k - 1 AS pos, trim(raws[k]) AS raw, trim(starts[k]) AS a, trim(ends[k]) AS b FROM m, range(1, 5) x(k) WHERE k <= len(raws)),
+i AS (SELECT doc_id, line_no, pos, raw, {_endpoint_sql("a", 1)} AS s, {_endpoint_sql("b", 12)} AS e FROM r)
+SELECT * FROM i WHERE e >= s
+""")
+def date_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.ranges_of(X.RANGE_LINES.frame(spark), AS_OF).select("doc_id", "line_no", F.col("pos").cast("long").alias("pos"), "raw", "s", "e")
+
+
+@query(rf"""
+WITH l AS (SELECT *, nullif(regexp_extract(line, {_text(rf'^\s*({P.ENDPOINT})\s*$')}, 1), '') AS bare FROM {X.SPLIT_LINES.sql}),
+g AS (SELECT *, count(*) FILTER (bare IS NULL) OVER (PARTITION BY doc_id ORDER BY line_no) AS island FROM l),
+n AS (SELECT *, row_number() OVER w AS n, lead(bare) OVER w AS nxt FROM g WINDOW w AS (PARTITION BY doc_id, island, bare IS NULL ORDER BY line_no))
+SELECT doc_id, line_no, CASE WHEN bare IS NOT NULL AND n % 2 = 1 AND nxt IS NOT NULL THEN bare || ' - ' || nxt ELSE line END AS line FROM n WHERE bare IS NULL OR n % 2 = 1
+""")
+def split_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.join_split_ranges(X.SPLIT_LINES.frame(spark))
+
+
+@query(f"""
+WITH r AS (SELECT * FROM {X.RANGES.sql}), a AS (SELECT *, lead(s) OVER w ns, lead(e) OVER w ne, lead(raw) OVER w nraw, lead(months_explicit) OVER w nx FROM r
+           WINDOW w AS (PARTITION BY doc_id ORDER BY s, e, raw))
+SELECT doc_id, 'overlap' AS kind, raw AS first, nraw AS second, NULL AS months FROM a
+WHERE e > ns AND months_explicit AND nx AND NOT (s <= ns AND ne <= e) AND NOT (ns <= s AND e <= ne)
+UNION ALL SELECT doc_id, 'gap', raw, nraw, ns - e FROM a WHERE ns - e > 6
+""")
+def timeline_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.findings(X.RANGES.frame(spark), "doc_id")
+
+
+@query(f"""
+WITH r AS (SELECT doc_id doc, section sec, raw, s, e FROM {X.RANGES.sql}),
+adj AS (SELECT *, lead(s) OVER w ns, lead(raw) OVER w nraw FROM r WINDOW w AS (PARTITION BY doc, sec ORDER BY s, e, raw)),
+g AS (SELECT doc, sec, raw, nraw, e gs, ns ge FROM adj WHERE ns - e > 6),
+c AS (SELECT g.*, greatest(g.gs, o.s) cs, least(g.ge, o.e) ce FROM g JOIN r o ON o.doc = g.doc AND o.s < g.ge AND o.e > g.gs
+      AND o.raw NOT IN (SELECT x.raw FROM r x WHERE x.doc = g.doc AND x.sec = g.sec)
+      UNION ALL SELECT g.*, gs, gs FROM g UNION ALL SELECT g.*, ge, ge FROM g),
+m AS (SELECT *, max(ce) OVER (PARTITION BY doc, sec, raw, nraw ORDER BY cs, ce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) pe FROM c)
+SELECT doc AS doc_id, sec AS section, raw AS first, nraw AS second, max(cs - pe) AS unexplained FROM m GROUP BY ALL HAVING max(cs - pe) >= 6
+""")
+def uncovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.uncovered_runs(X.RANGES.frame(spark))
+
+
+@query(f"""
+WITH n AS (SELECT *, lead(s) OVER w ns, lead(e) OVER w ne, lead(raw) OVER w nraw FROM {X.RANGES.sql} WINDOW w AS (PARTITION BY doc_id, section ORDER BY entry_no))
+SELECT doc_id, section, arg_min(raw, entry_no) AS earlier, arg_min(nraw, entry_no) AS later FROM n WHERE ne - e >= 6 AND ns - s >= 6 GROUP BY ALL
+""")
+def entry_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.chronology_breaks(X.RANGES.frame(spark))
+
+
+@query()
+def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.merge_ranges(X.RANGES.frame(spark), X.EXTRA_RANGES.frame(spark))
+
+
+@query("""
+WITH w AS (SELECT user_id, epoch(date_trunc('second', ts))::BIGINT - lag(epoch(date_trunc('second', ts))::BIGINT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS waited FROM events)
+SELECT user_id, count(*) FILTER (waited > 43200) AS gaps, max(waited) AS longest_seconds FROM w GROUP BY user_id
+""")
+def user_inactivity_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap operator on event times; our adaptation."""
+    return timeline.event_gaps(spark.read.parquet(f"{sf_dir}/events.parquet"), 12)
+
+
+# --- grades and writing ---
+
+
+@query()
+def grade_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.find_grades(X.GRADE_LINES.frame(spark))
+
+
+@query()
+def grade_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.convention_notes(grades.find_grades(X.GRADE_LINES.frame(spark)))
+
+
+@query(f"SELECT doc_id, count(*) AS entries, count(*) FILTER (has_grade) AS graded FROM {X.ENTRIES.sql} GROUP BY doc_id HAVING count(*) >= 2 AND bool_or(has_grade) AND NOT bool_and(has_grade)")
+def grade_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.consistency_notes(X.ENTRIES.frame(spark))
+
+
+_BULLETS_SQL = rf"""
+b AS (SELECT doc_id, section, line_no, regexp_replace(trim(line), '^[-•]\s+', '') AS bullet FROM {X.BULLET_LINES.sql} WHERE regexp_matches(line, '^\s*[-•]\s+\S')),
+k AS (SELECT *, len(list_filter([{", ".join(map(_text, V.WEAK_OPENERS))}], lambda w: starts_with(lower(bullet), w))) > 0 AS weak, regexp_matches(bullet, {_text('(?i)' + P.IMPACT)}) AS outcome FROM b)
+"""
+
+
+@query(rf"""
+WITH {_BULLETS_SQL}
+SELECT doc_id, section, count(*) AS bullets, count(*) FILTER (weak AND NOT outcome) AS weak_bullets, count(*) FILTER (outcome) AS with_outcome,
+       count(*) >= 4 AND count(*) FILTER (outcome) / count(*) < 0.4 AS no_outcomes,
+       count(*) FILTER (length(bullet) > 12) >= 4 AND count(*) FILTER (length(bullet) > 12 AND bullet LIKE '%.') BETWEEN 1 AND count(*) FILTER (length(bullet) > 12) - 1 AS punctuation_mixed
+FROM k GROUP BY doc_id, section
+""")
+def bullet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.bullet_facts(facts.bullets_of(X.BULLET_LINES.frame(spark)), "doc_id", "section")
+
+
+@query(rf"""
+WITH {_BULLETS_SQL}, f AS (SELECT *, regexp_matches(bullet, '^\w{{3,}}ed\b') AS past, regexp_extract(bullet, '^(\w{{4,}}ing)\b', 1) AS ing FROM k)
+SELECT doc_id, section, arg_min(bullet, line_no) FILTER (past) AS past,
+       arg_min(bullet, line_no) FILTER (NOT past AND ing <> '' AND lower(ing) NOT IN ({", ".join(map(_text, V.GERUND_NOUNS))})) AS gerund
+FROM f GROUP BY doc_id, section HAVING count(*) >= 3 AND bool_or(past) AND bool_or(NOT past AND ing <> '' AND lower(ing) NOT IN ({", ".join(map(_text, V.GERUND_NOUNS))}))
+""")
+def mixed_tense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.mixed_tense(facts.bullets_of(X.BULLET_LINES.frame(spark)))
+
+
+@query(rf"""
+WITH {DOCS_AND_CONTACT}, t AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM docs)
+SELECT doc_id, array_to_string(list_filter([{", ".join(map(_text, V.BUZZWORDS))}], lambda w: regexp_matches(t, '\b' || w || '\b')), ',') AS buzzwords,
+       array_to_string(list_filter([{", ".join(f"CASE WHEN regexp_matches(t, '\\b{b}\\b') AND regexp_matches(t, '\\b{a}\\b') THEN '{b}' END" for b, a in V.SPELLING_PAIRS)}], lambda p: p IS NOT NULL), ',') AS spelling_pairs,
+       regexp_matches(t, '\b(?:{"|".join(b for b, _ in V.SPELLING_PAIRS)})\b') AND regexp_matches(t, '\b(?:{"|".join(a for _, a in V.SPELLING_PAIRS)})\b') AS mixed_spelling FROM t
+""")
+def buzzwords_and_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = facts.writing_facts(_docs(spark, sf_dir, X.CONTACT))
+    return found.select("doc_id", F.array_join("buzzwords", ",").alias("buzzwords"), F.array_join("spelling_pairs", ",").alias("spelling_pairs"), "mixed_spelling")
+
+
+@query(rf"""
+WITH l AS (SELECT doc_id, line_no, regexp_extract(trim(line), '^\s*([A-Za-zÄÖÜäöü]{{3,20}})\s*[:\-–]\s*(\S.*)$', 1) AS language, trim(regexp_extract(trim(line), '^\s*([A-Za-zÄÖÜäöü]{{3,20}})\s*[:\-–]\s*(\S.*)$', 2)) AS value FROM {X.SKILL_LINES.sql})
+SELECT *, CASE WHEN regexp_matches(value, {_text(P.CEFR)}) THEN 'cefr' WHEN regexp_matches(value, {_text('(?i)' + P.PLAIN_LEVEL)}) THEN 'plain' ELSE 'missing' END AS level
+FROM l WHERE language <> '' AND NOT regexp_matches(value, {_text('(?i)' + P.NATIVE_LEVEL)})
+""")
+def language_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.language_levels(X.SKILL_LINES.frame(spark))
+
+
+@query(rf"""
+WITH l AS (SELECT *, trim(trim(line), '•-–—*· ') AS item FROM {X.SKILL_LINES.sql} WHERE section = 'Interests')
+SELECT doc_id, section, string_agg(item, ';' ORDER BY line_no) AS items FROM l WHERE item <> '' AND NOT regexp_matches(item, '\d')
+  AND len(list_filter(string_split_regex(replace(item, ',', ' '), '\s+'), lambda w: w <> '')) BETWEEN 1 AND 2 AND length(item) <= 28 GROUP BY ALL
+""")
+def single_word_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.bare_interests(X.SKILL_LINES.frame(spark).where("section = 'Interests'")).withColumn("items", F.array_join("items", ";"))
+
+
+@query("""
+SELECT doc_id, greatest(1, CAST(round_even(length(text) / 2800, 0) AS INT)) AS pages, CASE WHEN greatest(1, round_even(length(text) / 2800, 0)) <= 2 THEN 'good' ELSE 'attention' END AS status FROM documents
+""")
+def page_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _docs(spark, sf_dir).select("doc_id", F.lit(None).cast("int").alias("page_count"), F.char_length("text").alias("char_count"))
+    return facts.page_row(rows).select("doc_id", "pages", "status")
+
+
+# --- ranking ---
+
+
+def _facts(spark: SparkSession) -> DataFrame:
+    names = [part.split()[0] for part in severity.FACTS.split(", ")]
+    return spark.createDataFrame([tuple(row.get(n) for n in names) for row in X.FACT_ROWS], severity.FACTS)
+
+
+def _facts_sql() -> str:
+    kinds = {"long": "BIGINT", "int": "INT", "boolean": "BOOLEAN", "string": "VARCHAR", "array<string>": "VARCHAR[]"}
+    columns = [part.split() for part in severity.FACTS.split(", ")]
+    rows = [", ".join(f"CAST({X._literal(row.get(n))} AS {kinds[k]}) AS {n}" for n, k in columns) for row in X.FACT_ROWS]
+    return " UNION ALL ".join(f"SELECT {r}" for r in rows)
+
+
+def _issues_sql() -> str:
+    parts = []
+    for seq, (key, tier, condition) in enumerate(severity.RULES):
+        where = condition.replace("size(", "len(")
+        if key == "missing_sections":
+            parts.append(f"SELECT doc_id, {tier} AS tier, {seq} AS seq, k AS pos, 'missing_' || missing_sections[k] AS key, NULL AS section FROM f, range(1, 20) r(k) WHERE k <= len(missing_sections)")
+        else:
+            section = severity.SECTION_OF.get(key, "CAST(NULL AS VARCHAR)").replace("[0]", "[1]")
+            parts.append(f"SELECT doc_id, {tier} AS tier, {seq} AS seq, 0 AS pos, '{key}' AS key, {section} AS section FROM f WHERE {where}")
+    return f"WITH f AS ({_facts_sql()}), i AS ({' UNION ALL '.join(parts)}), k AS (SELECT doc_id, tier, key, section, row_number() OVER (PARTITION BY doc_id ORDER BY tier, seq, pos) AS rank FROM i)"
+
+
+@query(_issues_sql() + " SELECT * FROM k")
+def severity_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.issues(_facts(spark))
+
+
+_UNNAMED = ", ".join(map(_text, severity.DATE_KEYS + severity.FORMAT_KEYS))
+
+
+@query(_issues_sql() + f", a AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank) AS area, tier, key, section FROM k WHERE key NOT IN ({_UNNAMED})) SELECT * FROM a WHERE area <= 5")
+def key_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.key_areas(severity.issues(_facts(spark)))
+
+
+_UNFLAGGED = ", ".join(map(_text, severity.DATE_KEYS + severity.OPTIONAL_KEYS))
+
+
+@query(_issues_sql() + f""", s AS (SELECT doc_id, unnest(sections) AS section FROM f)
+SELECT s.doc_id, s.section, CASE WHEN EXISTS (SELECT 1 FROM k WHERE k.doc_id = s.doc_id AND k.section = s.section AND key NOT IN ({_UNFLAGGED})) THEN 'needs_attention' ELSE 'strong' END AS status FROM s""")
+def section_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark)
+    return severity.section_status(rows, severity.issues(rows))
+
+
+@query()
+def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _facts(spark)
+    ranked = severity.issues(rows)
+    return rendering.report(severity.key_areas(ranked), severity.section_status(rows, ranked))
+
+
+@query(f"""
+WITH d AS (SELECT * FROM {X.PICK_DOCS.sql}), c AS (SELECT * FROM {X.CATALOGUE.sql}), w AS (SELECT * FROM {X.WEAK.sql}),
+o AS (SELECT doc_id, 0 AS p, ord, topic, name FROM w JOIN c ON kind = 'section' AND topic = section
+      UNION ALL SELECT doc_id, 1, ord, topic, name FROM d JOIN c ON kind = 'role' AND topic = role
+      UNION ALL SELECT doc_id, 2, ord, '', name FROM d, c WHERE kind = 'general'),
+u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY p, ord, topic) = 1),
+n AS (SELECT u.doc_id, row_number() OVER (PARTITION BY u.doc_id ORDER BY p, ord, topic, name) AS n, name FROM u JOIN d USING (doc_id) WHERE NOT contains(lower(coalesce(text, '')), lower(name)))
+SELECT * FROM n WHERE n <= 5
+""")
+def activity_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return picks.picks(X.PICK_DOCS.frame(spark), X.WEAK.frame(spark), X.CATALOGUE.frame(spark))
+
+
+# --- overlaps ---
+
+_TERM_NOISE = "about these their which while where there other could would being first".split()
+
+
+@query(rf"""
+WITH w AS (SELECT item_id, list_transform(regexp_extract_all(lower(text), '[A-Za-zÄÖÜäöüß][\p{{L}}\p{{N}}_&+#.-]{{3,}}'), lambda x: trim(x, '.-')) AS ws,
+                  regexp_extract_all(text, {_text(overlap.ACRONYM)}) AS acs FROM benchmark),
+t AS (SELECT item_id, ws[k] AS term, 1 AS one, k - 1 AS pos FROM w, range(1, 5000) r(k) WHERE k <= len(ws) AND length(ws[k]) >= 5 AND NOT regexp_matches(ws[k], '^\d+$')
+        AND ws[k] NOT IN ({", ".join(map(_text, _TERM_NOISE))})
+      UNION ALL SELECT item_id, lower(acs[k]), 3, 1000000 + k - 1 FROM w, range(1, 5000) r(k) WHERE k <= len(acs) AND acs[k] NOT IN ({", ".join(map(_text, overlap.ACRONYM_NOISE))})),
+g AS (SELECT item_id, term, CAST(sum(one) AS BIGINT) AS weight, min(pos) AS first FROM t GROUP BY ALL),
+n AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY weight DESC, length(term) DESC, first) AS rank, term, weight FROM g)
+SELECT * FROM n WHERE rank <= 15
+""")
+def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.top_terms(overlap.terms(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), _TERM_NOISE))
+
+
+@query("WITH top AS (" + _oracles["top_terms"] + """), w AS (SELECT item_id, list(term ORDER BY rank) AS terms FROM top GROUP BY item_id),
+p AS (SELECT doc_id, doc_id % (SELECT count(*) FROM benchmark) AS item_id, lower(text) AS low FROM documents),
+m AS (SELECT doc_id, item_id, len(terms) AS terms, list_filter(terms, lambda t: NOT contains(low, left(t, 5))) AS missing FROM p JOIN w USING (item_id))
+SELECT doc_id, item_id, terms, len(missing) AS missing, terms >= 6 AND len(missing) >= 4 AND len(missing) > 0.5 * terms AS untailored,
+       CASE WHEN terms >= 6 AND len(missing) >= 4 AND len(missing) > 0.5 * terms THEN array_to_string(missing[1:8], ',') ELSE '' END AS named FROM m
+""")
+def term_tailoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document against one benchmark item, dealt by number."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    pairs = _docs(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", F.lit(items.count())))
+    found = overlap.tailoring(pairs, overlap.top_terms(overlap.terms(items, _TERM_NOISE)))
+    return found.withColumn("named", F.array_join("named", ","))
+
+
+@query()
+def content_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of a benchmark item's stems in the document that it is dealt to."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("item"))
+    pairs = _docs(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", F.lit(items.count()))).join(items, "item_id")
+    words = pairs.withColumn("a", overlap.content_words(F.col("item"))).withColumn("b", overlap.content_words(F.col("text")))
+    return words.select("doc_id", "item_id", overlap.overlap_share(F.col("a"), F.col("b")).alias("share"))
+
+
+@query()
+def skills_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.skills_removed(X.LETTERS.frame(spark)).select("doc_id", "kept", "removed")
+
+
+@query()
+def letter_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return overlap.echoes(X.LETTERS.frame(spark))
+
+
+@query()
+def letter_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    letters = X.LETTERS.frame(spark)
+    body = overlap.body_paragraphs(overlap.paragraphs(letters), r"^\s*(?:dear|sehr geehrte)", r"^\s*(?:kind regards|freundliche)")
+    return overlap.paragraph_values(body, letters.select("doc_id", "other"))
+
+
+# --- conversations ---
+
+
+@query(rf"""
+WITH {MESSAGES_SQL}
+SELECT conv_id, turn, role, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), {_text('(?i)' + P.CONFIDENTIAL)}), lambda x: lower(x)))), ', ') AS triggers,
+       regexp_matches(coalesce(text, ''), {_text('(?i)' + P.REWRITE_ASKED)}) AS rewrite_asked, regexp_matches(coalesce(text, ''), {_text('(?i)' + P.REWRITE_GIVEN)}) AS rewrite_given,
+       CASE {" ".join(f"WHEN contains(lower(text), {_text(w)}) THEN {_text(c)}" for c, ws in V.ROLES for w in ws)} END AS role_named FROM m
+""")
+def message_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = guardrails.message_checks(_conversations(spark, sf_dir)).withColumn("triggers", F.array_join("triggers", ", "))
+    return found.drop("text", "scored")
+
+
+@query()
+def score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return guardrails.message_checks(_conversations(spark, sf_dir)).select("conv_id", "turn", "scored")
+
+
+@query(rf"""
+WITH {MESSAGES_SQL}, w AS (SELECT conv_id, turn, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}_]+') AS ws FROM m WHERE role = 'user'),
+c AS (SELECT *, len(list_filter(ws, lambda x: x IN ({", ".join(map(_text, guardrails.ENGLISH))}))) AS en, len(list_filter(ws, lambda x: x IN ({", ".join(map(_text, guardrails.GERMAN))}))) AS de FROM w),
+d AS (SELECT conv_id, turn, CASE WHEN length(trim(text)) < 15 THEN NULL WHEN en >= 2 AND en > 2 * de THEN 'en' WHEN de >= 2 AND de > 2 * en THEN 'de' END AS detected FROM c)
+SELECT conv_id, turn, detected, coalesce(last_value(detected IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING), 'en') AS effective FROM d
+""")
+def language_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.language_drift(_conversations(spark, sf_dir)).select("conv_id", "turn", "detected", "effective")
+
+
+@query(rf"""
+WITH {MESSAGES_SQL}, n AS (SELECT conv_id, turn, (CASE {" ".join(f"WHEN contains(lower(text), {_text(w)}) THEN {_text(c)}" for c, ws in V.ROLES for w in ws)} END) IS NOT NULL AS named FROM m WHERE role = 'user'),
+k AS (SELECT *, bool_or(named) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS role_known FROM n)
+SELECT conv_id, turn, role_known, NOT role_known AND count(*) FILTER (NOT role_known) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) > 1 AS structure_only FROM k
+""")
+def structure_only_mode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.structure_mode(_conversations(spark, sf_dir)).select("conv_id", "turn", "role_known", "structure_only")
+
+
+@query()
+def handover_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.handover_states(_conversations(spark, sf_dir))
+
+
+@query("SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY conv_id")
+def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
