@@ -135,6 +135,7 @@ def layers(as_of: str) -> list[tuple[str, object]]:
 def redact(docs: DataFrame, as_of: str, names: str | None = None) -> DataFrame:
     """``docs`` with redacted, categories (in order of the layers), residual and degraded.
 
+    What the independent patterns still find after the layers is swept away and then looked for again.
     ``names`` is an array column of names to remove, longest first; without it the row is degraded.
     """
     rows = docs.withColumn("_0", unified_lines(F.col("text")))
@@ -146,8 +147,9 @@ def redact(docs: DataFrame, as_of: str, names: str | None = None) -> DataFrame:
     text = redact_names(F.col(at), F.col(names)) if names else F.col(at)
     if names:
         hits.append(F.when(text != F.col(at), "name"))
-    found = F.array_distinct(F.filter(F.array(*hits), lambda c: c.isNotNull()))
-    rows = rows.withColumn("redacted", text).withColumn("categories", found)
+    rows = rows.withColumn("_text", text)
+    found = F.array_distinct(F.concat(F.filter(F.array(*hits), lambda c: c.isNotNull()), residual(F.col("_text"))))
+    rows = rows.withColumn("redacted", sweep(F.col("_text"))).withColumn("categories", found).drop("_text")
     return rows.withColumn("residual", residual(F.col("redacted"))).withColumn("degraded", F.lit(names is None)).drop(*[f"_{k}" for k in range(n + 1)])
 
 
