@@ -54,10 +54,11 @@ POSTCODE_CITY = (
 PLACE_WORD = r"^(?:[A-ZÄÖÜ][\w.\-äöüß]*|an|am|bei|der|des|ob|im|in|auf|sur|sous|les|le|la|aux|près|pres|di|al|sul)$"
 US_ADDRESS = r"\b[A-Z][\w.\-]+(?:[^\S\n]+[A-Z][\w.\-]+){0,2},[^\S\n]*[A-Z]{2}[^\S\n]+\d{5}(?:-\d{4})?\b"
 UK_POSTCODE = r"\b[A-Z]{1,2}\d[A-Z\d]?[^\S\n]*\d[A-Z]{2}\b"
+#: What may stand between a street's word and its number is bounded, so that long texts stay linear.
 _STREETS = "straße|strasse|str\\.|gasse|weg|platz|allee|ring|steig|avenue|street|road|lane"
-STREET = FIELD_START + rf"[^\S\n]*[A-ZÄÖÜ][\w.\-äöüß]*[^\S\n]?(?:{_STREETS})[\w.\-]*(?:[^\S\n]+[\w.\-]+)*?[^\S\n]+\d+[a-zA-Z]?[^\S\n]*" + FIELD_END
+STREET = FIELD_START + rf"[^\S\n]*[A-ZÄÖÜ][\w.\-äöüß]*[^\S\n]?(?:{_STREETS})[\w.\-]*(?:[^\S\n]+[\w.\-]+){{0,6}}?[^\S\n]+\d+[a-zA-Z]?[^\S\n]*" + FIELD_END
 INLINE_ADDRESS = (
-    rf"[A-ZÄÖÜ][\w.\-äöüß]*\s?(?:{_STREETS})[\w\s.\-]*\s+\d+[a-zA-Z]?\s*,\s*(?:CH|DE|AT|FR|IT|LI)?[\s\-]?\d{{4,5}}\s+"
+    rf"[A-ZÄÖÜ][\w.\-äöüß]*\s?(?:{_STREETS})[\w\s.\-]{{0,60}}\s+\d+[a-zA-Z]?\s*,\s*(?:CH|DE|AT|FR|IT|LI)?[\s\-]?\d{{4,5}}\s+"
     r"[A-ZÄÖÜ][\w.\-äöüß]+(?:[\s,]+[A-ZÄÖÜ][\w.\-äöüß]+)*"
 )
 PHONE_WORDS = r"\b(?:tel|telephone|phone|mobile|mobil|handy|cell|fon|natel|whatsapp)\b"
@@ -133,6 +134,11 @@ def has(column: Column, pattern: str, ignore_case: bool = True, lines: bool = Fa
     return column.rlike(java(pattern, ignore_case, lines))
 
 
+def has_range(column: Column) -> Column:
+    """Whether a text holds a date range; texts without a year aren't searched."""
+    return column.rlike(r"(?:19|20)\d{2}") & has(column, RANGE)
+
+
 def every(column: Column, pattern: str, ignore_case: bool = True, lines: bool = False, group: int = 0) -> Column:
     return F.regexp_extract_all(column, F.lit(java(pattern, ignore_case, lines)), group)
 
@@ -141,10 +147,19 @@ def swap(column: Column, pattern: str, by: str | Column, ignore_case: bool = Tru
     return F.regexp_replace(column, java(pattern, ignore_case, lines), by)
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def swap_if(column: Column, pattern: str, keep: Callable[[Column, Column], Column], ignore_case: bool = True, lines: bool = False) -> Column:
     """Each match becomes ``keep(match, text before it in its piece)``: the text is split and woven again."""
-    parts, found = F.split(column, java(pattern, ignore_case, lines), -1), every(column, pattern, ignore_case, lines)
-    return F.array_join(F.zip_with(parts, found, lambda a, m: F.concat(a, F.when(m.isNull(), "").otherwise(keep(m, a)))), "")
+
+    def woven(text: Column) -> Column:
+        parts, found = F.split(text, java(pattern, ignore_case, lines), -1), every(text, pattern, ignore_case, lines)
+        return F.array_join(F.zip_with(parts, found, lambda a, m: F.concat(a, F.when(m.isNull(), "").otherwise(keep(m, a)))), "")
+
+    return let(column, woven)
 
 
 def unified_lines(column: Column) -> Column:

@@ -19,7 +19,7 @@ def by_section() -> WindowSpec:
 def is_bullet(line: Column) -> Column:
     """No date range, and a mark before it, a bullet inside it, or an indented long line."""
     marked = has(line, P.BULLET_LINE, False) | has(line, P.INLINE_BULLET, False)
-    return ~has(line, P.RANGE) & (marked | (line.rlike(P.INDENTED_LINE) & (F.char_length(F.trim(line)) > MIN_INDENTED_CHARS)))
+    return ~P.has_range(line) & (marked | (line.rlike(P.INDENTED_LINE) & (F.char_length(F.trim(line)) > MIN_INDENTED_CHARS)))
 
 
 def bullet_text(line: Column) -> Column:
@@ -27,7 +27,7 @@ def bullet_text(line: Column) -> Column:
 
 
 def is_anchor(line: Column) -> Column:
-    return ~is_bullet(line) & (F.trim(line) != "") & (has(line, P.RANGE) | has(line, P.SINGLE_DATE_END, False))
+    return ~is_bullet(line) & (F.trim(line) != "") & (P.has_range(line) | has(line, P.SINGLE_DATE_END, False))
 
 
 def title_shaped(line: Column) -> Column:
@@ -46,13 +46,13 @@ def entries_of(lines: DataFrame) -> DataFrame:
     rows = lines.select("doc_id", "section", "line_no", "line", is_anchor(F.col("line")).alias("anchor"), is_bullet(F.col("line")).alias("bullet"), *[at(k).alias(f"n{k}" if k > 0 else f"p{-k}") for k in (1, 2, -1, -2)])
     usable = lambda c: (F.col(c) != "") & ~is_bullet(F.col(c))
     dates_alone = F.trim(swap(F.col("line"), P.RANGE, ""), F.lit(" \t,|–—-")) == ""
-    undated = lambda c: usable(c) & ~has(F.col(c), P.RANGE)
+    undated = lambda c: usable(c) & ~P.has_range(F.col(c))
     below = usable("n1") & ~is_anchor(F.col("n1")) & title_shaped(F.col("n1")) & (F.char_length("n1") <= MAX_TITLE_CHARS) & ~F.col("n1").endswith(".")
     above = lambda c: usable(c) & ~is_anchor(F.col(c)) & title_shaped(F.col(c))
     title = F.coalesce(
         F.when(dates_alone & undated("n1"), F.col("n1")), F.when(dates_alone & undated("n2"), F.col("n2")), F.when(below, F.col("n1")),
         F.when(above("p1"), F.col("p1")), F.when(above("p2"), F.col("p2")),
-        F.when(usable("p1") & has(F.col("p1"), P.RANGE), F.col("p1")), F.when(usable("p2") & has(F.col("p2"), P.RANGE), F.col("p2")), F.lit(""),
+        F.when(usable("p1") & P.has_range(F.col("p1")), F.col("p1")), F.when(usable("p2") & P.has_range(F.col("p2")), F.col("p2")), F.lit(""),
     )
     rows = rows.withColumn("title", F.when(F.col("anchor"), title)).withColumn("entry_no", running(F.col("anchor"), by_section()) - 1).where("entry_no >= 0")
     own = Window.partitionBy("doc_id", "section", "entry_no")

@@ -7,11 +7,13 @@ need a recogniser, which is a column that the caller may supply.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.patterns import every, has, swap, swap_if, unified_lines
+from scriptorium.functions.patterns import every, has, let, swap, swap_if, unified_lines
 from scriptorium.functions.vocabulary import PLACEHOLDERS
 from scriptorium.operators.lines import current, lines_of, text_of
 
@@ -21,11 +23,15 @@ def placeholder(category: str) -> str:
 
 
 def emails(text: Column) -> Column:
-    return F.regexp_replace(text, P.EMAIL, placeholder("email"))
+    return let(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, P.EMAIL, placeholder("email"))).otherwise(t))
+
+
+#: Every profile link has this; texts without it aren't searched.
+_SITE = r"(?i)\.(?:com|org|net|me)/|scholar\.google\."
 
 
 def profiles(text: Column) -> Column:
-    return swap(text, P.PROFILE, placeholder("profile_url"))
+    return let(text, lambda t: F.when(t.rlike(_SITE), swap(t, P.PROFILE, placeholder("profile_url"))).otherwise(t))
 
 
 def handles(text: Column) -> Column:
@@ -68,7 +74,7 @@ def is_phone(match: Column, line: Column) -> Column:
     bare = text.rlike(r"^\d{7,}$")
     labelled = has(line, P.PHONE_WORDS)
     separators = F.size(F.regexp_extract_all(text, F.lit(r"[\s./\-()]"), 0))
-    is_date = has(text, P.YEAR_RANGE) | text.rlike(P.SINGLE_DATE) | has(text, P.RANGE)
+    is_date = has(text, P.YEAR_RANGE) | text.rlike(P.SINGLE_DATE) | P.has_range(text)
     dialled = text.startswith("+") | text.startswith("0")
     return (
         F.when(~count.between(7, 15) | is_date, False)
@@ -104,12 +110,17 @@ def _address(match: Column) -> Column:
 
 def addresses(text: Column) -> Column:
     """Inline addresses, American and British ones, then postcode with city, which alone lets a street go."""
-    text = swap_if(text, P.INLINE_ADDRESS, lambda m, _: _address(m))
+    numbered = r"\d[a-zA-Z]?\s*,\s*(?:[A-Za-z]{2})?[\s\-]?\d{4,5}\s"  # every inline address has this
+    text = let(text, lambda t: F.when(t.rlike(numbered), swap_if(t, P.INLINE_ADDRESS, lambda m, _: _address(m))).otherwise(t))
     text = swap(text, P.US_ADDRESS, placeholder("address"), ignore_case=False)
     text = swap(text, P.UK_POSTCODE, placeholder("address"), ignore_case=False)
-    has_city = F.exists(every(text, P.POSTCODE_CITY, False, True), lambda m: ~looks_like_a_year(m))
-    cities = swap_if(text, P.POSTCODE_CITY, lambda m, _: F.when(looks_like_a_year(m), m).otherwise(_address(m)), False, True)
-    return F.when(has_city, swap(cities, P.STREET, placeholder("address"), lines=True)).otherwise(text)
+
+    def with_city(t: Column) -> Column:
+        has_city = F.exists(every(t, P.POSTCODE_CITY, False, True), lambda m: ~looks_like_a_year(m))
+        cities = swap_if(t, P.POSTCODE_CITY, lambda m, _: F.when(looks_like_a_year(m), m).otherwise(_address(m)), False, True)
+        return F.when(has_city, swap(cities, P.STREET, placeholder("address"), lines=True)).otherwise(t)
+
+    return let(text, with_city)
 
 
 def nationalities(text: Column) -> Column:
@@ -118,8 +129,11 @@ def nationalities(text: Column) -> Column:
 
 def marital_status(text: Column) -> Column:
     line = rf"^.*\b(?:{P.MARITAL_KEYS})\b.*$"
-    return F.when(has(text, line, lines=True), swap(text, line, placeholder("marital_status"), lines=True)).otherwise(
-        swap(text, P.MARITAL_WORDS, placeholder("marital_status"))
+    return let(
+        text,
+        lambda t: F.when(has(t, line, lines=True), swap(t, line, placeholder("marital_status"), lines=True)).otherwise(
+            swap(t, P.MARITAL_WORDS, placeholder("marital_status"))
+        ),
     )
 
 
@@ -167,17 +181,25 @@ RESIDUAL = [
 ]
 
 
+#: What every match of a category has.
+_QUICK = {"email": "@", "profile_url": _SITE, "bank": r"[A-Z]{2}\d{2}", "address": r"\d", "phone": r"\+\d"}
+
+
 def residual(text: Column) -> Column:
     """Categories that patterns of their own still find."""
-    return F.array_distinct(F.filter(F.array(*[F.when(has(text, p, i), c) for c, p, i in RESIDUAL]), lambda c: c.isNotNull()))
+    return F.array_distinct(F.filter(F.array(*[F.when(text.rlike(_QUICK[c]) & has(text, p, i), c) for c, p, i in RESIDUAL]), lambda c: c.isNotNull()))
 
 
 def sweep(text: Column) -> Column:
     for category, pattern, fold in RESIDUAL:
-        text = swap(text, pattern, placeholder(category), fold)
+        text = let(text, _swept(category, pattern, fold))
     return text
 
 
+def _swept(category: str, pattern: str, fold: bool) -> Callable[[Column], Column]:
+    return lambda t: F.when(t.rlike(_QUICK[category]), swap(t, pattern, placeholder(category), fold)).otherwise(t)
+
+
 def drop_personal_sections(docs: DataFrame, headings: DataFrame) -> DataFrame:
     """doc_id, text without what stands under a heading of personal details (headings: doc_id, line_no, display)."""
     marked = lines_of(docs).join(headings.select("doc_id", "line_no", "display"), ["doc_id", "line_no"], "left")

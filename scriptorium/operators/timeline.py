@@ -42,7 +42,7 @@ def endpoint(token: Column, is_end: bool, as_of: str) -> Column:
 
 def ranges_of(lines: DataFrame, as_of: str, column: str = "line") -> DataFrame:
     """``lines`` joined to their ranges: raw, pos, s, e, months_explicit; unreadable and reversed ones are left out."""
-    rows = lines.select("*", F.posexplode(every(F.col(column), P.RANGE)).alias("pos", "raw"))
+    rows = lines.where(F.col(column).rlike(r"(?:19|20)\d{2}")).select("*", F.posexplode(every(F.col(column), P.RANGE)).alias("pos", "raw"))
     part = lambda k: F.regexp_extract("raw", java(P.RANGE, True), k)
     day = F.lit(as_of).cast("date")
     now = F.struct(month_index(F.year(day), F.month(day)).alias("index"), F.lit(True).alias("explicit"))
