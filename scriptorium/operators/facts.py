@@ -86,3 +86,106 @@ def page_row(rows: DataFrame) -> DataFrame:
     """``rows`` (page_count, char_count) with pages (estimated where unknown) and status."""
     pages = F.coalesce("page_count", F.greatest(F.lit(1), F.bround(F.col("char_count") / 2800).cast("int")))
     return rows.withColumn("pages", pages).withColumn("status", F.when(F.col("pages") <= 2, "good").otherwise("attention"))
+
+
+# --- fixed values ---
+SERVICE_ROLE = (
+    r"\b(?:kellner(?:in)?|serviceangestellte[rn]?|servicekraft|servicemitarbeiter(?:in)?|barista|barkeeper|küchenhilfe|koch|köchin|gastronomie|"
+    r"hotellerie|waiter|waitress|server|bartender|bar\s?staff|host(?:ess)?|kitchen\s+(?:assistant|help|hand|porter|staff)|dishwasher|line\s+cook|"
+    r"catering\s+(?:assistant|staff|crew)|food\s+service|wait\s?staff|runner)\b"
+)
+SUPERVISORY = (
+    r"\b(?:manager|management|leiter(?:in)?|leitung|supervisor|supervising|head|chef(?:in)?|geschäftsführ\w*|inhaber(?:in)?|direktor|director|"
+    r"owner|founder|gründer|teamlead|team\s?lead|shift\s?lead)\b"
+)
+HARD_SKILL = (
+    r"\b(?:excel|word|powerpoint|office|python|r|sql|sap|matlab|stata|spss|tableau|power ?bi|bloomberg|photoshop|figma|java|javascript|html|css|git|"
+    r"latex|access|vba|salesforce|erp|canva|deutsch|german|englisch|english|französisch|french|spanisch|spanish|italienisch|italian|chinese|"
+    r"[ABC][12]|muttersprache|native|fluent|fliessend|verhandlungssicher|advanced|intermediate|basic|grundkenntnisse|proficient|beginner)\b"
+)
+SKILL_LEVEL = (
+    r"\b(?:native|fluent|advanced|intermediate|basic|proficient|beginner|expert|conversational|working knowledge|[ABC][12]|grundkenntnisse|grundlagen|"
+    r"fortgeschritten|verhandlungssicher|sehr gut|gut|sicher|erfahren|kenntnisse)\b"
+)
+TECHNICAL = (
+    r"\b(?:it|edv|ikt|technical|technisch\w*|computer|software|hardware|digital\w*|tool\w*|programmier\w*|programming|coding|anwendung\w*|application\w*|"
+    r"system\w*|data|daten|analytic\w*|office)\b"
+)
+ONLY_A_GRADE = (
+    r"^[\W_]*(?:(?:grade|grades|note|noten|notendurchschnitt|gesamtnote|abschlussnote|gpa|cgpa|average|durchschnitt|final|overall|cumulative|mark|marks|"
+    r"score|of|out|von|mit)\b[\W_]*){1,4}[\d.,/\s]*$"
+)
+ROLE_TITLE = (
+    r"\b(?:analyst|manager|consultant|intern|internship|assistant|associate|advisor|engineer|developer|designer|researcher|scientist|coordinator|director|"
+    r"officer|specialist|trainee|tutor|teacher|lead|head|founder|freelance|volunteer|president|treasurer|secretary|chair|ambassador|representative|"
+    r"supervisor|administrator|controller|auditor|praktikant\w*|werkstudent\w*|assistent\w*|berater\w*|mitarbeiter\w*|leiter\w*|leitung|vorstand)\b"
+)
+DEGREE = (
+    r"bachelor|master|diplom|magister|licence|laurea|staatsexamen|lizentiat|abitur|matura|baccalaureate|bakkalaureat|\b(?:ba|bsc|b\.sc|ma|msc|m\.sc|mba|llb|llm)\b"
+)
+DOCTORATE = r"phd|ph\.d|doctorate|doktor|promotion|dr\.rer|d\.phil"
+SENTENCE = r"[a-zäöüß]{3,}\s+[a-zäöüß]{3,}\s+[a-zäöüß]{3,}"
+
+
+def is_routine_service(title: Column) -> Column:
+    return has(title, SERVICE_ROLE) & ~has(title, SUPERVISORY)
+
+
+def is_degree(value: Column) -> Column:
+    return has(value, DEGREE) & ~has(value, DOCTORATE)
+
+
+def has_role_title(entry_line: Column, title_line: Column, detail: Column) -> Column:
+    """Two parts of some length around a separator, or one part with a role's word."""
+    combined = F.concat_ws(" | ", *[F.when(F.trim(c) != "", c) for c in (title_line, entry_line, detail)])
+    parts = F.filter(F.transform(F.split(F.regexp_replace(combined, java(P.RANGE, True), ""), r"[|,–—]|\s-\s"), F.trim), lambda p: p != "")
+    first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
+    return F.coalesce((F.size(parts) >= 2) & (F.char_length(first) > 2) & (F.char_length(second) > 2), F.lit(False)) | ((F.size(parts) == 1) & has(first, ROLE_TITLE))
+
+
+def thin_education(entries: DataFrame) -> DataFrame:
+    """doc_id, entry_no, title of education entries under which nothing but a grade stands."""
+    kept = F.filter(F.concat("bullets", "description"), lambda t: (F.trim(t) != "") & ~has(F.trim(t), ONLY_A_GRADE))
+    title = F.when(F.col("title_line") != "", F.col("title_line")).otherwise(F.col("line"))
+    return entries.where(F.size(kept) == 0).select("doc_id", "entry_no", F.substring(title, 1, 70).alias("title"))
+
+
+def unlabelled_intro(lines: DataFrame, headings: DataFrame) -> DataFrame:
+    """doc_id, intro: prose of eighty characters or more above the first heading, its first two hundred."""
+    first = headings.groupBy("doc_id").agg(F.min("line_no").alias("first"))
+    prose = lines.join(first, "doc_id").where("line_no < first").where((F.char_length(F.trim("line")) > 40) & F.lower("line").rlike(SENTENCE) & ~is_bullet(F.col("line")))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), " ")
+    return prose.groupBy("doc_id").agg(joined.alias("intro")).where(F.char_length("intro") >= 80).select("doc_id", F.substring("intro", 1, 200).alias("intro"))
+
+
+def soft_skills_only(lines: DataFrame) -> DataFrame:
+    """doc_id, section, traits of skills sections of fourteen lines at most with two traits and no checkable skill."""
+    line = F.trim(F.trim("line"), F.lit(" -–—•*·\t"))
+    rows = lines.withColumn("content", line).where("content <> ''")
+    found = rows.groupBy("doc_id", "section").agg(F.count("*").alias("n"), F.bool_or(has(F.col("content"), HARD_SKILL)).alias("hard"), F.array_join(F.collect_list("content"), " ").alias("all"))
+    found = found.withColumn("traits", words_in(F.col("all"), BUZZWORDS)).where("n <= 14 AND NOT hard AND size(traits) >= 2")
+    return found.select("doc_id", "section", F.slice("traits", 1, 6).alias("traits"))
+
+
+def skills_without_level(lines: DataFrame) -> DataFrame:
+    """doc_id, section, items: three or more technical items without a level, where a heading or label says they are technical."""
+    text = bullet_text(F.col("line"))
+    label, rest = F.trim(F.split_part(text, F.lit(":"), F.lit(1))), F.trim(F.regexp_extract(text, r"^[^:]*:(.*)$", 1))
+    labelled = (rest != "") & has(label, TECHNICAL)
+    rows = lines.where((F.trim("line") != "") & ~has(text, SKILL_LEVEL)).where(labelled | has(F.col("section"), TECHNICAL))
+    items = F.transform(F.split(F.when(labelled, rest).otherwise(text), r"\s*[,;/()\x{2022}\x{B7}|]\s*|\s+(?:and|und)\s+"), lambda i: F.trim(i, F.lit(" .-–—()")))
+    kept = F.filter(items, lambda i: F.char_length(i).between(2, 28) & (F.size(F.split(i, r"\s+")) <= 3) & i.rlike(r"\p{L}") & ~i.rlike(r"(?:19|20)\d{2}") & ~F.lower(i).isin(BUZZWORDS))
+    rows = rows.select("doc_id", "section", "line_no", F.posexplode(kept).alias("k", "item"))
+    found = rows.groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "k", "item"))), lambda x: x["item"]).alias("items"))
+    return found.where(F.size("items") >= 3)
+
+
+def ats_row(docs: DataFrame, headings: DataFrame, marks: DataFrame) -> DataFrame:
+    """``docs`` (doc_id, table_count) with problems and status: icons at headings, odd bullets, tables.
+
+    ``headings`` (doc_id, damage), ``marks`` (doc_id, marks).
+    """
+    damaged = headings.where("damage = 'icon'").groupBy("doc_id").agg(F.count("*").alias("icons"))
+    rows = docs.join(damaged, "doc_id", "left").join(marks, "doc_id", "left")
+    problems = F.filter(F.array(F.when(F.col("icons") > 0, "icon_headings"), F.when(F.size("marks") > 0, "bullets"), F.when(F.col("table_count") > 0, "tables")), lambda p: p.isNotNull())
+    return rows.select("doc_id", problems.alias("problems"), F.when(F.size(problems) > 0, "attention").otherwise("good").alias("status"))

@@ -167,11 +167,14 @@ def redact(docs: DataFrame, as_of: str, names: str | None = None) -> DataFrame:
     return rows.withColumn("residual", residual(F.col("redacted"))).withColumn("degraded", F.lit(names is None)).drop(*[f"_{k}" for k in range(n + 1)])
 
 
-def redact_names(text: Column, names: Column) -> Column:
-    """Every part of every name, longest first, on word boundaries; parts under three letters stay."""
+def redact_names(text: Column, names: Column, unless: str = "") -> Column:
+    """Every part of every name, longest first, on word boundaries; parts under three letters stay.
+
+    ``unless`` is a pattern that a part must not be followed by.
+    """
     parts = F.filter(F.array_distinct(F.flatten(F.transform(names, lambda n: F.split(n, r"[\s.,]+")))), lambda p: F.char_length(p) >= 3)
     ordered = F.array_sort(parts, lambda a, b: F.char_length(b) - F.char_length(a))
-    quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b"))
+    quoted = lambda p: F.concat(F.lit(r"(?U)\b\Q"), p, F.lit(r"\E\b" + (f"(?!{unless})" if unless else "")))
     return F.aggregate(F.coalesce(ordered, F.array().cast("array<string>")), text, lambda t, p: F.regexp_replace(t, quoted(p), F.lit(placeholder("name"))))
 
 

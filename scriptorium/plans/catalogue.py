@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import patterns as P
 from scriptorium.functions import vocabulary as V
 from scriptorium.operators import (
-    entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, redaction, rendering, sessions, severity, timeline,
+    entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, redaction, rendering, selection, sessions, severity, timeline,
 )
 from scriptorium.plans import fixtures as X
 
@@ -554,6 +554,70 @@ def letter_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.paragraph_values(body, letters.select("doc_id", "other"))
 
 
+@query()
+def letter_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters.strip_letter(X.WHOLE_LETTERS.frame(spark))
+
+
+@query(rf"""
+SELECT doc_id, i.item, regexp_matches(coalesce(text, ''), i.pattern) AS present FROM {X.WHOLE_LETTERS.sql},
+  (VALUES {", ".join(f"({_text(k)}, {_text('(?i)' + p)})" for k, p in letters.CHECKS.items())}) AS i(item, pattern)
+""")
+def letter_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters.checklist(X.WHOLE_LETTERS.frame(spark))
+
+
+@query()
+def content_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = lines.lines_of(_docs(spark, sf_dir, X.CONTENT))
+    found = selection.select_content(body, headings.identify(body, V.heading_table(spark)))
+    return found.select("doc_id", "applied", "dropped_lines", "sections", F.md5("text").alias("text_md5"))
+
+
+@query()
+def name_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = lines.lines_of(X.NAME_TEXTS.frame(spark))
+    return selection.corroborated(X.NAMES.frame(spark), body, headings.identify(body, V.heading_table(spark)))
+
+
+@query(rf"""
+WITH t AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), l AS (SELECT doc_id, k - 1 AS row_no, ls[k] AS line FROM t, range(1, 100000) r(k) WHERE k <= len(ls)),
+f AS (SELECT doc_id, row_no, line, list_filter(string_split_regex(regexp_replace(line, '^[ \t]+|[ \t]+$', '', 'g'), '[ \t]{{2,}}'), lambda x: x <> '') AS fs FROM l WHERE trim(line) <> '')
+SELECT doc_id, count(*) AS rows, CAST(sum(len(fs)) AS BIGINT) AS pieces, CAST(max(list_sum(list_transform(fs, lambda x: length(x) * 5 + 15)) - 15 + 5 * (length(line) - length(regexp_replace(line, '^[ \t]+', '')))) AS DOUBLE) AS right_edge FROM f GROUP BY doc_id
+""")
+def text_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = layout.pieces_of_text(_docs(spark, sf_dir))
+    return pieces.groupBy("doc_id").agg(F.countDistinct("row_no").alias("rows"), F.count("*").alias("pieces"), F.max("x1").alias("right_edge"))
+
+
+@query()
+def heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = layout.pieces_of_text(_docs(spark, sf_dir, X.PIECES))
+    return layout.heading_style(layout.rows_of(pieces), layout.body_size(pieces))
+
+
+@query()
+def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return layout.columns_of(layout.pieces_of_text(_docs(spark, sf_dir, X.PIECES)), 4 * layout.CHAR_WIDTH)
+
+
+@query()
+def soft_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.soft_skills_only(X.TRAITS.frame(spark))
+
+
+@query()
+def skills_without_level(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.skills_without_level(X.TRAITS.frame(spark))
+
+
+@query()
+def ats_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = lines.lines_of(_docs(spark, sf_dir, X.CV))
+    docs = body.select("doc_id").distinct().withColumn("table_count", F.lit(0))
+    return facts.ats_row(docs, headings.identify(body, V.heading_table(spark)), facts.unusual_bullets(body))
+
+
 # --- conversations ---
 
 

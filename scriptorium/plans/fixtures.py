@@ -154,3 +154,26 @@ CATALOGUE = Relation(
 )
 PICK_DOCS = Relation("doc_id long, text string, role string", [(1, "member of the choir", "Consulting"), (2, "nothing", None), (3, None, "Finance")])
 WEAK = Relation("doc_id long, section string", [(1, "Extracurricular"), (3, "Extracurricular"), (3, "Education")])
+WHOLE_LETTERS = Relation(
+    "doc_id long, text string",
+    [
+        (-1, "Muster AG\nMs Anika Beispiel\nz.Hd. Frau Anika Beispiel\nMusterweg 1\n\nDear Ms Beispiel,\n\nI met Anika at a fair. I am available from May.\n\nKind regards,\nAda Muster"),
+        (-2, "Subject: role\nDear Hiring Team,\nI apply.\nYours sincerely\nEnclosure: CV"),
+        (-3, None),
+    ],
+)
+CONTENT = Relation(
+    "doc_id long, text string",
+    [
+        (-1, "Ada Muster\nMusterweg 1\nEducation\nBSc 2019 - 2021\nThesis\nInterests\nChess"),
+        (-2, "Ada Muster\nI am a person who writes a long line of prose above everything else here\nEducation\nx\nInterests\ny"),
+        (-3, "only text"),
+    ],
+)
+NAMES = Relation("doc_id long, name string", [(-1, "Berta Test"), (-1, "Gallen"), (-2, "Carl Ohne")])
+NAME_TEXTS = Relation("doc_id long, text string", [(-1, "Worked with Dr. Berta Test\nUniversity of St. Gallen"), (-2, "met Carl Ohne once")])
+PIECES = Relation("doc_id long, text string", [(-1, "EDUCATION\n\nExample University     2019 - 2021\n  - detail of the work\n\nWORK HISTORY\n\nMuster AG     2021 - 2022\n  - more detail there\n\nOTHER THINGS\n\nplain words")])
+TRAITS = Relation(
+    "doc_id long, section string, line_no int, line string",
+    [(1, "Skills", 0, "- team player, motivated"), (1, "Skills", 1, "flexible"), (2, "IT Skills", 0, "Docker, Kafka and Spark"), (2, "IT Skills", 1, "Excel: advanced"), (3, "Skills", 0, "Tools: Git, Figma; Canva")],
+)

@@ -244,3 +244,53 @@ def test_picks_and_rendering(spark):
     assert clean(rendering.without_bullet_counts, "add three bullets") == "add bullets" and clean(rendering.without_placeholders, "by [NAME REDACTED] here") == "by here"
     points = spark.createDataFrame([(["more detail on role", "other"], ["detail on the role more"])], "p array<string>, a array<string>")
     assert points.select(rendering.without_duplicate_points(F.col("p"), F.col("a")).alias("x")).first()["x"] == ["other"]
+
+
+def test_letters(spark):
+    from scriptorium.operators import letters
+
+    got = {r["doc_id"]: r for r in letters.strip_letter(X.WHOLE_LETTERS.frame(spark)).collect()}
+    text = got[-1]["redacted"]
+    assert "Anika" not in text and "Beispiel" not in text and "Ada Muster" not in text and text.startswith("Muster AG\n") and "Dear [RECIPIENT REDACTED]" in text
+    assert "Dear Hiring Team," in got[-2]["redacted"] and "Enclosure: CV" in got[-2]["redacted"] and not got[-2]["had_author"] and got[-3]["redacted"] == ""
+    items = {(r["doc_id"], r["item"]): r["present"] for r in letters.checklist(X.WHOLE_LETTERS.frame(spark)).collect()}
+    assert items[-1, "availability"] and items[-1, "salutation"] and not items[-1, "reference"] and items[-2, "reference"] and not items[-3, "closing"]
+
+
+def test_content_selection_and_names(spark):
+    from scriptorium.operators import selection
+
+    body = lines.lines_of(X.CONTENT.frame(spark))
+    got = {r["doc_id"]: r for r in selection.select_content(body, headings.identify(body, V.heading_table(spark))).collect()}
+    assert (got[-1]["applied"], got[-1]["dropped_lines"], got[-1]["text"].split("\n")[0]) == (True, 2, "Education")
+    assert not got[-2]["applied"] and got[-2]["text"].startswith("Ada") and not got[-3]["applied"] and got[-3]["sections"] == 0
+    texts = lines.lines_of(X.NAME_TEXTS.frame(spark))
+    named = {r["name"]: (r["person"], r["institution_only"]) for r in selection.corroborated(X.NAMES.frame(spark), texts, headings.identify(texts, V.heading_table(spark))).collect()}
+    assert named == {"Berta Test": (True, False), "Gallen": (False, True), "Carl Ohne": (False, False)}
+
+
+def test_layout(spark):
+    from scriptorium.operators import layout
+
+    pieces = layout.pieces_of_text(X.PIECES.frame(spark))
+    assert [r["body"] for r in layout.body_size(pieces).collect()] == [10.0]
+    styles = layout.heading_style(layout.rows_of(pieces), layout.body_size(pieces)).collect()
+    assert [(r["caps"], r["score"] >= 2.5) for r in styles] == [(True, True)]
+    two = spark.createDataFrame([(1, 1, float(x)) for x in [10, 10, 11, 300, 301, 302, 10, 299]], "doc_id long, page int, x0 double")
+    assert [(r["column"], r["left"], r["right"]) for r in layout.columns_of(two, 50.0).orderBy("column").collect()] == [(0, 10.0, 299.0), (1, 299.0, 600.0)]
+    modes = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (1, "a", 2), (1, "b", 3)], "k int, v string, o int")
+    assert [r["v"] for r in layout.commonest(modes, "k", "v", "o").collect()] == ["b"]
+
+
+def test_section_facts(spark):
+    rows = X.TRAITS.frame(spark)
+    assert [(r["doc_id"], r["traits"]) for r in facts.soft_skills_only(rows).collect()] == [(1, ["team player", "motivated", "flexible"])]
+    assert {r["doc_id"]: r["items"] for r in facts.skills_without_level(rows).collect()} == {2: ["Docker", "Kafka", "Spark"], 3: ["Git", "Figma", "Canva"]}
+    check = lambda f, t: one(spark, f, t)
+    assert check(facts.is_routine_service, "Barista") and not check(facts.is_routine_service, "Restaurant manager, barista") and check(facts.is_degree, "MSc Finance") and not check(facts.is_degree, "PhD after Master")
+    role = lambda line, title: spark.createDataFrame([(line, title)], "l string, t string").select(facts.has_role_title(F.col("l"), F.col("t"), F.lit("")).alias("x")).first()["x"]
+    assert role("Analyst 09/2019 - 12/2021", "Muster AG") and not role("2019 - 2021", "Muster AG") and role("2019 - 2021", "Analyst")
+    docs = spark.createDataFrame([(1, "I am someone who writes long sentences about many things.\nAnd another line that continues in the very same manner.\nEducation\nx")], "doc_id long, text string")
+    body = lines.lines_of(docs)
+    intro = facts.unlabelled_intro(body, headings.identify(body, V.heading_table(spark))).collect()
+    assert len(intro) == 1 and intro[0]["intro"].startswith("I am someone")
