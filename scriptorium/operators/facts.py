@@ -138,7 +138,7 @@ def is_degree(value: Column) -> Column:
 def has_role_title(entry_line: Column, title_line: Column, detail: Column) -> Column:
     """Two parts of some length around a separator, or one part with a role's word."""
     combined = F.concat_ws(" | ", *[F.when(F.trim(c) != "", c) for c in (title_line, entry_line, detail)])
-    parts = F.filter(F.transform(F.split(F.regexp_replace(combined, java(P.RANGE, True), ""), r"[|,–—]|\s-\s"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(combined, java(P.RANGE, True), ""), r"[|,–—]|\s-\s"), lambda x: F.trim(x)), lambda p: p != "")
     first, second = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
     return F.coalesce((F.size(parts) >= 2) & (F.char_length(first) > 2) & (F.char_length(second) > 2), F.lit(False)) | ((F.size(parts) == 1) & has(first, ROLE_TITLE))
 
