@@ -51,9 +51,13 @@ class Lattices:
         self.automaton = ahocorasick.Automaton()
         self.log_weight, self.chars = np.zeros(size), np.ones(size, np.int64)
         self.spelt = [b""] * size
+        self.single = np.full(0x110000, -1, np.int32)  # pieces of one character
         for rank, i in enumerate(kept):
             piece = model.id_to_piece(i)
-            self.automaton.add_word(piece, i)
+            if len(piece) == 1:
+                self.single[ord(piece)] = i
+            else:
+                self.automaton.add_word(piece, i)
             self.log_weight[i], self.chars[i] = -alpha * np.log(rank + OFFSET), len(piece)
             self.spelt[i] = piece.replace(MARK, " ").encode()
         self.automaton.make_automaton()
@@ -64,7 +68,7 @@ class Lattices:
 
     def reset(self) -> None:
         self.words: dict[str, int] = {}
-        self.length, self.first, self.nodes = np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+        self.length, self.first, self.start = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.cdf, self.back, self.edge = np.zeros(0), np.zeros(0, np.int32), np.zeros(0, np.int32)
         self.codes: list[list[int]] = []
 
@@ -80,12 +84,13 @@ class Lattices:
         depth = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)
         node_at = np.full(int((length + 1).sum()), -1, np.int64)
         node_at[np.repeat(begin, length) + depth] = np.arange(len(depth))
-        found = np.fromiter(chain.from_iterable(self.automaton.iter("\n".join(lines))), np.int64).reshape(-1, 2)
-        node, piece = node_at[found[:, 0]], found[:, 1]
+        joined = "\n".join(lines)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter(joined)), np.int64).reshape(-1, 2)
+        single = self.single[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)][node_at[: len(joined)] >= 0]
+        alone = np.flatnonzero(single >= 0)
+        node, piece = np.concatenate([node_at[found[:, 0]], alone]), np.concatenate([found[:, 1], single[alone]])
         back = self.chars[piece]
-        alone = np.zeros(len(depth), bool)
-        alone[node[back == 1]] = True
-        missing = np.flatnonzero(~alone)
+        missing = np.flatnonzero(single < 0)
         every = "".join(words)
         raw = [every[k].encode("utf-8", "surrogatepass") for k in missing.tolist()]
         codes = []
@@ -95,7 +100,7 @@ class Lattices:
                 self.codes.append([self.bytes_first + b for b in spelt])
         weight = np.concatenate([self.log_weight[piece], self.log_byte * np.array([len(r) for r in raw], float)])
         node, back, piece = np.concatenate([node, missing]), np.concatenate([back, np.ones(len(missing), np.int64)]), np.concatenate([piece, np.array(codes, np.int64)])
-        order = np.lexsort((back, node, depth[node]))
+        order = np.argsort(depth[node] * len(depth) + node, kind="stable")
         node, back, piece, weight = node[order], back[order], piece[order], weight[order]
         forward = np.zeros(len(depth))
         value = np.empty(len(node))
@@ -111,7 +116,7 @@ class Lattices:
             total = np.add.reduceat(share, heads)
             forward[n[heads]] = top + np.log(total)
             value[low:high] = share / np.repeat(total, runs)
-        order = np.lexsort((back, node))
+        order = np.argsort(2.0 * node - value, kind="stable")  # a node's likeliest edge first
         node, value = node[order], value[order]
         heads = np.flatnonzero(np.diff(node, prepend=-1))
         run = np.cumsum(value)
@@ -119,12 +124,12 @@ class Lattices:
         run = np.minimum(run, 1.0)
         run[np.append(heads[1:], len(node)) - 1] = 1.0
         self.words.update(zip(words, range(len(self.length), len(self.length) + len(words)), strict=True))
-        self.first = np.concatenate([self.first, self.nodes + np.cumsum(length) - length])
+        self.first = np.concatenate([self.first, len(self.start) + np.cumsum(length) - length])
         self.length = np.concatenate([self.length, length])
-        self.cdf = np.concatenate([self.cdf, run + node + self.nodes])
+        self.start = np.concatenate([self.start, len(self.cdf) + heads])
+        self.cdf = np.concatenate([self.cdf, run])
         self.back = np.concatenate([self.back, back[order].astype(np.int32)])
         self.edge = np.concatenate([self.edge, piece[order].astype(np.int32)])
-        self.nodes += len(depth)
 
 
 def lattices(path: str, alpha: float) -> Lattices:
@@ -160,7 +165,7 @@ def sample(texts: list[str], keys: np.ndarray, made: Lattices, seed: int = SEED)
     counts = [len(words) for words in said]
     numbers = [made.words[w] for words in said for w in words]
     word = np.array(numbers, np.int64) if numbers else np.zeros(0, np.int64)
-    length, first, cdf, back, edge = made.length, made.first, made.cdf, made.back, made.edge
+    length, first, start, cdf, back, edge = made.length, made.first, made.start, made.cdf, made.back, made.edge
     total = len(word)
     row = np.repeat(np.arange(len(texts)), counts)
     place = np.arange(total) - np.repeat(np.cumsum([0, *counts[:-1]]) if counts else [], counts).astype(np.int64)
@@ -168,8 +173,12 @@ def sample(texts: list[str], keys: np.ndarray, made: Lattices, seed: int = SEED)
     at, live = (length[word], np.arange(total)) if total else (word, word)
     order, picked, step = [], [], 0
     while len(live):
-        node = first[word[live]] + at[live] - 1
-        chosen = np.searchsorted(cdf, node + _uniform(key[live], place[live], step, seed), side="right")
+        chosen = start[first[word[live]] + at[live] - 1]
+        drawn = _uniform(key[live], place[live], step, seed)
+        beyond = np.flatnonzero(cdf[chosen] <= drawn)
+        while len(beyond):
+            chosen[beyond] += 1
+            beyond = beyond[cdf[chosen[beyond]] <= drawn[beyond]]
         order.append(live)
         picked.append(edge[chosen])
         at[live] -= back[chosen]

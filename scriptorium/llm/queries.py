@@ -30,7 +30,7 @@ def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = decode_ids(encode_sampled(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
     text = F.coalesce("text", F.lit(""))
     return rows.select(
-        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.crc32(F.array_join("ids", " ")).alias("ids_crc32"),
+        "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),
         (F.col("decoded") == text).alias("lossless"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
