@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from scriptorium.llm.runtime import bitmap_filter, checkpointed, positive_hash, probe_filter, text_of
 
 #: Tokens found in so many documents of one batch are counted over all batches.
-LOCAL_COUNT = 3
+LOCAL_COUNT = 2
 #: From this count on a token sorts behind the rare ones; at most so many tokens are told to the
-#: tasks (4 MB). Tokens beyond count as rare, which costs time but no pair.
-FREQUENT_COUNT, FREQUENT_TOKENS = 12, 1 << 18
+#: tasks (9 MB). Tokens beyond count as rare, which costs time but no pair.
+FREQUENT_COUNT, FREQUENT_TOKENS = 6, 1 << 20
 #: Of each further order a prefix so many times as long is kept, of every token 16 bits.
 FURTHER_PREFIXES = (1, 4)
 CACHE_WORDS = 300_000
@@ -70,7 +70,7 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size and digest; per batch the tokens that occur in several sets."""
+    """Per document its set's size and digest; per batch (n = -1) the tokens that occur in several sets, packed."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
@@ -78,25 +78,34 @@ def _measure(docs: DataFrame, words: int) -> DataFrame:
         for batch in batches:
             sets = [shingles(t, words) for t in batch["text"]]
             keys = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key": keys, "token": 0, "count": 0})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key": keys})
             once = {k: s for k, s in zip(keys, sets, strict=True) if k is not None}
             if len(once) >= LOCAL_COUNT:
                 token, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
                 often = count >= LOCAL_COUNT
-                yield pd.DataFrame({"doc_id": 0, "n": -1, "key": None, "token": token[often].view(np.int64), "count": count[often]})
+                packed = token[often].tobytes() + count[often].astype(np.uint16).tobytes()
+                yield pd.DataFrame({"doc_id": [0], "n": [-1], "key": [packed]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary, token long, count long")
+    return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary")
 
 
 def _frequent(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Sorted frequent tokens and their classes (the logarithm of the count); bounded."""
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for packed in batch["key"]:
+                size = len(packed) // 10
+                yield pd.DataFrame({"token": np.frombuffer(packed, np.int64, size), "count": np.frombuffer(packed, np.uint16, size, 8 * size).astype(np.int64)})
+
+    counted = measured.where("n < 0").select("key").mapInPandas(unpack, "token long, count long")
     top = (
-        measured.where("n < 0").groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_COUNT)
+        counted.groupBy("token").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_COUNT)
         .orderBy(F.desc("count"), "token").limit(FREQUENT_TOKENS).toPandas()
     )
     token = top["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(token)
-    return token[order], np.log2(top["count"].to_numpy(np.float64)[order]).astype(np.uint64)
+    return token[order], np.log2(top["count"].to_numpy(np.float64)[order]).astype(np.uint8)
 
 
 def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
@@ -118,7 +127,7 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
                 p, rank = prefix_length(len(s), percent), np.zeros(len(s), np.uint64)
                 if len(tokens):
                     at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    rank = np.where(tokens[at] == s, classes[at], rank)
+                    rank = np.where(tokens[at] == s, classes[at].astype(np.uint64), rank)
                 found = []
                 for k, times in enumerate((1, *FURTHER_PREFIXES)):
                     size = min(len(s), p * times)

@@ -214,7 +214,7 @@ def brute_components(texts, ids, words, percent):
 def test_near_groups_equal_brute_force(spark, words, percent, monkeypatch):
     from scriptorium.llm import jaccard
 
-    monkeypatch.setattr(jaccard, "FREQUENT_COUNT", 4)  # so that small tables have frequent tokens
+    monkeypatch.setattr(jaccard, "FREQUENT_COUNT", 3)  # so that small tables have frequent tokens
     random.seed(words)
     vocabulary = [f"v{k}" for k in range(400)]
     passage = random.choices(vocabulary, k=60)
