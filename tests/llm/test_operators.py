@@ -434,3 +434,21 @@ def test_pipeline_stages(spark):
     texts = [r["text"] for r in rows(kept)]
     assert len(set(texts)) == len(texts)
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(texts)
+
+
+@pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup"])
+def test_query_equals_its_sql(spark, name):
+    duckdb = pytest.importorskip("duckdb")
+    from scriptorium.llm import queries
+    from tests.conftest import SF
+
+    database = duckdb.connect()
+    for table in ("documents", "pages", "conversations"):
+        database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    got = queries.queries()[name](spark, SF)
+    asked = database.execute(queries.oracle_sql()[name])
+    names = [d[0] for d in asked.description]
+    assert sorted(names) == sorted(got.columns)
+    in_order = sorted(names)
+    expected = sorted(str([str(row[names.index(c)]) for c in in_order]) for row in asked.fetchall())
+    assert sorted(str([str(row[c]) for c in in_order]) for row in got.collect()) == expected
