@@ -1,7 +1,8 @@
 """Every query of the library by name, with the SQL that states it where SQL can.
 
 A query runs over the whole of its table; rules that the synthetic tables never trigger run over invented
-rows too (``fixtures``), which are the same in both engines.
+rows too (``fixtures``), which are the same in both engines. Some rules are stated in SQL over the invented
+rows alone; for each of them a query ``document_...`` runs the same operator over the whole table.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import patterns as P
 from scriptorium.functions import vocabulary as V
 from scriptorium.operators import (
-    entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, redaction, rendering, selection, sessions, severity, timeline,
+    entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, profile, redaction, rendering, selection, sessions, severity, timeline,
 )
 from scriptorium.plans import fixtures as X
 
@@ -58,6 +59,32 @@ def _text(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> profile.Profile:
+    return profile.Profile(_docs(spark, sf_dir, X.WHOLE), V.heading_table(spark), AS_OF)
+
+
+def _apart(rows: DataFrame) -> DataFrame:
+    """Invented rows under numbers that no document has."""
+    return rows.withColumn("doc_id", -F.col("doc_id"))
+
+
+def _document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _profile(spark, sf_dir)
+    return profile.with_missing(made.facts(), made, _EXPECTED.frame(spark))
+
+
+def _letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document beside the benchmark item that it is dealt to by number, and the invented letters."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", F.col("text").alias("other"))
+    dealt = _docs(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", F.lit(items.count()))).join(items, "item_id", "left")
+    return dealt.select("doc_id", "text", "other").unionByName(X.LETTERS.frame(spark))
+
+
+def _trait_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _profile(spark, sf_dir).named.where("category = 'Skills & Languages'").select("doc_id", "section", "line_no", "line")
+    return made.unionByName(_apart(X.TRAITS.frame(spark)))
+
+
 DOCS_AND_CONTACT = f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {X.CONTACT.sql})"
 MESSAGES_SQL = f"m AS (SELECT conv_id, turn, role, text FROM conversations UNION ALL SELECT conv_id, turn, role, text FROM {X.MESSAGES.sql})"
 
@@ -169,7 +196,7 @@ def address_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def birth_date_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return X.CONTACT.frame(spark).select("doc_id", redaction.birth_dates(F.coalesce("text", F.lit("")), AS_OF).alias("redacted"))
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", redaction.birth_dates(F.coalesce("text", F.lit("")), AS_OF).alias("redacted"))
 
 
 @query("WITH " + DOCS_AND_CONTACT + " SELECT doc_id, array_to_string(list_filter([" + ", ".join(
@@ -203,7 +230,7 @@ def heading_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def heading_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return headings.identify(lines.lines_of(X.DAMAGED.frame(spark)), V.heading_table(spark))
+    return headings.identify(lines.lines_of(_docs(spark, sf_dir, X.DAMAGED)), V.heading_table(spark))
 
 
 @query()
@@ -254,7 +281,7 @@ def learned_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cv_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = lines.lines_of(X.CV.frame(spark))
+    body = lines.lines_of(_docs(spark, sf_dir, X.CV))
     found = headings.lines_with_section(body, headings.identify(body, V.heading_table(spark)))
     return entries.entries_of(found.where("section IS NOT NULL"))
 
@@ -331,7 +358,11 @@ def entry_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def range_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return timeline.merge_ranges(X.RANGES.frame(spark), X.EXTRA_RANGES.frame(spark))
+    """The ranges under headings, then those that stand elsewhere in a document."""
+    made = _profile(spark, sf_dir)
+    found = timeline.ranges_of(made.body, AS_OF)
+    extra = found.where("section IS NULL").select("doc_id", "raw", "s", "e").unionByName(_apart(X.EXTRA_RANGES.frame(spark)))
+    return timeline.merge_ranges(made.ranges.select("doc_id", "raw", "s", "e").unionByName(_apart(X.RANGES.frame(spark)).select("doc_id", "raw", "s", "e")), extra)
 
 
 @query("""
@@ -346,14 +377,18 @@ def user_inactivity_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- grades and writing ---
 
 
+def _grade_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.lines_of(_docs(spark, sf_dir)).unionByName(X.GRADE_LINES.frame(spark))
+
+
 @query()
 def grade_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grades.find_grades(X.GRADE_LINES.frame(spark))
+    return grades.find_grades(_grade_lines(spark, sf_dir))
 
 
 @query()
 def grade_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grades.convention_notes(grades.find_grades(X.GRADE_LINES.frame(spark)))
+    return grades.convention_notes(grades.find_grades(_grade_lines(spark, sf_dir)))
 
 
 @query(f"SELECT doc_id, count(*) AS entries, count(*) FILTER (has_grade) AS graded FROM {X.ENTRIES.sql} GROUP BY doc_id HAVING count(*) >= 2 AND bool_or(has_grade) AND NOT bool_and(has_grade)")
@@ -477,7 +512,7 @@ def section_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _facts(spark)
+    rows = _document_facts(spark, sf_dir).unionByName(_apart(_facts(spark)))
     ranked = severity.issues(rows)
     return rendering.report(severity.key_areas(ranked), severity.section_status(rows, ranked))
 
@@ -539,24 +574,24 @@ def content_word_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def skills_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.skills_removed(X.LETTERS.frame(spark)).select("doc_id", "kept", "removed")
+    return overlap.skills_removed(_letters(spark, sf_dir)).select("doc_id", "kept", "removed")
 
 
 @query()
 def letter_echoes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return overlap.echoes(X.LETTERS.frame(spark))
+    return overlap.echoes(_letters(spark, sf_dir))
 
 
 @query()
 def letter_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    letters = X.LETTERS.frame(spark)
+    letters = _letters(spark, sf_dir)
     body = overlap.body_paragraphs(overlap.paragraphs(letters), r"^\s*(?:dear|sehr geehrte)", r"^\s*(?:kind regards|freundliche)")
     return overlap.paragraph_values(body, letters.select("doc_id", "other"))
 
 
 @query()
 def letter_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return letters.strip_letter(X.WHOLE_LETTERS.frame(spark))
+    return letters.strip_letter(_docs(spark, sf_dir, X.WHOLE_LETTERS))
 
 
 @query(rf"""
@@ -576,8 +611,10 @@ def content_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def name_corroboration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    body = lines.lines_of(X.NAME_TEXTS.frame(spark))
-    return selection.corroborated(X.NAMES.frame(spark), body, headings.identify(body, V.heading_table(spark)))
+    """Candidates are the lines that look like names."""
+    body = lines.lines_of(_docs(spark, sf_dir, X.NAME_TEXTS))
+    names = body.where(redaction.looks_like_a_name(F.col("line"), V.ROLE_WORDS)).select("doc_id", F.trim("line").alias("name"))
+    return selection.corroborated(names.unionByName(X.NAMES.frame(spark)).distinct(), body, headings.identify(body, V.heading_table(spark)))
 
 
 @query(rf"""
@@ -603,12 +640,12 @@ def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def soft_skills(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.soft_skills_only(X.TRAITS.frame(spark))
+    return facts.soft_skills_only(_trait_lines(spark, sf_dir))
 
 
 @query()
 def skills_without_level(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return facts.skills_without_level(X.TRAITS.frame(spark))
+    return facts.skills_without_level(_trait_lines(spark, sf_dir))
 
 
 @query()
@@ -664,3 +701,117 @@ def handover_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT conv_id, string_agg(coalesce(role, '') || ': ' || coalesce(text, ''), chr(10) ORDER BY turn) AS transcript, count(*) AS turns FROM conversations GROUP BY conv_id")
 def transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.transcripts(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+# --- rules stated in SQL over invented rows, over whole documents ---
+
+
+@query()
+def document_icons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.private_use_stripped(_profile(spark, sf_dir).lines)
+
+
+@query()
+def document_labelled_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir, X.CONTACT).select("doc_id", redaction.labelled_fields(F.coalesce("text", F.lit(""))).alias("redacted"))
+
+
+@query()
+def document_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _profile(spark, sf_dir)
+    return headings.sections(made.headings, made.lines)
+
+
+@query()
+def document_lines_under_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _profile(spark, sf_dir)
+    return headings.lines_with_section(made.lines, made.headings)
+
+
+@query()
+def document_missing_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = _profile(spark, sf_dir)
+    return headings.missing_sections(made.lines, made.headings, _EXPECTED.frame(spark))
+
+
+@query()
+def document_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.ranges_of(timeline.join_split_ranges(_profile(spark, sf_dir).lines), AS_OF)
+
+
+@query()
+def document_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _profile(spark, sf_dir).date_findings()
+
+
+@query()
+def document_uncovered_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.uncovered_runs(_profile(spark, sf_dir).ranges)
+
+
+@query()
+def document_chronology(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.chronology_breaks(_profile(spark, sf_dir).dated_entries())
+
+
+@query()
+def document_grade_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.consistency_notes(_profile(spark, sf_dir).graded_degrees())
+
+
+@query()
+def document_bullet_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.bullet_facts(_profile(spark, sf_dir).bullets, "doc_id", "section")
+
+
+@query()
+def document_mixed_tense(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.mixed_tense(_profile(spark, sf_dir).bullets)
+
+
+@query()
+def document_language_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.language_levels(_profile(spark, sf_dir).named.where("category = 'Skills & Languages'"))
+
+
+@query()
+def document_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return facts.bare_interests(_profile(spark, sf_dir).named.where("display = 'Interests'"))
+
+
+@query()
+def document_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _document_facts(spark, sf_dir)
+
+
+@query()
+def document_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.issues(_document_facts(spark, sf_dir))
+
+
+@query()
+def document_key_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return severity.key_areas(severity.issues(_document_facts(spark, sf_dir)))
+
+
+@query()
+def document_section_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _document_facts(spark, sf_dir)
+    return severity.section_status(rows, severity.issues(rows))
+
+
+@query()
+def document_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weak sections are the expected ones that a document lacks; the role is the first topic that it names."""
+    docs, made = _docs(spark, sf_dir, X.WHOLE), _profile(spark, sf_dir)
+    catalogue = X.CATALOGUE.frame(spark)
+    topics = sorted({row[2] for row in X.CATALOGUE.rows if row[1] == "role"})
+    role = F.coalesce(*[F.when(F.lower("text").contains(t.lower()), F.lit(t)) for t in topics])
+    lacking = headings.missing_sections(made.lines, made.headings, _EXPECTED.frame(spark))
+    weak = lacking.select("doc_id", F.regexp_replace("section", " Activities$", "").alias("section"))
+    return picks.picks(docs.withColumn("role", role), weak, catalogue)
+
+
+@query()
+def document_checklist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return letters.checklist(_docs(spark, sf_dir, X.WHOLE_LETTERS))

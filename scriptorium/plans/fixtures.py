@@ -177,3 +177,18 @@ TRAITS = Relation(
     "doc_id long, section string, line_no int, line string",
     [(1, "Skills", 0, "- team player, motivated"), (1, "Skills", 1, "flexible"), (2, "IT Skills", 0, "Docker, Kafka and Spark"), (2, "IT Skills", 1, "Excel: advanced"), (3, "Skills", 0, "Tools: Git, Figma; Canva")],
 )
+#: Whole documents whose facts, ranges and sections are known.
+WHOLE = Relation(
+    "doc_id long, text string",
+    [
+        (
+            -101,
+            "Ada Muster\nWork Experience\nMuster AG, Analyst 01/2016 - 03/2017\n- Responsible for weekly reports.\n- Managed a team of three people\n- Presenting results to clients\n"
+            "- Prepared slides for the board\nOther AG, Intern 01/2019 - 12/2019\n- Helped with the yearly events.\nThird AG, Trainee 06/2019 - 06/2020\n- Saved 3k CHF in a year\n"
+            "Education\nUniversity of St. Gallen, BSc 2012 - 2015\nGrade: 4.8\nUniversity of Bern, MSc 2010 - 2012\n09/2008\n06/2009\nInterests\nChess\nTennis\n"
+            "IT Skills\nteam player, motivated\nDocker, Kafka, Spark\nLanguages\nEnglish: a bit\nFrench: fluent",
+        ),
+        (-102, "Skills\nteam player, motivated\nflexible"),
+        (-103, "\ue000 line with an icon\nGeburtsort: Beispielstadt\nDear Ms Beispiel,\nI worked with Dr. Berta Test for long\nBerta Test\nKind regards"),
+    ],
+)

@@ -7,8 +7,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import vocabulary as V
-from scriptorium.operators import entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, redaction, rendering, sessions, severity, timeline
+from scriptorium.operators import entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, profile, redaction, rendering, sessions, severity, timeline
+from scriptorium.plans import catalogue
 from scriptorium.plans import fixtures as X
+from tests.conftest import SF
 
 AS_OF = "2026-11-01"
 
@@ -294,3 +296,25 @@ def test_section_facts(spark):
     body = lines.lines_of(docs)
     intro = facts.unlabelled_intro(body, headings.identify(body, V.heading_table(spark))).collect()
     assert len(intro) == 1 and intro[0]["intro"].startswith("I am someone")
+
+
+def test_facts_of_whole_documents(spark):
+    made = profile.Profile(X.WHOLE.frame(spark), V.heading_table(spark), AS_OF)
+    got = {r["doc_id"]: r for r in made.facts().collect()}
+    assert set(got) == {-101, -102, -103}
+    full, skills, plain = got[-101], got[-102], got[-103]
+    assert full["sections"] == ["Work Experience", "Education", "Interests", "Skills & Languages", "Skills & Languages"]
+    assert (full["total_bullets"], full["experience_bullets"], full["weak_bullets"], full["with_outcome"]) == (6, 6, 2, 1)
+    assert full["date_overlaps"] == 1 and full["date_gaps"] == 1 and full["year_only_ranges"] == 2 and full["education_after_experience"]
+    assert (full["languages_missing"], full["languages_plain"], full["bare_interests"], full["skills_without_level"]) == (1, 1, 2, 3)
+    assert full["grade_consistency"] and full["chronology_section"] == "Work Experience" and full["mixed_tense_section"] == "Work Experience"
+    assert skills["soft_skills_only_section"] == "Skills & Languages" and skills["total_bullets"] == 0
+    assert plain["sections"] == [] and plain["untailored"] is None and plain["page_count"] is None
+    ranked = severity.issues(made.facts()).where("doc_id = -101")
+    assert {"date_gap", "date_overlap", "entry_chronology", "grade_consistency", "bare_interests"} <= {r["key"] for r in ranked.collect()}
+
+
+@pytest.mark.parametrize("name", ["birth_date_redaction", "document_labelled_fields", "letter_redaction", "skills_removed"])
+def test_queries_keep_every_document(spark, name):
+    asked = catalogue.queries()[name](spark, SF).select("doc_id").distinct()
+    assert spark.read.parquet(f"{SF}/documents.parquet").join(asked, "doc_id", "left_anti").count() == 0
