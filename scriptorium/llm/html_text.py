@@ -9,8 +9,11 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -43,7 +46,6 @@ _TOKEN = re.compile(
 _ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?", re.S)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
-MAX_DEPTH = 400
 
 
 @dataclass
@@ -53,15 +55,43 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
+class _Stack:
+    """The open elements below the root, and where those of each name stand, so that deep pages stay linear."""
+
+    def __init__(self, root: Node) -> None:
+        self.nodes = [root]
+        self.places: dict[str, list[int]] = defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.places[node.tag].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, at: int) -> None:
+        while len(self.nodes) > at:
+            self.places[self.nodes.pop().tag].pop()
+
+    def last(self, tag: str) -> int:
+        """Where the innermost open element of a name stands, 0 if there is none."""
+        places = self.places.get(tag)
+        return places[-1] if places else 0
+
+    def close(self, ends: frozenset[str], bound: frozenset[str]) -> None:
+        """Pop up to the outermost open element of ``ends`` above the boundary."""
+        floor = max(map(self.last, bound))
+        above = [places[k] for tag in ends if (places := self.places.get(tag)) and (k := bisect_right(places, floor)) < len(places)]
+        if above:
+            self.cut(min(above))
+
+
 def parse(source: str) -> Node:
     """The tree of a page; text and unknown elements anywhere, end tags without a start are dropped."""
     root = Node("html")
-    stack, at, size = [root], 0, len(source)
+    stack, at, size = _Stack(root), 0, len(source)
     while at < size:
         found = _TOKEN.search(source, at)
         text = source[at : found.start() if found else size]
         if text:
-            stack[-1].children.append(html.unescape(text))
+            stack.nodes[-1].children.append(html.unescape(text))
         if not found:
             break
         at = found.end()
@@ -69,47 +99,34 @@ def parse(source: str) -> Node:
             continue
         tag = found[2].lower()
         if found[1]:
-            names = [n.tag for n in stack]
-            if tag in names[1:]:
-                del stack[len(names) - 1 - names[::-1].index(tag) :]
+            if stack.last(tag):
+                stack.cut(stack.last(tag))
             elif tag == "p":
-                stack[-1].children.append(Node("p"))
+                stack.nodes[-1].children.append(Node("p"))
             continue
         if tag in ("html", "body"):
             continue
         if tag in ENDS_PARAGRAPH:
-            _close(stack, frozenset({"p"}), frozenset({"td", "th", "table", "button", "li", "dd", "dt"}))
+            stack.close(frozenset({"p"}), frozenset({"td", "th", "table", "button", "li", "dd", "dt"}))
         if tag in IMPLIED_END:
-            _close(stack, *IMPLIED_END[tag])
-        if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
+            stack.close(*IMPLIED_END[tag])
+        if tag in ("td", "th") and stack.nodes[-1].tag in ("table", "thead", "tbody", "tfoot"):
             row = Node("tr")
-            stack[-1].children.append(row)
-            stack.append(row)
+            stack.nodes[-1].children.append(row)
+            stack.push(row)
         attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found[3])} if found[3] else {}
         node = Node(tag, attributes)
-        stack[-1].children.append(node)
+        stack.nodes[-1].children.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
             inner = source[at : end.start() if end else size]
             node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
             at = end.end() if end else size
-        elif tag not in VOID and not (found[3] and found[3].endswith("/") and tag in ("svg", "path")) and len(stack) < MAX_DEPTH:
-            stack.append(node)
+        elif tag not in VOID and not (found[3] and found[3].endswith("/") and tag in ("svg", "path")):
+            stack.push(node)
     return root
 
 
-def _close(stack: list[Node], ends: frozenset[str], bound: frozenset[str]) -> None:
-    """Pop up to the outermost open element of ``ends`` above the boundary."""
-    last = None
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].tag in ends:
-            last = k
-        elif stack[k].tag in bound:
-            break
-    if last is not None:
-        del stack[last:]
-
-
 def hidden(node: Node) -> bool:
     attributes = node.attributes
     return (
@@ -167,15 +184,33 @@ class _Lines:
         return "\n".join(self.lines).strip("\n")
 
 
-def render(node: Node) -> str:
-    out = _Lines()
-    _render(node, out, False, 0)
-    return out.done()
+@dataclass
+class _Open:
+    """An element whose children are being written, what to do after the last of them, and its own state."""
+
+    node: Node
+    out: _Lines
+    pre: bool
+    depth: int
+    then: Callable[[], None] | None = None
+    at: int = 0
+    number: int = 0
 
 
-def _render(node: Node, out: _Lines, pre: bool, depth: int) -> None:
-    number = 0
-    for child in node.children:
+def render(node: Node) -> str:
+    """The text of a tree; an explicit stack stands in for recursion, so that no depth is too deep."""
+    top = _Lines()
+    stack = [_Open(node, top, False, 0)]
+    while stack:
+        frame = stack[-1]
+        if frame.at == len(frame.node.children):
+            stack.pop()
+            if frame.then:
+                frame.then()
+            continue
+        child = frame.node.children[frame.at]
+        frame.at += 1
+        out, pre, depth = frame.out, frame.pre, frame.depth
         if isinstance(child, str):
             out.text(child, pre)
             continue
@@ -191,41 +226,57 @@ def _render(node: Node, out: _Lines, pre: bool, depth: int) -> None:
                 out.text(f" {child.attributes['alt']} ", False)
         elif tag == "table":
             out.end(True)
-            for line in _table(child):
-                out.text(line, True)
-                out.end()
-            out.end(True)
+            _open_table(child, out, stack)
         elif tag == "li":
-            number += 1
+            frame.number += 1
             out.end()
-            out.mark = "  " * max(0, depth - 1) + (f"{number}. " if node.tag == "ol" else "- ")
-            _render(child, out, pre, depth)
-            out.end()
-            out.mark = ""
+            out.mark = "  " * max(0, depth - 1) + (f"{frame.number}. " if frame.node.tag == "ol" else "- ")
+            stack.append(_Open(child, out, pre, depth, partial(_end_item, out)))
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dir")
-            out.end(tag in SPACED and not (nested and depth))
-            _render(child, out, pre or tag == "pre", depth + nested)
-            out.end(tag in SPACED and not (nested and depth))
+            gap = tag in SPACED and not (nested and depth)
+            out.end(gap)
+            stack.append(_Open(child, out, pre or tag == "pre", depth + nested, partial(out.end, gap)))
         else:
-            _render(child, out, pre or tag == "textarea", depth)
+            stack.append(_Open(child, out, pre or tag == "textarea", depth))
+    return top.done()
+
+
+def _end_item(out: _Lines) -> None:
+    out.end()
+    out.mark = ""
 
 
 def _rows(table: Node) -> Iterator[Node]:
-    for child in table.children:
-        if isinstance(child, Node) and not hidden(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("thead", "tbody", "tfoot"):
-                yield from _rows(child)
+    waiting = [table]
+    while waiting:
+        node = waiting.pop()
+        if node.tag == "tr" and node is not table:
+            yield node
+            continue
+        waiting += [c for c in reversed(node.children) if isinstance(c, Node) and not hidden(c) and c.tag in ("tr", "thead", "tbody", "tfoot")]
 
 
-def _table(table: Node) -> list[str]:
-    """Caption and stray content first, then rows whose cells stand in columns, two spaces apart."""
-    rows = [[[line for line in render(c).split("\n") if line] for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)] for r in _rows(table)]
+def _open_table(table: Node, out: _Lines, stack: list[_Open]) -> None:
+    """Put the table's cells and its stray content on the stack, each with lines of its own, and lay them out after the last."""
     rest = Node("div", {}, [c for c in table.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot", "colgroup"))])
-    lines = [line for line in render(rest).split("\n") if line]
-    rows = [[" ".join(cell) for cell in row] for row in rows]
+    rows = [[(c, _Lines()) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)] for r in _rows(table)]
+    stray = _Lines()
+
+    def laid_out() -> None:
+        for line in _aligned(stray, [[cell for _, cell in row] for row in rows]):
+            out.text(line, True)
+            out.end()
+        out.end(True)
+
+    stack.append(_Open(rest, stray, False, 0, laid_out))
+    stack.extend(_Open(c, cell, False, 0) for row in reversed(rows) for c, cell in reversed(row))
+
+
+def _aligned(stray: _Lines, cells: list[list[_Lines]]) -> list[str]:
+    """Caption and stray content first, then rows whose cells stand in columns, two spaces apart."""
+    lines = [line for line in stray.done().split("\n") if line]
+    rows = [[" ".join(line for line in cell.done().split("\n") if line) for cell in row] for row in cells]
     width = [max(len(row[k]) for row in rows if k < len(row)) for k in range(max(map(len, rows), default=0))]
     for row in rows:
         line = "  ".join(cell.ljust(w) for cell, w in zip(row, width, strict=False)).rstrip()
@@ -242,7 +293,7 @@ def visible_text(source: str | None) -> str:
 def extract(pages: DataFrame, column: str = "html") -> DataFrame:
     """``pages`` with ``visible`` added, a row for each row; pages never leave their partition.
 
-    A column named visible is replaced. Elements nested more than MAX_DEPTH deep are flattened.
+    A column named visible is replaced.
     """
 
     @F.pandas_udf("string")

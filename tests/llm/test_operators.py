@@ -384,6 +384,22 @@ def test_visible_text(page, text):
     assert visible_text(page) == text
 
 
+@pytest.mark.parametrize("deep", ["<font>" * 5000, "<div>" * 5000, "<b><span>" * 50_000])
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("a<div hidden>no<p>no</p></div><p style='display:none'>no</p><p>yes", "a\n\nyes"),
+        ("<table><tr><th>Name<th>N<tr><td>xx<td>1<tr><td>long name</table>z", "Name       N\nxx         1\nlong name\n\nz"),
+        ("<ul><li>a<li>b<ul><li>c</ul><li>d</ul>", "- a\n- b\n  - c\n- d"),
+        ("<i>x</i></b><p>y", "x\n\ny"),
+    ],
+)
+def test_visible_text_of_deep_pages(deep, page, text):
+    from scriptorium.llm.html_text import visible_text
+
+    assert visible_text(deep + page) == text
+
+
 def test_extract_keeps_rows(spark):
     from scriptorium.llm.html_text import extract
 
