@@ -5,9 +5,10 @@ where the output with one turn more starts with the output before, what was adde
 span. A template that changes what it has already written is detected there, with the length of the
 part that still agrees, and no spans are given.
 
-Conversations are rendered in chunks of bounded length, so that a very long one spreads over tasks.
-Whether a template may be rendered so is tested on every chunk: its halves' outputs must make up the
-whole. For other templates ask for whole conversations.
+Whole conversations are rendered, whatever their length. Only a template that its author declares to be
+``concatenative`` (every turn's output depends on that turn alone) is rendered in chunks of bounded
+length, so that a very long conversation spreads over tasks; on every chunk the outputs of its halves
+must then make up the whole.
 """
 
 from __future__ import annotations
@@ -25,10 +26,16 @@ Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turn numbers that are rendered together.
+#: Turn numbers that are rendered together where the template is concatenative.
 CHUNK_TURNS = 32
 
 
+def concatenative(template: Template) -> Template:
+    """Declare that a template writes each turn from that turn alone, so that parts of a conversation may be rendered apart."""
+    template.concatenative = True
+    return template
+
+
 def escape(text: str) -> str:
     """Put the escape mark into every control string; ``unescape`` undoes it exactly."""
     return re.sub(r"<\|(im_start|im_end|esc)\|>", lambda m: f"<|esc|>{m[1]}|>", text)
@@ -38,6 +45,7 @@ def unescape(text: str) -> str:
     return re.sub(r"<\|esc\|>(im_start|im_end|esc|nl)\|>", lambda m: "\n" if m[1] == "nl" else f"<|{m[1]}|>", text)
 
 
+@concatenative
 def chat_template(turns: Sequence[Turn]) -> str:
     """Every turn as start mark, role, new line, text, end mark, new line; texts and roles escaped."""
     return "".join(f"{START}{escape(role).replace(chr(10), '<|esc|>nl|>')}\n{escape(text)}{END}\n" for role, text in turns)
@@ -91,15 +99,18 @@ FORMATTED = (
 )
 
 
-def format_conversations(turns: DataFrame, template: Template = chat_template, learn: str = "assistant", chunk_turns: int | None = CHUNK_TURNS) -> DataFrame:
-    """A row for each chunk of a conversation: its output, each turn's span and loss mask, any rewrite.
+def format_conversations(turns: DataFrame, template: Template = chat_template, learn: str = "assistant", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
+    """A row for each conversation, or chunk of one: its output, each turn's span and loss mask, any rewrite.
 
-    ``chunk_turns=None`` renders whole conversations. The mask of a turn to learn is its span without
+    Conversations are rendered whole unless the template is declared ``concatenative``; then a row holds
+    ``chunk_turns`` turn numbers, and ``joins`` says whether its halves make it up. The mask of a turn to learn is its span without
     the marks around its text. Turns are ordered by turn, role and text. A null text or role is empty,
     a null turn comes first; rows without conversation are one conversation. An empty table gives no
     rows; other columns are ignored.
     """
 
+    apart = getattr(template, "concatenative", False)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
@@ -111,10 +122,10 @@ def format_conversations(turns: DataFrame, template: Template = chat_template, l
                     mask = (made.text.index("\n", begin) + 1, stop - len(END) - 1) if role == learn else (-1, -1)
                     spans.append({"begin": begin, "stop": stop, "role": role, "loss_begin": mask[0], "loss_stop": mask[1]})
                 rewritten = -1 if made.rewritten_at is None else made.rewritten_at
-                out.append((conv_id, chunk, made.text, rewritten, joins(said, made.text, template), spans))
+                out.append((conv_id, chunk, made.text, rewritten, not apart or joins(said, made.text, template), spans))
             yield pd.DataFrame(out, columns=["conv_id", "chunk", "formatted", "rewritten_at", "joins", "spans"])
 
-    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(1 << 40))) if chunk_turns else F.lit(0)
+    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(1 << 40))) if apart else F.lit(0)
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     return (
         turns.groupBy(F.col("conv_id").cast("string").alias("conv_id"), chunk.cast("long").alias("chunk"))

@@ -322,6 +322,22 @@ def test_chat_round_trip(spark):
     assert digests(format_conversations(conversations.limit(0))).count() == 0
 
 
+def test_templates_see_whole_conversations(spark):
+    from scriptorium.llm.chat import chat_template, concatenative, digests, format_conversations, render
+
+    table = [(1, k, "user", f"turn {k}") for k in range(100)] + [(2, k, "user", f"turn {k}") for k in range(30)]
+    conversations = spark.createDataFrame(table, "conv_id long, turn long, role string, text string")
+    forgets = lambda turns: chat_template(turns[-40:])
+    made = {r["conv_id"]: r for r in rows(format_conversations(conversations, forgets))}
+    said = [("user", f"turn {k}") for k in range(100)]
+    assert made["1"]["formatted"] == forgets(said) and made["1"]["rewritten_at"] == render(said, forgets).rewritten_at == 40 and made["1"]["spans"] == []
+    assert {r["conv_id"]: r["rewritten"] for r in rows(digests(format_conversations(conversations, forgets)))} == {1: True, 2: False}
+    opened = {r["conv_id"]: r for r in rows(digests(format_conversations(conversations, lambda t: "<s>" + chat_template(t))))}
+    assert {c: (r["n_turns"], r["rewritten"]) for c, r in opened.items()} == {1: (100, False), 2: (30, False)}
+    untrue = concatenative(lambda t: f"{len(t)}" + chat_template(t))
+    assert all(r["rewritten"] for r in rows(digests(format_conversations(conversations, untrue))))
+
+
 # --- sampled pieces ---------------------------------------------------------------------------
 
 
