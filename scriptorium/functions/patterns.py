@@ -54,13 +54,13 @@ POSTCODE_CITY = (
 PLACE_WORD = r"^(?:[A-ZÄÖÜ][\w.\-äöüß]*|an|am|bei|der|des|ob|im|in|auf|sur|sous|les|le|la|aux|près|pres|di|al|sul)$"
 US_ADDRESS = r"\b[A-Z][\w.\-]+(?:[^\S\n]+[A-Z][\w.\-]+){0,2},[^\S\n]*[A-Z]{2}[^\S\n]+\d{5}(?:-\d{4})?\b"
 UK_POSTCODE = r"\b[A-Z]{1,2}\d[A-Z\d]?[^\S\n]*\d[A-Z]{2}\b"
-#: What may stand between a street's word and its number is bounded, so that long texts stay linear.
 _STREETS = "straße|strasse|str\\.|gasse|weg|platz|allee|ring|steig|avenue|street|road|lane"
-STREET = FIELD_START + rf"[^\S\n]*[A-ZÄÖÜ][\w.\-äöüß]*[^\S\n]?(?:{_STREETS})[\w.\-]*(?:[^\S\n]+[\w.\-]+){{0,6}}?[^\S\n]+\d+[a-zA-Z]?[^\S\n]*" + FIELD_END
+STREET = FIELD_START + rf"[^\S\n]*[A-ZÄÖÜ][\w.\-äöüß]*[^\S\n]?(?:{_STREETS})[[\w.\-][^\S\n]]*?[^\S\n]\d+[a-zA-Z]?[^\S\n]*" + FIELD_END
 INLINE_ADDRESS = (
-    rf"[A-ZÄÖÜ][\w.\-äöüß]*\s?(?:{_STREETS})[\w\s.\-]{{0,60}}\s+\d+[a-zA-Z]?\s*,\s*(?:CH|DE|AT|FR|IT|LI)?[\s\-]?\d{{4,5}}\s+"
+    rf"[A-ZÄÖÜ][\w.\-äöüß]*\s?(?:{_STREETS})[\w\s.\-]*\s+\d+[a-zA-Z]?\s*,\s*(?:CH|DE|AT|FR|IT|LI)?[\s\-]?\d{{4,5}}\s+"
     r"[A-ZÄÖÜ][\w.\-äöüß]+(?:[\s,]+[A-ZÄÖÜ][\w.\-äöüß]+)*"
 )
+STREET_NUMBER = r"\b\w*(?:strasse|straße|gasse|platz)\s*\d{1,4}\b"
 PHONE_WORDS = r"\b(?:tel|telephone|phone|mobile|mobil|handy|cell|fon|natel|whatsapp)\b"
 PHONE = r"(?<![\w])(?:\+\d{1,3}[\s./\-]?)?(?:\(?\d{2,4}\)?[\s./\-]?){2,6}\d{2,4}(?![\w])"
 YEAR_RANGE = r"^(?:19|20)\d{2}\s*[-–—/.]\s*(?:19|20)\d{2}$"

@@ -55,13 +55,16 @@ def birth_dates(text: Column, as_of: str) -> Column:
     near = F.transform(
         F.split(text, "\n"),
         lambda line: F.when(has(line, P.BIRTH_KEYS), swap(line, P.DATE_NEAR, placeholder("date_of_birth")))
-        .when(has(line, P.MARKED_BIRTH_LINE), placeholder("date_of_birth"))
-        .when(has(line, P.BARE_DATE_LINE, False) & (_year(line) <= F.year(F.lit(as_of).cast("date")) - 15), placeholder("date_of_birth"))
-        .otherwise(line),
-    )
+        .when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line),
+    )
     return F.array_join(near, "\n")
 
 
+def is_birth_line(line: Column, as_of: str) -> Column:
+    """A marked birth date, or a bare date whose year isn't too recent for one."""
+    return has(line, P.MARKED_BIRTH_LINE) | (has(line, P.BARE_DATE_LINE, False) & (_year(line) <= F.year(F.lit(as_of).cast("date")) - 15))
+
+
 def _year(line: Column) -> Column:
     return F.regexp_extract(line, r"((?:19|20)\d{2})", 1).cast("int")
 
@@ -85,8 +88,22 @@ def is_phone(match: Column, line: Column) -> Column:
 
 
 def phones(text: Column) -> Column:
-    """Candidates are found over the whole text; the label is looked for on the line before the match."""
-    return swap_if(text, P.PHONE, lambda m, before: F.when(is_phone(m, F.concat(F.element_at(F.split(before, "\n"), -1), m)), placeholder("phone")).otherwise(m))
+    """Candidates are found over the whole text; the label is looked for on the whole line on which a match begins."""
+
+    def woven(t: Column) -> Column:
+        rows = F.split(t, "\n")
+        breaks = lambda x: F.char_length(x) - F.char_length(F.replace(x, F.lit("\n"), F.lit("")))
+        pieces = F.zip_with(F.split(t, P.java(P.PHONE, True), -1), every(t, P.PHONE), lambda a, m: F.struct(a.alias("a"), m.alias("m")))
+
+        def step(done: Column, x: Column) -> Column:
+            at = done["at"] + breaks(x["a"])
+            kept = F.when(x["m"].isNull(), "").when(is_phone(x["m"], F.get(rows, at)), placeholder("phone")).otherwise(x["m"])
+            return F.struct((at + F.coalesce(breaks(x["m"]), F.lit(0))).alias("at"), F.array_append(done["out"], F.concat(x["a"], kept)).alias("out"))
+
+        start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(pieces, start, step, lambda done: F.array_join(done["out"], ""))
+
+    return let(text, woven)
 
 
 def looks_like_a_year(match: Column) -> Column:
@@ -111,12 +128,12 @@ def _address(match: Column) -> Column:
 def addresses(text: Column) -> Column:
     """Inline addresses, American and British ones, then postcode with city, which alone lets a street go."""
     numbered = r"\d[a-zA-Z]?\s*,\s*(?:[A-Za-z]{2})?[\s\-]?\d{4,5}\s"  # every inline address has this
-    text = let(text, lambda t: F.when(t.rlike(numbered), swap_if(t, P.INLINE_ADDRESS, lambda m, _: _address(m))).otherwise(t))
+    text = let(text, lambda t: F.when(t.rlike(P.java(numbered, True)), swap_if(t, P.INLINE_ADDRESS, lambda m, _: _address(m))).otherwise(t))
     text = swap(text, P.US_ADDRESS, placeholder("address"), ignore_case=False)
     text = swap(text, P.UK_POSTCODE, placeholder("address"), ignore_case=False)
 
     def with_city(t: Column) -> Column:
-        has_city = F.exists(every(t, P.POSTCODE_CITY, False, True), lambda m: ~looks_like_a_year(m))
+        has_city = _has_city(t)
         cities = swap_if(t, P.POSTCODE_CITY, lambda m, _: F.when(looks_like_a_year(m), m).otherwise(_address(m)), False, True)
         return F.when(has_city, swap(cities, P.STREET, placeholder("address"), lines=True)).otherwise(t)
 
@@ -162,9 +179,9 @@ def redact(docs: DataFrame, as_of: str, names: str | None = None) -> DataFrame:
     if names:
         hits.append(F.when(text != F.col(at), "name"))
     rows = rows.withColumn("_text", text)
-    found = F.array_distinct(F.concat(F.filter(F.array(*hits), lambda c: c.isNotNull()), residual(F.col("_text"))))
-    rows = rows.withColumn("redacted", sweep(F.col("_text"))).withColumn("categories", found).drop("_text")
-    return rows.withColumn("residual", residual(F.col("redacted"))).withColumn("degraded", F.lit(names is None)).drop(*[f"_{k}" for k in range(n + 1)])
+    found = F.array_distinct(F.concat(F.filter(F.array(*hits), lambda c: c.isNotNull()), residual(F.col("_text"), as_of)))
+    rows = rows.withColumn("redacted", sweep(F.col("_text"), as_of)).withColumn("categories", found).drop("_text")
+    return rows.withColumn("residual", residual(F.col("redacted"), as_of)).withColumn("degraded", F.lit(names is None)).drop(*[f"_{k}" for k in range(n + 1)])
 
 
 def redact_names(text: Column, names: Column, unless: str = "") -> Column:
@@ -188,14 +205,31 @@ RESIDUAL = [
 _QUICK = {"email": "@", "profile_url": _SITE, "bank": r"[A-Z]{2}\d{2}", "address": r"\d", "phone": r"\+\d"}
 
 
-def residual(text: Column) -> Column:
-    """Categories that patterns of their own still find."""
-    return F.array_distinct(F.filter(F.array(*[F.when(text.rlike(_QUICK[c]) & has(text, p, i), c) for c, p, i in RESIDUAL]), lambda c: c.isNotNull()))
+def _has_city(text: Column) -> Column:
+    return F.exists(every(text, P.POSTCODE_CITY, False, True), lambda m: ~looks_like_a_year(m))
+
+
+def residual(text: Column, as_of: str | None = None) -> Column:
+    """Categories that patterns of their own still find; lines of birth dates are looked for where ``as_of`` is given."""
+
+    def found(t: Column) -> Column:
+        hits = [F.when(t.rlike(_QUICK[c]) & has(t, p, i), c) for c, p, i in RESIDUAL]
+        hits.append(F.when(t.rlike(_QUICK["address"]) & (has(t, P.STREET_NUMBER) | _has_city(t)), "address"))
+        if as_of:
+            hits.append(F.when(F.exists(F.split(t, "\n"), lambda line: is_birth_line(line, as_of)), "date_of_birth"))
+        return F.array_distinct(F.filter(F.array(*hits), lambda c: c.isNotNull()))
+
+    return let(text, found)
 
 
-def sweep(text: Column) -> Column:
+def sweep(text: Column, as_of: str | None = None) -> Column:
     for category, pattern, fold in RESIDUAL:
         text = let(text, _swept(category, pattern, fold))
+    text = let(text, _swept("address", P.STREET_NUMBER, True))
+    city = lambda m, _: F.when(looks_like_a_year(m), m).otherwise(placeholder("address"))
+    text = let(text, lambda t: F.when(t.rlike(_QUICK["address"]), swap_if(t, P.POSTCODE_CITY, city, False, True)).otherwise(t))
+    if as_of:
+        text = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line)), "\n")
     return text
 
 

@@ -64,6 +64,28 @@ def test_redaction_leaves_nothing_and_keeps_ranges(spark):
     assert redaction.redact(named, AS_OF, "names").first()["redacted"] == "[NAME REDACTED] [NAME REDACTED] wrote; Adamant"
 
 
+@pytest.mark.parametrize(
+    ("layer", "text", "expected"),
+    [
+        (redaction.addresses, "Musterweg a b c d e f g h i 12\n8001 Zürich", "[ADDRESS REDACTED]\n[ADDRESS REDACTED]"),
+        (redaction.addresses, "Musterweg " + "hinten im " * 20 + "Hof 12, 8001 Zürich", "[ADDRESS REDACTED]"),
+        (redaction.addresses, "Musterweg 12, 8001\u00a0Zürich", "[ADDRESS REDACTED]"),
+        (redaction.phones, "1234567 mobile", "[PHONE REDACTED] mobile"),
+        (redaction.phones, "Tel: 1234567; 7654321\nNr. 2345678", "Tel: [PHONE REDACTED]; [PHONE REDACTED]\nNr. 2345678"),
+    ],
+)
+def test_redaction_has_no_bounds(spark, layer, text, expected):
+    assert one(spark, layer, text) == expected
+
+
+@pytest.mark.parametrize("text", ["Bahnhofstrasse 12", "x\n8001 Zürich", "12. August 1990"])
+def test_sweep_of_addresses_and_birth_dates(spark, text):
+    left = spark.createDataFrame([(text,)], "t string").select(redaction.residual(F.col("t"), AS_OF).alias("r"), redaction.sweep(F.col("t"), AS_OF).alias("s")).first()
+    assert len(left["r"]) == 1 and "REDACTED" in left["s"]
+    row = redaction.redact(spark.createDataFrame([(1, "2022 Leiterin der Gruppe Muster\n09. Juni 2024\n" + text)], "doc_id long, text string"), AS_OF).first()
+    assert row["residual"] == [] and row["redacted"].startswith("2022 Leiterin der Gruppe Muster\n09. Juni 2024\n") and text.split("\n")[-1] not in row["redacted"]
+
+
 def test_names_and_personal_sections(spark):
     shaped = lambda t: one(spark, lambda c: redaction.looks_like_a_name(c, V.ROLE_WORDS), t)
     assert shaped("Ada Muster") and not shaped("Data Analyst") and not shaped("Dear Hiring Team") and not shaped("Ada") and not shaped("Ada M4")
