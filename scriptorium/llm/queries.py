@@ -24,10 +24,9 @@ def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sampled segmentations of all documents, decoded again: counts, digests and whether nothing was lost."""
     import public_tokenizers
 
-    from scriptorium.llm.piece_sampling import decode_ids, encode_sampled
+    from scriptorium.llm.piece_sampling import encode_and_decode
 
-    model = public_tokenizers.path("piece_bpe_32k.model")
-    rows = decode_ids(encode_sampled(_table(spark, sf_dir, "documents").select("doc_id", "text"), model), model)
+    rows = encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("piece_bpe_32k.model"))
     text = F.coalesce("text", F.lit(""))
     return rows.select(
         "doc_id", F.size("ids").cast("long").alias("n_ids"), F.xxhash64("ids").alias("ids_hash"),

@@ -36,6 +36,13 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hand Python at most so many rows at a time in this session, for whole texts are long; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= rows:
+        spark.conf.set(setting, str(rows))
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))

@@ -215,6 +215,8 @@ def test_near_groups_equal_brute_force(spark, words, percent, monkeypatch):
     from scriptorium.llm import jaccard
 
     monkeypatch.setattr(jaccard, "FREQUENT_COUNT", 3)  # so that small tables have frequent tokens
+    monkeypatch.setattr(jaccard, "PAIRED_OFF", 2)
+    monkeypatch.setattr(jaccard, "BLOCK_TOKENS", 500)
     random.seed(words)
     vocabulary = [f"v{k}" for k in range(400)]
     passage = random.choices(vocabulary, k=60)
@@ -342,36 +344,58 @@ def test_templates_see_whole_conversations(spark):
 
 
 def test_sampled_segmentations_are_lossless_and_reproducible(spark):
-    from scriptorium.llm.piece_sampling import decode_ids, encode_sampled
+    from scriptorium.llm.piece_sampling import decode_ids, encode_and_decode, encode_sampled
 
     model = public_tokenizers.path("piece_bpe_32k.model")
     table = docs(spark, [*TEXTS, TEXTS[0], "x" * 9000, "▁▁ ▁", "  lead", "².."], [*range(len(TEXTS)), 0, 90, 91, 92, 93])
     got = rows(decode_ids(encode_sampled(table, model), model))
     assert all(r["decoded"] == (r["text"] or "") for r in got)
+    assert sorted(map(str, rows(encode_and_decode(table, model)))) == sorted(map(str, got))
     again = {r["doc_id"]: r["ids"] for r in rows(encode_sampled(table.repartition(3), model))}
     assert all(again[r["doc_id"]] == r["ids"] for r in got)
     other = {r["doc_id"]: r["ids"] for r in rows(encode_sampled(table, model, seed=2))}
     assert other != again
 
 
-def test_sampling_follows_the_lattice(spark):
+@pytest.mark.parametrize("text", ["there", "a  (b's", "   __x", "$(d).", " if();\n  e", "ab▁c²"])
+def test_sampling_follows_the_lattice(text):
+    """Whole texts against every segmentation, over marks, runs of spaces and characters written as bytes."""
     from scriptorium.llm.piece_sampling import lattices, sample
 
     made = lattices(public_tokenizers.path("piece_bpe_32k.model"), 0.5)
-    weight = {made.spelt[i].decode("utf-8", "ignore"): np.exp(made.log_weight[i]) for i in range(259, len(made.spelt)) if made.log_weight[i]}
-
-    def segmentations(word):
-        if not word:
-            yield [], 1.0
-        for k in range(1, len(word) + 1):
-            if word[:k] in weight:
-                yield from (([word[:k], *rest], weight[word[:k]] * p) for rest, p in segmentations(word[k:]))
-
-    every = list(segmentations("there"))
-    total = sum(p for _, p in every)
-    drawn = Counter(tuple(made.spelt[i].decode() for i in ids) for ids in sample(["there"] * 20_000, np.arange(20_000), made))
-    assert set(drawn) <= {tuple(s) for s, _ in every}
-    assert all(abs(drawn[tuple(s)] / 20_000 - p / total) < 0.02 for s, p in every)
+    byte_ids = range(made.bytes_first, made.bytes_first + 256)
+    pieces = {made.spelt[i].decode(): i for i in range(len(made.spelt)) if i not in byte_ids and made.spelt[i] and made.spelt[i] != "▁".encode()}
+    assert sum(map(bool, made.log_weight)) == 31_741
+
+    def segmentations(rest):
+        if not rest:
+            yield (), 1.0
+            return
+        starts = [((pieces[rest[:k]],), k, np.exp(made.log_weight[pieces[rest[:k]]])) for k in range(1, len(rest) + 1) if rest[:k] in pieces]
+        if rest[0] not in pieces:
+            raw = rest[0].encode()
+            starts.append((tuple(made.bytes_first + b for b in raw), 1, np.exp(made.log_byte * len(raw))))
+        for ids, k, weight in starts:
+            yield from ((ids + more, weight * p) for more, p in segmentations(rest[k:]))
+
+    every = dict(segmentations(text))
+    total = sum(every.values())
+    drawn = Counter(tuple(ids.tolist()) for ids in sample([text] * 20_000, np.arange(20_000), made))
+    assert set(drawn) <= set(every)
+    assert all(abs(drawn[s] / 20_000 - p / total) < 0.02 for s, p in every.items())
+
+
+def test_sampling_is_the_same_in_blocks_of_any_size(monkeypatch):
+    from scriptorium.llm import piece_sampling as P
+
+    made = P.lattices(public_tokenizers.path("piece_bpe_32k.model"), 0.5)
+    texts = [t or "" for t in TEXTS] + ["x" * 9000 + " yes" * 50]
+    whole = [ids.tolist() for ids in P.sample(texts, np.arange(len(texts)), made)]
+    for size in (64, 1000):
+        monkeypatch.setattr(P, "BATCH_CHARS", size)
+        monkeypatch.setattr(P, "MAX_UNITS", 50)
+        assert [ids.tolist() for ids in P.sample(texts, np.arange(len(texts)), made)] == whole
+    assert [P.decode(np.array(ids), made) for ids in whole] == texts
 
 
 # --- pages ------------------------------------------------------------------------------------
