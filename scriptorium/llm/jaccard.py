@@ -8,6 +8,7 @@ bound asks for under each further order. What is left is verified with whole set
 
 A token that many documents have is not paired off. Its documents are first compared with one of them,
 the one with the fewest rare tokens; after that only pairs between different components are formed.
+Sets are compared by 64-bit hashes of their n-grams, whole sets by 128-bit digests; bytes are not.
 """
 
 from __future__ import annotations
@@ -16,19 +17,22 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import bitmap_filter, checkpointed, positive_hash, probe_filter, text_of
+from scriptorium.llm.runtime import bitmap_filter, bounded_batches, checkpointed, positive_hash, probe_filter, text_of
 
-#: Tokens found in so many documents of one batch are counted over all batches.
-LOCAL_COUNT = 2
+#: Tokens found in so many documents of one block are counted over all blocks; a block is so many tokens of a task.
+LOCAL_COUNT, BLOCK_TOKENS = 2, 2_000_000
 #: From this count on a token sorts behind the rare ones; at most so many tokens are told to the
-#: tasks (9 MB). Tokens beyond count as rare, which costs time but no pair.
+#: tasks (9 MB). Tokens beyond sort with the rare ones, which costs time but no pair.
 FREQUENT_COUNT, FREQUENT_TOKENS = 6, 1 << 20
+#: A token that so many prefixes have, told to the tasks or not, is never paired off.
+PAIRED_OFF = 16
 #: Of each further order a prefix so many times as long is kept, of every token 16 bits.
 FURTHER_PREFIXES = (1, 4)
-CACHE_WORDS = 300_000
+#: Words whose hashes a task remembers.
+CACHE_WORDS = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xF1357AEA2E62A9C5], np.uint64)
 
@@ -70,22 +74,35 @@ def shingles(text: str | None, words: int) -> np.ndarray:
 
 
 def _measure(docs: DataFrame, words: int) -> DataFrame:
-    """Per document its set's size and digest; per batch (n = -1) the tokens that occur in several sets, packed."""
+    """Per document its set's size and digest; per block (n = -1) the tokens that occur in several sets, packed."""
+
+    def packed(block: dict[bytes, np.ndarray]) -> pd.DataFrame:
+        token, count = np.unique(np.concatenate([np.zeros(0, np.uint64), *block.values()]), return_counts=True)
+        often = count >= LOCAL_COUNT
+        return pd.DataFrame({"doc_id": [0], "n": [-1], "key": [token[often].tobytes() + count[often].astype(np.uint32).tobytes()]})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from xxhash import xxh3_128_digest
 
+        block, held = {}, 0
         for batch in batches:
-            sets = [shingles(t, words) for t in batch["text"]]
-            keys = [xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": [len(s) for s in sets], "key": keys})
-            once = {k: s for k, s in zip(keys, sets, strict=True) if k is not None}
-            if len(once) >= LOCAL_COUNT:
-                token, count = np.unique(np.concatenate(list(once.values())), return_counts=True)
-                often = count >= LOCAL_COUNT
-                packed = token[often].tobytes() + count[often].astype(np.uint16).tobytes()
-                yield pd.DataFrame({"doc_id": [0], "n": [-1], "key": [packed]})
-
+            sizes, keys = [], []
+            for text in batch["text"]:
+                s = shingles(text, words)
+                sizes.append(len(s))
+                keys.append(xxh3_128_digest(s.tobytes()) if len(s) else None)
+                if len(s) and keys[-1] not in block:
+                    block[keys[-1]] = s
+                    held += len(s)
+                    if held >= BLOCK_TOKENS:
+                        yield packed(block)
+                        block, held = {}, 0
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "n": sizes, "key": keys})
+        if block:
+            yield packed(block)
+        _word_hash.clear()
+
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, "doc_id long, n long, key binary")
 
 
@@ -95,8 +112,8 @@ def _frequent(measured: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for packed in batch["key"]:
-                size = len(packed) // 10
-                yield pd.DataFrame({"token": np.frombuffer(packed, np.int64, size), "count": np.frombuffer(packed, np.uint16, size, 8 * size).astype(np.int64)})
+                size = len(packed) // 12
+                yield pd.DataFrame({"token": np.frombuffer(packed, np.int64, size), "count": np.frombuffer(packed, np.uint32, size, 8 * size).astype(np.int64)})
 
     counted = measured.where("n < 0").select("key").mapInPandas(unpack, "token long, count long")
     top = (
@@ -141,8 +158,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
                         found.append(np.unique(s[first].astype(np.uint16)).view(np.int16))
                 out.append((node, len(s), cold, *found))
             yield pd.DataFrame(out, columns=["node", "n", "cold", "first", *(f"further{k}" for k in range(len(FURTHER_PREFIXES)))])
+        _word_hash.clear()
 
     kinds = ", ".join(f"further{k} array<short>" for k in range(len(FURTHER_PREFIXES)))
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInPandas(run, f"node long, n long, cold long, first array<long>, {kinds}")
 
 
@@ -185,6 +204,7 @@ def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> Data
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame({"node": batch["doc_id"], "tokens": [shingles(t, words).tobytes() for t in batch["text"]]})
+        _word_hash.clear()
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -229,7 +249,10 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
     """node, label of the linked ones among ``docs``, whose sets are all different."""
     prefixes = checkpointed(_prefixes(docs, words, percent, frequent))
     tokens = prefixes.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
-    cold, hot = tokens.where("pos < cold").drop("cold"), tokens.where("pos >= cold")
+    told = tokens.where("pos >= cold")
+    shared = tokens.where("pos < cold").withColumn("has", F.count("*").over(Window.partitionBy("token"))).where("has > 1")
+    shared = checkpointed(shared)
+    cold, hot = shared.where(f"has <= {PAIRED_OFF}").drop("has"), checkpointed(told.unionByName(shared.where(f"has > {PAIRED_OFF}").drop("has")))
     apart = F.col("a.node") < F.col("b.node")
     rare = _pairs(cold.alias("a").join(cold.alias("b"), (F.col("a.token") == F.col("b.token")) & apart & _enough_left(percent)))
     centre = hot.groupBy("token").agg(F.min(F.struct("cold", "node", "n", "pos")).alias("c")).select("token", "c.*")

@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import checkpointed, positive_hash
+from scriptorium.llm.runtime import bounded_batches, checkpointed, positive_hash
 
 MAX_TOKENS = 4096
 #: Neither binds for sequences of 4096 tokens: a piece has a token at least, and squared lengths
@@ -30,8 +30,8 @@ WEIGHTS = (1.0, 0.02, 0.02)
 END_ID = 1
 #: Pieces that are packed together; more of them leave fewer half-filled sequences.
 GROUP_PIECES = 16_384
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+#: Words whose ids a task remembers, none longer than so many characters.
+CACHE_WORDS, CACHED_CHARS = 150_000, 40
 
 #: Python splits at these four controls; the vocabulary's normaliser doesn't take them for spaces.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
@@ -60,23 +60,30 @@ class WordIds(dict):
         self.parts: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) > CACHE_WORDS:
-            self.clear()
         core = word.rstrip(".,;:!?*$%&#|")
         plain = core.isascii() or (max(core) < "ɐ" and "İ" not in core)
         if core and plain and core.isalpha() and (core == word or not word.startswith("<|")):
             found = self.part(core.lower()) + (self.part(word[len(core) :]) if core != word else b"")
         else:
             found = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = found
+        if len(word) <= CACHED_CHARS:
+            if len(self) > CACHE_WORDS:
+                self.clear()
+            self[word] = found
         return found
 
+    def forget(self) -> None:
+        self.clear()
+        self.parts.clear()
+
     def part(self, text: str) -> bytes:
         if (found := self.parts.get(text)) is None:
-            if len(self.parts) > CACHE_WORDS:
-                self.parts.clear()
             seen = text if text.isascii() else text.encode().decode("latin-1").translate(self.bytes_to_chars)
-            found = self.parts[text] = np.array([t.id for t in self.merges.tokenize(seen)], "<u4").tobytes()
+            found = np.array([t.id for t in self.merges.tokenize(seen)], "<u4").tobytes()
+            if len(text) <= CACHED_CHARS:
+                if len(self.parts) > CACHE_WORDS:
+                    self.parts.clear()
+                self.parts[text] = found
         return found
 
     def ids(self, text: str) -> bytes:
@@ -107,7 +114,9 @@ def cut_into_pieces(docs: DataFrame, vocabulary: str, max_tokens: int = MAX_TOKE
                     cut = ids[at : at + 4 * max_tokens]
                     out.append((doc_id, piece, at // 4, len(cut) // 4, zlib.crc32(cut)))
             yield pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
+        word_ids(vocabulary).forget()
 
+    bounded_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, PIECES)
 
 
