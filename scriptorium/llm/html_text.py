@@ -2,23 +2,26 @@
 
 A tokenizer feeds a small tree builder that implies missing end tags; a renderer walks the tree with
 visibility rules and writes blocks on lines of their own, list items behind their marks, preformatted
-text as it is, and tables with aligned cells.
+text as it is, and tables with aligned cells. Both take time in proportion to the page, however broken.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import partial
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.runtime import bounded_batches
+
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp noembed noframes iframe".split())
 HIDDEN = frozenset("head script style template noscript iframe object svg math canvas audio video datalist select noembed noframes".split())
@@ -38,12 +41,11 @@ IMPLIED_END = {
     **dict.fromkeys("thead tbody tfoot".split(), (frozenset("td th tr thead tbody tfoot caption colgroup".split()), frozenset({"table"}))),
 }
 ENDS_PARAGRAPH = BLOCK - frozenset("td th tr tbody thead tfoot body html".split())
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
-    r"|<(/?)([a-zA-Z][^\s/>]*)((?:\s+|/|[^\s\"'=<>/]+(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'>]*))?|[\"'=])*)\s*>",
-    re.S,
-)
-_ATTRIBUTE = re.compile(r"([^\s\"'=<>/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]*)))?", re.S)
+_NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+_GAP = re.compile(r"[\s/]*")
+_KEY = re.compile(r"=?[^\s/>=]*")
+_EQUALS = re.compile(r"\s*=\s*")
+_BARE = re.compile(r"[^\s>]*")
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 _UNSEEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
 
@@ -83,22 +85,87 @@ class _Stack:
             self.cut(min(above))
 
 
+class _Scanner:
+    """Reads tags from left to right; no place is read more often than a fixed number of times."""
+
+    def __init__(self, source: str) -> None:
+        self.source, self.at = source, 0
+        self.last = {quote: source.rfind(quote) for quote in "\"'"}
+
+    def text(self) -> str:
+        """What stands before the next tag, comment or end of the page; a < that begins none of them is text."""
+        source, begin, look = self.source, self.at, self.at
+        while True:
+            look = source.find("<", look)
+            if look < 0:
+                self.at = len(source)
+                break
+            follows = source[look + 1 : look + 2]
+            if follows.isascii() and follows.isalpha() or follows in ("!", "?") or (follows == "/" and look + 2 < len(source)):
+                self.at = look
+                break
+            look += 1
+        return source[begin : self.at]
+
+    def past(self, mark: str, at: int) -> None:
+        found = self.source.find(mark, at)
+        self.at = len(self.source) if found < 0 else found + len(mark)
+
+    def attributes(self) -> dict[str, str] | None:
+        """A tag's attributes, the first of each name; None if the page ends within the tag.
+
+        A quoted value without its closing quote is read as a bare one.
+        """
+        source, size, found = self.source, len(self.source), {}
+        while True:
+            self.at = _GAP.match(source, self.at).end()
+            if self.at >= size:
+                return None
+            if source[self.at] == ">":
+                self.at += 1
+                return found
+            key = _KEY.match(source, self.at)
+            self.at, value = key.end(), ""
+            if equals := _EQUALS.match(source, self.at):
+                self.at = equals.end()
+                quote = source[self.at : self.at + 1]
+                if quote in self.last and self.last[quote] > self.at:
+                    end = source.index(quote, self.at + 1)
+                    value, self.at = source[self.at + 1 : end], end + 1
+                else:
+                    value = _BARE.match(source, self.at)[0]
+                    self.at += len(value)
+            found.setdefault(key[0].lower(), html.unescape(value))
+
+
 def parse(source: str) -> Node:
-    """The tree of a page; text and unknown elements anywhere, end tags without a start are dropped."""
+    """The tree of a page; text and unknown elements anywhere, end tags without a start are dropped.
+
+    A page that ends within a tag loses that tag alone.
+    """
     root = Node("html")
-    stack, at, size = _Stack(root), 0, len(source)
-    while at < size:
-        found = _TOKEN.search(source, at)
-        text = source[at : found.start() if found else size]
-        if text:
+    stack, scan, size = _Stack(root), _Scanner(source), len(source)
+    while scan.at < size:
+        if text := scan.text():
             stack.nodes[-1].children.append(html.unescape(text))
-        if not found:
+        at = scan.at
+        if at >= size:
             break
-        at = found.end()
-        if found[2] is None:
+        if source.startswith("<!--", at):
+            scan.past("-->", at + 2 if source[at + 4 : at + 5] == ">" else at + 4)
+            continue
+        if source.startswith("<![CDATA[", at):
+            scan.past("]]>", at)
             continue
-        tag = found[2].lower()
-        if found[1]:
+        closing = source[at + 1] == "/"
+        name = _NAME.match(source, at + 1 + closing)
+        if not name:  # declarations, processing instructions and ends without a name
+            scan.past(">", at)
+            continue
+        scan.at, tag = name.end(), name[0].lower()
+        if (attributes := scan.attributes()) is None:
+            break
+        if closing:
             if stack.last(tag):
                 stack.cut(stack.last(tag))
             elif tag == "p":
@@ -114,15 +181,15 @@ def parse(source: str) -> Node:
             row = Node("tr")
             stack.nodes[-1].children.append(row)
             stack.push(row)
-        attributes = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(found[3])} if found[3] else {}
         node = Node(tag, attributes)
         stack.nodes[-1].children.append(node)
         if tag in RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-            inner = source[at : end.start() if end else size]
+            begin = scan.at
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(source, begin)
+            inner = source[begin : end.start() if end else size]
             node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
-            at = end.end() if end else size
-        elif tag not in VOID and not (found[3] and found[3].endswith("/") and tag in ("svg", "path")):
+            scan.at = end.end() if end else size
+        elif tag not in VOID and not (tag in ("svg", "path") and source[scan.at - 2] == "/"):
             stack.push(node)
     return root
 
@@ -143,7 +210,7 @@ class _Lines:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.open = ""
+        self.open: list[str] = []
         self.space = self.gap = False
         self.mark = ""
 
@@ -152,15 +219,15 @@ class _Lines:
             first, *more = value.split("\n")
             self._put(first)
             for line in more:
-                self.lines.append(self.open)
-                self.open = ""
+                self.lines.append("".join(self.open))
+                self.open = []
                 self._put(line)
             return
         words = _SPACES.sub(" ", value)
         if not words.strip(" "):
             self.space = self.space or bool(words)
             return
-        if (self.space or words[0] == " ") and self.open and not self.open.endswith(" "):
+        if (self.space or words[0] == " ") and self.open and not self.open[-1].endswith(" "):
             self._put(" ")
         self._put(words.strip(" "))
         self.space = words[-1] == " "
@@ -170,13 +237,16 @@ class _Lines:
             if self.gap and self.lines and self.lines[-1]:
                 self.lines.append("")
             self.gap = False
-            self.open, self.mark = self.mark, ""
-        self.open += value
+            if self.mark:
+                self.open.append(self.mark)
+            self.mark = ""
+        if value:
+            self.open.append(value)
 
     def end(self, gap: bool = False) -> None:
         if self.open:
-            self.lines.append(self.open.rstrip(" "))
-        self.open, self.space = "", False
+            self.lines.append("".join(self.open).rstrip(" "))
+        self.open, self.space = [], False
         self.gap = self.gap or gap
 
     def done(self) -> str:
@@ -195,6 +265,24 @@ class _Open:
     then: Callable[[], None] | None = None
     at: int = 0
     number: int = 0
+    step: int = 1
+
+    def __post_init__(self) -> None:
+        if self.node.tag == "ol":
+            given = self.node.attributes
+            if "reversed" in given:
+                self.step = -1
+            first = sum(isinstance(c, Node) and c.tag == "li" for c in self.node.children) if self.step < 0 else 1
+            self.number = _number(given.get("start"), first) - self.step
+
+    def next(self, item: Node) -> int:
+        self.number = _number(item.attributes.get("value"), self.number + self.step)
+        return self.number
+
+
+def _number(value: str | None, default: int) -> int:
+    found = re.match(r"\s*([+-]?[0-9]{1,9})", value or "")
+    return int(found[1]) if found else default
 
 
 def render(node: Node) -> str:
@@ -228,9 +316,9 @@ def render(node: Node) -> str:
             out.end(True)
             _open_table(child, out, stack)
         elif tag == "li":
-            frame.number += 1
+            number = frame.next(child)
             out.end()
-            out.mark = "  " * max(0, depth - 1) + (f"{frame.number}. " if frame.node.tag == "ol" else "- ")
+            out.mark = "  " * max(0, depth - 1) + (f"{number}. " if frame.node.tag == "ol" else "- ")
             stack.append(_Open(child, out, pre, depth, partial(_end_item, out)))
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dir")
@@ -264,7 +352,7 @@ def _open_table(table: Node, out: _Lines, stack: list[_Open]) -> None:
     stray = _Lines()
 
     def laid_out() -> None:
-        for line in _aligned(stray, [[cell for _, cell in row] for row in rows]):
+        for line in _aligned(stray, rows):
             out.text(line, True)
             out.end()
         out.end(True)
@@ -273,15 +361,47 @@ def _open_table(table: Node, out: _Lines, stack: list[_Open]) -> None:
     stack.extend(_Open(c, cell, False, 0) for row in reversed(rows) for c, cell in reversed(row))
 
 
-def _aligned(stray: _Lines, cells: list[list[_Lines]]) -> list[str]:
-    """Caption and stray content first, then rows whose cells stand in columns, two spaces apart."""
+def _placed(rows: list[list[tuple[Node, _Lines]]]) -> list[list[tuple[int, int, str]]]:
+    """First column, column after the last, and text of every cell; cells of earlier rows that reach down take their columns."""
+    out, reaching = [], []  # reaching: first column, column after, rows still to go
+    for k, row in enumerate(rows):
+        taken, at, here, later = sorted(reaching), 0, [], []
+        for node, cell in row:
+            while taken and taken[0][0] <= at:
+                at = max(at, taken.pop(0)[1])
+            wide = min(max(_number(node.attributes.get("colspan"), 1), 1), 1000)
+            down = _number(node.attributes.get("rowspan"), 1)
+            down = len(rows) - k if down == 0 else max(down, 1)
+            here.append((at, at + wide, " ".join(line for line in cell.done().split("\n") if line)))
+            if down > 1:
+                later.append((at, at + wide, down - 1))
+            at += wide
+        reaching = [(a, b, n - 1) for a, b, n in reaching if n > 1] + later
+        out.append(here)
+    return out
+
+
+def _aligned(stray: _Lines, rows: list[list[tuple[Node, _Lines]]]) -> list[str]:
+    """Caption and stray content first, then rows whose cells stand in columns, two spaces apart.
+
+    A cell over several columns begins where the first of them does; the last is widened if it needs more.
+    """
     lines = [line for line in stray.done().split("\n") if line]
-    rows = [[" ".join(line for line in cell.done().split("\n") if line) for cell in row] for row in cells]
-    width = [max(len(row[k]) for row in rows if k < len(row)) for k in range(max(map(len, rows), default=0))]
-    for row in rows:
-        line = "  ".join(cell.ljust(w) for cell, w in zip(row, width, strict=False)).rstrip()
-        if line:
-            lines.append(line)
+    placed = _placed(rows)
+    starts = sorted({a for row in placed for a, _, _ in row})
+    number = {a: k for k, a in enumerate(starts)}
+    ends = {b: bisect_left(starts, b) for row in placed for _, b, _ in row}
+    width = [0] * len(number)
+    cells = [(number[a], ends[b], text) for row in placed for a, b, text in row]
+    for a, b, text in sorted(cells, key=lambda c: c[1] - c[0]):
+        width[b - 1] += max(0, len(text) - sum(width[a:b]) - 2 * (b - a - 1))
+    begin = [0, *accumulate(w + 2 for w in width)]
+    for row in placed:
+        line = ""
+        for a, _, text in row:
+            line = line.ljust(begin[number[a]]) + text
+        if line.strip(" "):
+            lines.append(line.rstrip())
     return lines
 
 
@@ -295,6 +415,7 @@ def extract(pages: DataFrame, column: str = "html") -> DataFrame:
 
     A column named visible is replaced.
     """
+    bounded_batches(pages.sparkSession)
 
     @F.pandas_udf("string")
     def run(sources: pd.Series) -> pd.Series:
