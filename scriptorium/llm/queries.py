@@ -71,7 +71,7 @@ ORACLE_OP3 = """
 WITH p AS (
   SELECT page_id, CAST('2024-01-01' AS DATE) + CAST(page_id % 366 AS INTEGER) AS fetched,
          lower(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)', 1)) AS host,
-         list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '')[1:8] AS segments,
+         list_filter(string_split(regexp_extract(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda s: s <> '') AS segments,
          regexp_extract(url, '//([^/?#]+/[^/?#]+/[0-9]+)', 1) AS prefix
   FROM pages
 ), names AS (
@@ -87,9 +87,9 @@ WITH p AS (
 ), asked AS (
   SELECT page_id, fetched, 'h:' || host AS key, 1000 AS rank FROM p
   UNION ALL
-  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[-k:], '.'), k FROM p, range(1, 20) r(k) WHERE k <= len(string_split(host, '.'))
+  SELECT page_id, fetched, 'd:' || array_to_string(string_split(host, '.')[-k:], '.'), k FROM (SELECT *, unnest(range(1, len(string_split(host, '.')) + 1)) AS k FROM p)
   UNION ALL
-  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(segments[1:k], '/'), 1000 + k FROM p, range(1, 9) r(k) WHERE k <= len(segments)
+  SELECT page_id, fetched, 'p:' || host || '/' || array_to_string(segments[1:k], '/'), 1000 + k FROM (SELECT *, unnest(range(1, len(segments) + 1)) AS k FROM p)
 ), hit AS (
   SELECT page_id, base.*, row_number() OVER (PARTITION BY page_id ORDER BY rank DESC, since DESC, verdict = 'block' DESC, category DESC, base.key DESC) AS n
   FROM asked JOIN base ON asked.key = base.key AND since <= fetched AND (until IS NULL OR fetched < until)
