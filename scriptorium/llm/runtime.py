@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 FILTER_BITS = 1 << 23
 #: Bits in one bitmap row, as ``bitmap_construct_agg`` lays them out (4 KB).
 BITMAP_ROW_BITS = 8 * 4096
+#: A splitter of records ordered by two longs.
+Bound = tuple[int, int]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -43,6 +46,14 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+def few_rows(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
+    """A frame of a bounded list of rows of numbers, made without Python workers."""
+    names = [f.split()[0] for f in fields.split(", ")]
+    said = json.dumps([dict(zip(names, row, strict=True)) for row in rows])
+    kind = ", ".join(":".join(f.split()) for f in fields.split(", "))
+    return spark.range(1).select(F.explode(F.from_json(F.lit(said), f"array<struct<{kind}>>")).alias("row")).select("row.*")
+
+
 def text_of(column: str = "text") -> Column:
     """The text, a null as the empty string."""
     return F.coalesce(F.col(column), F.lit(""))
@@ -77,3 +88,22 @@ def probe_filter(rows: DataFrame, bitmap: DataFrame, key_hash: Column, bits: int
     )
     bit = F.getbit(byte, within % 8)
     return probed.withColumn("maybe", F.coalesce(bit == 1, F.lit(False))).drop("filter_row", "bitmap")
+
+
+def place_among(bounds: list[Bound], key: Column, salt: Column) -> Column:
+    """How many bounds are at or below (key, salt), by binary search over two constant arrays."""
+    if not bounds:
+        return F.lit(0)
+    keys, salts = (F.from_json(F.lit(str([b[k] for b in bounds])), "array<bigint>") for k in (0, 1))
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+
+    def descend(at: Column, step: Column) -> Column:
+        to = at + step
+        bound, tie = F.try_element_at(keys, to), F.try_element_at(salts, to)
+        return F.when((to <= len(bounds)) & ((bound < key) | ((bound == key) & (tie <= salt))), to).otherwise(at)
+
+    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), descend)
+
+
+def quantiles(sample: list, parts: int) -> list:
+    return [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
