@@ -11,15 +11,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import bitmap_filter, positive_hash, probe_filter, text_of
+from scriptorium.llm.runtime import few_rows, place_among, positive_hash, quantiles, text_of
 
 WORDS = 5
 #: One hash in eight is kept.
 SCALE = 8
 FLOOR = 32
 TOP = (1 << 63) - 1
-#: Identifiers that are sorted together to find each one's next document.
-BUCKET_IDS = 256
+#: Rows that are sorted together to find each one's next document, and the bound of such ranges.
+RANGE_ROWS, MAX_RANGES = 256, 8192
+#: Expected samples a range.
+SAMPLES_PER_RANGE = 16
+#: Where a null identifier stands.
+LOWEST = -(1 << 63)
 
 
 def with_sketch(rows: DataFrame, text: str, prefix: str, words: int = WORDS, scale: int = SCALE, floor: int = FLOOR) -> DataFrame:
@@ -71,43 +75,28 @@ def rendered(prefix: str) -> Column:
     return F.concat_ws(":", F.hex(f"{prefix}_limit"), F.concat_ws(",", F.transform(f"{prefix}_hashes", lambda h: F.hex(h))))
 
 
-def _heads(docs: DataFrame, width: int = BUCKET_IDS, levels: int = 3) -> DataFrame:
-    """bucket, guest: the document after the bucket's last one, in descending order of identifiers.
-
-    Buckets of identifiers are summed up in buckets of buckets, so that no window grows with the table
-    but the last, which has a row for each ``width ** levels`` identifiers.
-    """
-    ids = docs.select((F.floor(F.col("doc_id") / width)).cast("long").alias("bucket"), "doc_id")
-    tops = ids.groupBy("bucket").agg(F.max("doc_id").alias("head"))
-    return _next_bucket(tops, width, levels - 1)
-
-
-def _next_bucket(tops: DataFrame, width: int, levels: int) -> DataFrame:
-    """bucket, guest: the head of the next lower bucket that has rows; null after the last."""
-    if levels == 0:
-        return tops.select("bucket", F.lead("head").over(Window.orderBy(F.desc("bucket"))).alias("guest"))
-    upper = F.floor(F.col("bucket") / width).cast("long")
-    tops = tops.withColumn("upper", upper)
-    beyond = _next_bucket(tops.groupBy("upper").agg(F.max("head").alias("head")).withColumnRenamed("upper", "bucket"), width, levels - 1)
-    within = F.lead("head").over(Window.partitionBy("upper").orderBy(F.desc("bucket")))
-    return tops.withColumn("within", within).join(beyond.select(F.col("bucket").alias("upper"), F.col("guest").alias("beyond")), "upper").select(
-        "bucket", F.coalesce("within", "beyond").alias("guest")
-    )
-
-
 def with_next(docs: DataFrame) -> DataFrame:
     """``docs`` (doc_id, text) sketched, with ``next_*`` of the next row, descending doc_id, then cyclic.
 
-    Rows cross the network once, to their bucket of identifiers. The head of the next bucket, needed by
-    a bucket's last row, joins it as a guest: a bitmap of bounded size picks the heads out of a scan.
+    Sampled splitters part the rows into ranges of identifiers, and of text hashes where one identifier
+    has very many rows. A row crosses the network once, to its range. The first row of the next lower
+    range, needed by a range's last row, joins it as a guest; there is one guest a range.
     """
-    first = docs.agg(F.max("doc_id")).first()[0]
-    guests = _heads(docs).select("bucket", F.coalesce("guest", F.lit(first)).alias("doc_id"))
-    heads = probe_filter(docs, bitmap_filter(guests, positive_hash("doc_id")), positive_hash("doc_id")).where("maybe").drop("maybe")
-    bucket = F.floor(F.col("doc_id") / BUCKET_IDS).cast("long")
-    rows = with_sketch(docs, "text", "own").withColumns({"bucket": bucket, "guest": F.lit(0)})
-    rows = rows.unionByName(with_sketch(heads.join(guests, "doc_id"), "text", "own").withColumn("guest", F.lit(1)))
-    order = Window.partitionBy("bucket").orderBy("guest", F.desc("doc_id"), "text")
+    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(LOWEST)).alias("place"), positive_hash("text").alias("tie"))
+    count = docs.count()
+    ranges = max(1, min(MAX_RANGES, count // RANGE_ROWS))
+    drawn = rows.where(F.rand(5) < F.lit(SAMPLES_PER_RANGE * ranges / max(count, 1)))
+    sample = sorted((r["place"], r["tie"]) for r in drawn.select("place", "tie").collect())
+    rows = rows.withColumn("range", place_among(sorted(set(quantiles(sample, ranges))), F.col("place"), F.col("tie")))
+
+    heads = [tuple(r) for r in rows.groupBy("range").agg(F.max(F.struct("place", "tie")).alias("head")).select("range", "head.*").orderBy("range").collect()]
+    needed = [(upper[0], *lower[1:]) for lower, upper in zip([heads[-1], *heads[:-1]] if heads else [], heads, strict=True)]
+    guests = few_rows(docs.sparkSession, needed, "host int, place long, tie long")
+    guests = rows.drop("range").join(F.broadcast(guests), ["place", "tie"]).groupBy(F.col("host").alias("range"), "place", "tie").agg(F.max("text").alias("text"))
+    guests = guests.select(F.lit(None).cast("long").alias("doc_id"), "text", "place", "tie", "range")
+
+    rows = with_sketch(rows, "text", "own").withColumn("guest", F.lit(0)).unionByName(with_sketch(guests, "text", "own").withColumn("guest", F.lit(1)))
+    order = Window.partitionBy("range").orderBy("guest", F.desc("place"), F.desc("tie"), F.desc("text"))
     following = F.lead(F.struct("text", "own_limit", "own_hashes")).over(order)
     return rows.withColumn("next", following).where("guest = 0").select("doc_id", "text", "own_limit", "own_hashes", *[F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "own_limit", "own_hashes")])
 
@@ -117,10 +106,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last third of code points replaced by the first as many of the next
     document. Null texts count as empty: they have an empty sketch and equal other empty ones. Rows
-    that share an identifier are ordered by text; rows without identifier are left out. An empty table
-    gives no rows.
+    that share an identifier are ordered by a hash of their text, descending; rows without identifier
+    come last. An empty table gives no rows.
     """
-    rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
     rows = with_next(rows)
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long"))
     third = F.floor(F.col("n_chars") / 3).cast("int")
