@@ -8,6 +8,8 @@ need a recogniser, which is a column that the caller may supply.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,6 +24,20 @@ def placeholder(category: str) -> str:
     return PLACEHOLDERS.get(category, PLACEHOLDERS["other"])
 
 
+def _names_any(text: Column, *words: str) -> Column:
+    """Whether a text holds one of some lower-case words, in any case: a cheap look before a costly pattern."""
+    return let(F.lower(text), lambda low: reduce(or_, (low.contains(w) for w in words)))
+
+
+def _if(text: Column, wanted: Callable[[Column], Column], then: Callable[[Column], Column]) -> Column:
+    return let(text, lambda t: F.when(wanted(t), then(t)).otherwise(t))
+
+
+#: What the costly patterns can't do without.
+_YEAR, _FOUR, _FIVE, _SEVEN, _CAPITAL_DIGIT = r"(?:19|20)\p{Nd}{2}", r"\p{Nd}{4}", r"\p{Nd}{5}", r"\p{Nd}(?:[^\p{Nd}\p{L}]{0,4}\p{Nd}){6}", r"[A-Z]\p{Nd}"
+_BIRTH, _STREETS = ("birth", "d.o.b", "dob", "born", "geb"), ("strasse", "straße", "gasse", "platz")
+
+
 def emails(text: Column) -> Column:
     return let(text, lambda t: F.when(t.contains("@"), F.regexp_replace(t, P.EMAIL, placeholder("email"))).otherwise(t))
 
@@ -39,11 +55,12 @@ def handles(text: Column) -> Column:
 
 
 def bank_details(text: Column) -> Column:
-    return swap(text, P.IBAN, placeholder("bank"), ignore_case=False)
+    return _if(text, lambda t: t.rlike(r"[A-Z]{2}\p{Nd}{2}"), lambda t: swap(t, P.IBAN, placeholder("bank"), ignore_case=False))
 
 
 def id_numbers(text: Column) -> Column:
-    return swap(text, rf"^.*\b(?:{P.ID_KEYS})\b.*$", placeholder("id_number"), lines=True)
+    keys = ("matri", "student", "ahv", "security", "passport", "ausweis", "driver", "personalnummer")
+    return _if(text, lambda t: _names_any(t, *keys), lambda t: swap(t, rf"^.*\b(?:{P.ID_KEYS})\b.*$", placeholder("id_number"), lines=True))
 
 
 def labelled_fields(text: Column) -> Column:
@@ -52,17 +69,21 @@ def labelled_fields(text: Column) -> Column:
 
 def birth_dates(text: Column, as_of: str) -> Column:
     """Marked birth dates anywhere, dates near a birth word, and bare dates above the first year that is recent."""
-    near = F.transform(
-        F.split(text, "\n"),
-        lambda line: F.when(has(line, P.BIRTH_KEYS), swap(line, P.DATE_NEAR, placeholder("date_of_birth")))
-        .when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line),
-    )
-    return F.array_join(near, "\n")
+
+    def near(t: Column) -> Column:
+        each = F.transform(
+            F.split(t, "\n"),
+            lambda line: F.when(has(line, P.BIRTH_KEYS), swap(line, P.DATE_NEAR, placeholder("date_of_birth")))
+            .when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line),
+        )
+        return F.array_join(each, "\n")
+
+    return _if(text, lambda t: t.rlike(_YEAR) | _names_any(t, *_BIRTH), near)
 
 
 def is_birth_line(line: Column, as_of: str) -> Column:
     """A marked birth date, or a bare date whose year isn't too recent for one."""
-    return has(line, P.MARKED_BIRTH_LINE) | (has(line, P.BARE_DATE_LINE, False) & (_year(line) <= F.year(F.lit(as_of).cast("date")) - 15))
+    return line.rlike(_YEAR) & (has(line, P.MARKED_BIRTH_LINE) | (has(line, P.BARE_DATE_LINE, False) & (_year(line) <= F.year(F.lit(as_of).cast("date")) - 15)))
 
 
 def _year(line: Column) -> Column:
@@ -103,7 +124,7 @@ def phones(text: Column) -> Column:
         start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
         return F.aggregate(pieces, start, step, lambda done: F.array_join(done["out"], ""))
 
-    return let(text, woven)
+    return _if(text, lambda t: t.rlike(_SEVEN), woven)
 
 
 def looks_like_a_year(match: Column) -> Column:
@@ -129,29 +150,27 @@ def addresses(text: Column) -> Column:
     """Inline addresses, American and British ones, then postcode with city, which alone lets a street go."""
     numbered = r"\d[a-zA-Z]?\s*,\s*(?:[A-Za-z]{2})?[\s\-]?\d{4,5}\s"  # every inline address has this
     text = let(text, lambda t: F.when(t.rlike(P.java(numbered, True)), swap_if(t, P.INLINE_ADDRESS, lambda m, _: _address(m))).otherwise(t))
-    text = swap(text, P.US_ADDRESS, placeholder("address"), ignore_case=False)
-    text = swap(text, P.UK_POSTCODE, placeholder("address"), ignore_case=False)
+    text = _if(text, lambda t: t.rlike(_FIVE), lambda t: swap(t, P.US_ADDRESS, placeholder("address"), ignore_case=False))
+    text = _if(text, lambda t: t.rlike(_CAPITAL_DIGIT), lambda t: swap(t, P.UK_POSTCODE, placeholder("address"), ignore_case=False))
 
     def with_city(t: Column) -> Column:
         has_city = _has_city(t)
         cities = swap_if(t, P.POSTCODE_CITY, lambda m, _: F.when(looks_like_a_year(m), m).otherwise(_address(m)), False, True)
         return F.when(has_city, swap(cities, P.STREET, placeholder("address"), lines=True)).otherwise(t)
 
-    return let(text, with_city)
+    return _if(text, lambda t: t.rlike(_FOUR), with_city)
 
 
 def nationalities(text: Column) -> Column:
-    return swap(text, rf"^.*\b(?:{P.NATIONALITY_KEYS})\b.*$", placeholder("nationality"), lines=True)
+    keys = ("nationalit", "staatsangeh", "citizenship", "heimatort", "place of origin")
+    return _if(text, lambda t: _names_any(t, *keys), lambda t: swap(t, rf"^.*\b(?:{P.NATIONALITY_KEYS})\b.*$", placeholder("nationality"), lines=True))
 
 
 def marital_status(text: Column) -> Column:
     line = rf"^.*\b(?:{P.MARITAL_KEYS})\b.*$"
-    return let(
-        text,
-        lambda t: F.when(has(t, line, lines=True), swap(t, line, placeholder("marital_status"), lines=True)).otherwise(
-            swap(t, P.MARITAL_WORDS, placeholder("marital_status"))
-        ),
-    )
+    keys = ("marital", "civil", "familienstand", "zivilstand", "verheiratet", "ledig", "geschieden", "verwitwet")
+    words = lambda t: swap(t, P.MARITAL_WORDS, placeholder("marital_status"))
+    return _if(text, lambda t: _names_any(t, *keys), lambda t: F.when(has(t, line, lines=True), swap(t, line, placeholder("marital_status"), lines=True)).otherwise(words(t)))
 
 
 #: Category and layer, in the order in which they run.
@@ -214,9 +233,9 @@ def residual(text: Column, as_of: str | None = None) -> Column:
 
     def found(t: Column) -> Column:
         hits = [F.when(t.rlike(_QUICK[c]) & has(t, p, i), c) for c, p, i in RESIDUAL]
-        hits.append(F.when(t.rlike(_QUICK["address"]) & (has(t, P.STREET_NUMBER) | _has_city(t)), "address"))
+        hits.append(F.when(t.rlike(_QUICK["address"]) & ((_names_any(t, *_STREETS) & has(t, P.STREET_NUMBER)) | (t.rlike(_FOUR) & _has_city(t))), "address"))
         if as_of:
-            hits.append(F.when(F.exists(F.split(t, "\n"), lambda line: is_birth_line(line, as_of)), "date_of_birth"))
+            hits.append(F.when(t.rlike(_YEAR) & F.exists(F.split(t, "\n"), lambda line: is_birth_line(line, as_of)), "date_of_birth"))
         return F.array_distinct(F.filter(F.array(*hits), lambda c: c.isNotNull()))
 
     return let(text, found)
@@ -225,11 +244,12 @@ def residual(text: Column, as_of: str | None = None) -> Column:
 def sweep(text: Column, as_of: str | None = None) -> Column:
     for category, pattern, fold in RESIDUAL:
         text = let(text, _swept(category, pattern, fold))
-    text = let(text, _swept("address", P.STREET_NUMBER, True))
+    text = _if(text, lambda t: _names_any(t, *_STREETS), lambda t: swap(t, P.STREET_NUMBER, placeholder("address")))
     city = lambda m, _: F.when(looks_like_a_year(m), m).otherwise(placeholder("address"))
-    text = let(text, lambda t: F.when(t.rlike(_QUICK["address"]), swap_if(t, P.POSTCODE_CITY, city, False, True)).otherwise(t))
+    text = _if(text, lambda t: t.rlike(_FOUR), lambda t: swap_if(t, P.POSTCODE_CITY, city, False, True))
     if as_of:
-        text = F.array_join(F.transform(F.split(text, "\n"), lambda line: F.when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line)), "\n")
+        by_line = lambda line: F.when(is_birth_line(line, as_of), placeholder("date_of_birth")).otherwise(line)
+        text = _if(text, lambda t: t.rlike(_YEAR), lambda t: F.array_join(F.transform(F.split(t, "\n"), by_line), "\n"))
     return text
 
 
