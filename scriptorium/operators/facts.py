@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.patterns import has, java
+from scriptorium.functions.patterns import has, java, let
 from scriptorium.functions.vocabulary import BUZZWORDS, GERUND_NOUNS, SPELLING_PAIRS, WEAK_OPENERS
 from scriptorium.operators.entries import bullet_text, is_bullet
 
@@ -15,14 +15,14 @@ MIN_OUTCOME_BULLETS, OUTCOME_SHARE = 4, 0.4
 
 def words_in(text: Column, words: list[str]) -> Column:
     """The listed words that stand in a text as whole words, in the list's order."""
-    low = F.lower(text)
-    return F.filter(F.array(*[F.lit(w) for w in words]), lambda w: F.regexp_like(low, F.concat(F.lit(r"(?U)\b\Q"), w, F.lit(r"\E\b"))))
+    stands = lambda low, w: low.contains(w) & low.rlike(rf"(?U)\b\Q{w}\E\b")
+    return let(F.lower(text), lambda low: F.array_compact(F.array(*[F.when(stands(low, w), F.lit(w)) for w in words])))
 
 
 def writing_facts(docs: DataFrame) -> DataFrame:
     """doc_id, buzzwords, spelling_pairs (British forms whose American one is there too), mixed_spelling."""
     text = F.lower(F.coalesce(F.col("text"), F.lit("")))
-    word = lambda w: text.rlike(rf"(?U)\b{w}\b")
+    word = lambda w: text.contains(w) & text.rlike(rf"(?U)\b{w}\b")
     british = F.coalesce(*[F.when(word(b), True) for b, _ in SPELLING_PAIRS], F.lit(False))
     american = F.coalesce(*[F.when(word(a), True) for _, a in SPELLING_PAIRS], F.lit(False))
     pairs = F.filter(F.array(*[F.when(word(b) & word(a), F.lit(b)) for b, a in SPELLING_PAIRS]), lambda p: p.isNotNull())
@@ -73,7 +73,8 @@ def bare_interests(lines: DataFrame) -> DataFrame:
     item = F.trim(F.trim(F.trim("line"), F.lit("•-–—*· ")))
     words = F.size(F.filter(F.split(F.replace(item, F.lit(","), F.lit(" ")), r"(?U)\s+"), lambda w: w != ""))
     rows = lines.withColumn("item", item).where((F.col("item") != "") & ~F.col("item").rlike(r"\d") & words.between(1, 2) & (F.char_length("item") <= 28))
-    return rows.groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "item"))), lambda x: x["item"]).alias("items"))
+    found = rows.groupBy("doc_id", "section").agg(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "item"))), lambda x: x["item"]).alias("items"), F.min("line_no").alias("at"))
+    return found.groupBy("doc_id").agg(F.min_by(F.struct("section", "items"), F.struct("at", "section")).alias("first")).select("doc_id", "first.*")
 
 
 def unusual_bullets(lines: DataFrame, safe: str = "-•·*–—o") -> DataFrame:

@@ -55,8 +55,10 @@ def find_grades(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, pos, raw, value, maximum, country, scale, plausible, suggestion, missing_maximum."""
     window = Window.partitionBy("doc_id").orderBy("line_no")
     context = F.concat_ws("\n", F.lag("line").over(window), F.col("line"))
-    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line")).over(Window.partitionBy("doc_id"))), lambda x: x["line"]))
-    rows = lines.withColumn("context", context).withColumn("whole", whole).where(has(F.col("line"), P.GRADE_WORDS))
+    marked = lines.select("doc_id", "line_no", "line", context.alias("context")).where(has(F.col("line"), P.GRADE_WORDS) & F.col("line").rlike(r"\p{Nd}"))
+    asked = lines.join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
+    whole = asked.groupBy("doc_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("whole"))
+    rows = marked.join(whole, "doc_id")
     scanned = F.regexp_replace(swap(swap(F.col("line"), P.RANGE, " "), P.DATE_IN_LINE, " "), r"\b(?:19|20)\d{2}\b", " ")
     rows = rows.select("*", F.posexplode(every(scanned, P.GRADE_NUMBER, False)).alias("pos", "raw"))
     part = lambda k: F.regexp_extract("raw", java(P.GRADE_NUMBER), k)

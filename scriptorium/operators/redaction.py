@@ -187,20 +187,21 @@ def redact(docs: DataFrame, as_of: str, names: str | None = None) -> DataFrame:
 
     What the independent patterns still find after the layers is swept away and then looked for again.
     ``names`` is an array column of names to remove, longest first; without it the row is degraded.
+    Columns of these four names, and those that begin with ``_redact_``, are replaced.
     """
-    rows = docs.withColumn("_0", unified_lines(F.col("text")))
-    hits, at = [], "_0"
+    rows = docs.withColumn("_redact_0", unified_lines(F.col("text")))
+    hits, at = [], "_redact_0"
     for n, (category, layer) in enumerate(layers(as_of), 1):
-        rows = rows.withColumn(f"_{n}", layer(F.col(at)))
-        hits.append(F.when(F.col(f"_{n}") != F.col(at), category))
-        at = f"_{n}"
+        rows = rows.withColumn(f"_redact_{n}", layer(F.col(at)))
+        hits.append(F.when(F.col(f"_redact_{n}") != F.col(at), category))
+        at = f"_redact_{n}"
     text = redact_names(F.col(at), F.col(names)) if names else F.col(at)
     if names:
         hits.append(F.when(text != F.col(at), "name"))
-    rows = rows.withColumn("_text", text)
-    found = F.array_distinct(F.concat(F.filter(F.array(*hits), lambda c: c.isNotNull()), residual(F.col("_text"), as_of)))
-    rows = rows.withColumn("redacted", sweep(F.col("_text"), as_of)).withColumn("categories", found).drop("_text")
-    return rows.withColumn("residual", residual(F.col("redacted"), as_of)).withColumn("degraded", F.lit(names is None)).drop(*[f"_{k}" for k in range(n + 1)])
+    rows = rows.withColumn("_redact_text", text)
+    found = F.array_distinct(F.concat(F.filter(F.array(*hits), lambda c: c.isNotNull()), residual(F.col("_redact_text"), as_of)))
+    rows = rows.withColumn("redacted", sweep(F.col("_redact_text"), as_of)).withColumn("categories", found).drop("_redact_text")
+    return rows.withColumn("residual", residual(F.col("redacted"), as_of)).withColumn("degraded", F.lit(names is None)).drop(*[f"_redact_{k}" for k in range(n + 1)])
 
 
 def redact_names(text: Column, names: Column, unless: str = "") -> Column:

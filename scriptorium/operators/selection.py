@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import patterns as P
 from scriptorium.functions.patterns import has
 from scriptorium.operators.lines import current
+from scriptorium.operators.redaction import is_phone
 
 PROSE_LINE_WORDS, PROSE_WORDS, MIN_SECTIONS, MIN_SHARE = 10, 25, 2, 0.55
 INSTITUTION = r"\b(?:universit(?:y|ä|a)t?\w*|hochschule|school|schule|institute?|institut|gymnasium|college|akademie|academy|faculty|fakultät)\b"
@@ -49,7 +50,8 @@ def corroborated(names: DataFrame, lines: DataFrame, headings: DataFrame) -> Dat
     rows = lines.join(marks, ["doc_id", "line_no"], "left").withColumn("under", current("display"))
     rows = rows.join(names, "doc_id").where(F.col("line").contains(F.col("name")))
     before = F.expr("substring(line, 1, instr(line, name) - 1)")
-    beside = F.col("line").rlike(r"@|\[EMAIL REDACTED\]|\[PHONE REDACTED\]|\+\d{1,3}[ ./\-]?\d")
+    number = F.exists(P.every(F.col("line"), P.PHONE), lambda m: is_phone(m, F.col("line")))
+    beside = F.col("line").rlike(r"@|\[EMAIL REDACTED\]|\[PHONE REDACTED\]") | number
     person = F.coalesce(F.col("under") == "References", F.lit(False)) | has(before, TITLE_BEFORE) | beside
     found = rows.groupBy("doc_id", "name").agg(F.bool_or(person).alias("person"), F.bool_and(has(F.col("line"), INSTITUTION)).alias("institution_only"))
     return names.join(found, ["doc_id", "name"], "left").select("doc_id", "name", F.coalesce("person", F.lit(False)).alias("person"), F.coalesce("institution_only", F.lit(False)).alias("institution_only"))

@@ -447,6 +447,7 @@ def language_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT *, trim(trim(line), '•-–—*· ') AS item FROM {X.SKILL_LINES.sql} WHERE section = 'Interests')
 SELECT doc_id, section, string_agg(item, ';' ORDER BY line_no) AS items FROM l WHERE item <> '' AND NOT regexp_matches(item, '\d')
   AND len(list_filter(string_split_regex(replace(item, ',', ' '), '\s+'), lambda w: w <> '')) BETWEEN 1 AND 2 AND length(item) <= 28 GROUP BY ALL
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(line_no), section) = 1
 """)
 def single_word_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.bare_interests(X.SKILL_LINES.frame(spark).where("section = 'Interests'")).withColumn("items", F.array_join("items", ";"))
@@ -519,11 +520,12 @@ def markdown_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
 WITH d AS (SELECT * FROM {X.PICK_DOCS.sql}), c AS (SELECT * FROM {X.CATALOGUE.sql}), w AS (SELECT * FROM {X.WEAK.sql}),
-o AS (SELECT doc_id, 0 AS p, ord, topic, name FROM w JOIN c ON kind = 'section' AND topic = section
-      UNION ALL SELECT doc_id, 1, ord, topic, name FROM d JOIN c ON kind = 'role' AND topic = role
-      UNION ALL SELECT doc_id, 2, ord, '', name FROM d, c WHERE kind = 'general'),
-u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY p, ord, topic) = 1),
-n AS (SELECT u.doc_id, row_number() OVER (PARTITION BY u.doc_id ORDER BY p, ord, topic, name) AS n, name FROM u JOIN d USING (doc_id) WHERE NOT contains(lower(coalesce(text, '')), lower(name)))
+o AS (SELECT doc_id, 0 AS p, rank AS f, ord AS t, topic, name FROM w JOIN c ON kind = 'section' AND topic = section
+      UNION ALL SELECT doc_id, 1, ord, 0, topic, name FROM d JOIN c ON kind = 'role' AND topic = role
+      UNION ALL SELECT doc_id, 2, ord, 0, '', name FROM d, c WHERE kind = 'general'),
+u AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY doc_id, name ORDER BY p, f, t, topic) = 1),
+s AS (SELECT u.*, text, lower(trim(regexp_extract(name, '^[^(/–-]*'))) AS told FROM u JOIN d USING (doc_id)),
+n AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p, f, t, topic, name) AS n, name FROM s WHERE NOT (length(told) > 4 AND contains(lower(coalesce(text, '')), told)))
 SELECT * FROM n WHERE n <= 5
 """)
 def activity_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -808,7 +810,9 @@ def document_picks(spark: SparkSession, sf_dir: str) -> DataFrame:
     topics = sorted({row[2] for row in X.CATALOGUE.rows if row[1] == "role"})
     role = F.coalesce(*[F.when(F.lower("text").contains(t.lower()), F.lit(t)) for t in topics])
     lacking = headings.missing_sections(made.lines, made.headings, _EXPECTED.frame(spark))
-    weak = lacking.select("doc_id", F.regexp_replace("section", " Activities$", "").alias("section"))
+    order = {section: n for n, section in enumerate(dict.fromkeys(row[0] for row in _EXPECTED.rows))}
+    rank = F.coalesce(*[F.when(F.col("section") == section, n) for section, n in order.items()])
+    weak = lacking.select("doc_id", F.regexp_replace("section", " Activities$", "").alias("section"), rank.alias("rank"))
     return picks.picks(docs.withColumn("role", role), weak, catalogue)
 
 

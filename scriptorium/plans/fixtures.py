@@ -54,25 +54,25 @@ CV = Relation(
     [
         (
             -1,
-            "Education\nExample University Sep 2019 - Jun 2022\nBachelor in Economics\n- Grade: 5.3\n\nWork Experience\nMuster AG\nAnalyst 09/2022 - present\n"
-            "- Reduced costs by 12% across the team.\n- Responsible for weekly reports\n- Supporting the sales team\n- Prepared slides for board\n"
-            "Other AG\nIntern 01/2022 - 06/2022\nInterests\nChess\nLong walks in the mountains\nSkills & Languages\nEnglish: C1\nGerman: native\nFrench - fluent\nItalian: a bit",
+            "Education\nExample University Aug 2014 - Mai 2017\nBachelor in Geology\n- Grade: 4.9\n\nWork Experience\nMuster AG\nMapmaker 02/2018 - present\n"
+            "- Reduced waste by 31% in the mill.\n- Responsible for rock samples\n- Supporting the drill crew\n- Prepared maps for guests\n"
+            "Other AG\nIntern 03/2016 - 09/2016\nInterests\nKites\nOld maps of small islands\nSkills & Languages\nEnglish: C1\nGerman: native\nFrench - fluent\nItalian: a bit",
         ),
-        (-2, "Selected Projects\n• Built a tool\n• Wrote a paper\n> odd mark\n> odd mark\n> odd mark\n£ once\nS BERUFSERFAHRUNG\nMuster GmbH 2019 - 2021\nnothing else"),
+        (-2, "Selected Projects\n• Built a kite\n• Wrote a poem\n> odd mark\n> odd mark\n> odd mark\n£ once\nS BERUFSERFAHRUNG\nMuster GmbH 2011 - 2013\nnothing else"),
         (-3, None),
     ],
 )
-DAMAGED = Relation("doc_id long, text string", [(-1, "Educatiqn\nEDUCAT10N\nWork Experience\nIT & Languages\nEducation and a very long sentence about it.\nExperlence\n5KILLS")])
+DAMAGED = Relation("doc_id long, text string", [(-1, "Educaxion\nPR0F1LE\nWork Experience\nIT & Languages\nEducation and a very long sentence about it.\nExperiemce\nH0BB1ES\nSK1L15\nArbeits- und Führungserfahrung\nPr0j3c70001")])
 RANGE_LINES = Relation(
     "doc_id long, line_no int, line string",
     [
-        (-1, 0, "Sep 2024 - Jun 2025 St Gallen"), (-1, 1, "09/2023 – 10/2024"), (-1, 2, "2019 - 2021 and 2022 - 2023"), (-1, 3, "10.2021 bis heute"), (-1, 4, "no dates"),
-        (-2, 0, "fev/2022 - dez/2025"), (-2, 1, "06/2023 - 01/2023"), (-2, 2, "Feb,2022-Nov,2022"), (-2, 3, "Foo 2020 to Dec 2020"), (-2, 4, "9/2022 - expected 06/2026"),
+        (-1, 0, "Okt 2011 - Mai 2013 Bern"), (-1, 1, "03/2018 – 11/2019"), (-1, 2, "2004 - 2006 and 2007 - 2008"), (-1, 3, "04.2016 bis heute"), (-1, 4, "no dates"),
+        (-2, 0, "abr/2007 - dez/2008"), (-2, 1, "08/2015 - 02/2015"), (-2, 2, "Mar,2004-Oct,2004"), (-2, 3, "Foo 2001 to Dec 2001"), (-2, 4, "5/2009 - expected 07/2027"),
     ],
 )
 SPLIT_LINES = Relation(
     "doc_id long, line_no int, line string",
-    [(-1, 0, "09/2022"), (-1, 1, "08/2024"), (-1, 2, "Muster"), (-1, 3, "2019"), (-1, 4, "2020"), (-1, 5, "2021"), (-1, 6, "x"), (-2, 0, "2020"), (-2, 1, "y 2021")],
+    [(-1, 0, "02/2006"), (-1, 1, "05/2008"), (-1, 2, "Muster"), (-1, 3, "2001"), (-1, 4, "2002"), (-1, 5, "2003"), (-1, 6, "x"), (-2, 0, "2002"), (-2, 1, "y 2003")],
 )
 RANGES = Relation(
     "doc_id long, section string, entry_no int, raw string, s int, e int, months_explicit boolean",
@@ -86,8 +86,8 @@ EXTRA_RANGES = Relation("doc_id long, raw string, s int, e int", [(1, "xa", 1, 2
 GRADE_LINES = Relation(
     "doc_id long, line_no int, line string",
     [
-        (-1, 0, "Gymnasium Karlsruhe, Sep 2013 - Jun 2022"), (-1, 1, "Abschlussnote: 1,3"), (-1, 2, "University of St. Gallen"), (-1, 3, "Grade Average: 513"),
-        (-2, 0, "BSc, St. Gallen, grade 5.4/6"), (-2, 1, "GPA 4.8, Zürich"), (-2, 2, "Abitur 17. Juni 2023"), (-3, 0, "no marks"), (-4, 0, "Final grade 27/30, Milano"),
+        (-1, 0, "Oberstufe Mannheim, Aug 2001 - Mai 2009"), (-1, 1, "Endnote: 2,4"), (-1, 2, "Universität Basel"), (-1, 3, "Overall grade: 476"),
+        (-2, 0, "MSc, Lausanne, grade 4.6/6"), (-2, 1, "GPA 4.3, Bern"), (-2, 2, "Matura 5. Mai 2008"), (-3, 0, "no marks"), (-4, 0, "Final grade 24/30, Bologna"),
     ],
 )
 ENTRIES = Relation("doc_id long, entry_no int, has_grade boolean", [(1, 0, True), (1, 1, False), (2, 0, True), (2, 1, True), (3, 0, True), (4, 0, False), (4, 1, False)])
@@ -148,12 +148,13 @@ FACT_ROWS = [
 CATALOGUE = Relation(
     "name string, kind string, topic string, ord int",
     [
-        ("Debate Club", "section", "Extracurricular", 0), ("Choir", "section", "Extracurricular", 1), ("Case Contest", "role", "Consulting", 0), ("Choir", "role", "Consulting", 1),
-        ("Finance Lab", "role", "Finance", 0), ("Language Tandem", "general", "any", 0), ("Mentoring", "general", "any", 1), ("Sports", "general", "any", 2), ("Theatre", "general", "any", 3),
+        ("Quiz Circle", "section", "Extracurricular", 0), ("Singers (mixed)", "section", "Extracurricular", 1), ("Quiz Circle", "section", "Education", 0), ("Reading Hour", "section", "Education", 1),
+        ("Riddle Contest", "role", "Consulting", 0), ("Singers (mixed)", "role", "Consulting", 1),
+        ("Budget Lab", "role", "Finance", 0), ("Talk Pairs", "general", "any", 0), ("Elder Visits", "general", "any", 1), ("Gym", "general", "any", 2), ("Stagecraft", "general", "any", 3),
     ],
 )
-PICK_DOCS = Relation("doc_id long, text string, role string", [(1, "member of the choir", "Consulting"), (2, "nothing", None), (3, None, "Finance")])
-WEAK = Relation("doc_id long, section string", [(1, "Extracurricular"), (3, "Extracurricular"), (3, "Education")])
+PICK_DOCS = Relation("doc_id long, text string, role string", [(1, "one of the singers, went to the gym", "Consulting"), (2, "nothing", None), (3, None, "Finance")])
+WEAK = Relation("doc_id long, section string, rank int", [(1, "Extracurricular", 0), (3, "Education", 0), (3, "Extracurricular", 1)])
 WHOLE_LETTERS = Relation(
     "doc_id long, text string",
     [
