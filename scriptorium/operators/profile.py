@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.functions.durable import checkpointed
 from scriptorium.functions.patterns import has
 from scriptorium.operators import facts, grades, headings, lines, severity, timeline
 from scriptorium.operators.entries import entries_of
@@ -30,27 +31,21 @@ DEGREE_GRADE = (
 MIN_LINES_WITHOUT_SECTION, BARE_LINES, FULL_INTERESTS, UNLABELLED, MAX_GRADE_LINE = 8, 2, 60, 4, 60
 
 
-def _kept(rows: DataFrame) -> DataFrame:
-    """``rows`` made once, so that the many tables that read them don't repeat the plan; on shared storage where there is some."""
-    shared = rows.sparkSession.conf.get("spark.checkpoint.dir", None) or rows.sparkSession.sparkContext.getCheckpointDir()
-    return rows.checkpoint(False) if shared else rows.localCheckpoint(False)
-
-
 class Profile:
-    """Lazy tables of ``docs`` (doc_id, text); ``section`` is a heading's line number and text, ``display`` its name."""
+    """Tables of ``docs`` (doc_id, text), those that many others read made once on shared storage; ``section`` is a heading's line number and text, ``display`` its name."""
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, as_of: str) -> None:
         self.docs, self.as_of = docs, as_of
         self.lines = lines.lines_of(docs)
-        self.headings = _kept(headings.identify(self.lines, vocabulary))
+        self.headings = checkpointed(headings.identify(self.lines, vocabulary))
         key = F.concat_ws(" ", "line_no", F.trim("line"))
         self.heads = self.headings.select("doc_id", key.alias("section"), "line_no", "display", "category")
-        self.body = _kept(headings.lines_with_section(self.lines, self.headings.withColumn("display", key)))
+        self.body = checkpointed(headings.lines_with_section(self.lines, self.headings.withColumn("display", key)))
         self.named = self.body.join(self.heads.select("doc_id", "section", "display"), ["doc_id", "section"])
-        self.bullets = _kept(facts.bullets_of(self.named))
-        self.entries = _kept(self._named(entries_of(self.named)))
+        self.bullets = checkpointed(facts.bullets_of(self.named))
+        self.entries = checkpointed(self._named(entries_of(self.named)))
         self.above = entries_of(self.body.join(self.headings.select("doc_id").distinct(), "doc_id").where("section IS NULL").withColumn("section", F.lit("")))
-        self.ranges = _kept(timeline.ranges_of(self.named, as_of))
+        self.ranges = checkpointed(timeline.ranges_of(self.named, as_of))
 
     def _named(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.heads.withColumnRenamed("line_no", "heading_line"), ["doc_id", "section"])
@@ -105,7 +100,7 @@ class Profile:
             & ~((F.col("category") == "Extracurricular & Interests") & (F.coalesce("chars", F.lit(0)) >= FULL_INTERESTS))
         )
         at = lambda category: F.min(F.when(F.col("category") == category, F.col("line_no")))
-        found, graded = self.date_findings(), _kept(self.grades())
+        found, graded = self.date_findings(), checkpointed(self.grades())
         degrees = grades.consistency_notes(self.graded_degrees())
         named = lambda rows: self._named(rows).groupBy("doc_id")
         parts = [

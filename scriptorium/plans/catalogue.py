@@ -447,7 +447,6 @@ def language_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH l AS (SELECT *, trim(trim(line), '•-–—*· ') AS item FROM {X.SKILL_LINES.sql} WHERE section = 'Interests')
 SELECT doc_id, section, string_agg(item, ';' ORDER BY line_no) AS items FROM l WHERE item <> '' AND NOT regexp_matches(item, '\d')
   AND len(list_filter(string_split_regex(replace(item, ',', ' '), '\s+'), lambda w: w <> '')) BETWEEN 1 AND 2 AND length(item) <= 28 GROUP BY ALL
-  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY min(line_no), section) = 1
 """)
 def single_word_interests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return facts.bare_interests(X.SKILL_LINES.frame(spark).where("section = 'Interests'")).withColumn("items", F.array_join("items", ";"))
