@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import json
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.functions.durable import checkpointed, shared_dir
+
+__all__ = ["checkpointed", "shared_dir"]
+
 #: Bits of a membership bitmap: 2**23 bits are 1 MB, the proven bound of what is broadcast.
 FILTER_BITS = 1 << 23
 #: Bits in one bitmap row, as ``bitmap_construct_agg`` lays them out (4 KB).
@@ -17,24 +20,6 @@ BITMAP_ROW_BITS = 8 * 4096
 Bound = tuple[int, int]
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can read; a temporary one only where none is configured (tests)."""
-    sc = spark.sparkContext
-    found = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='scriptorium-')}"
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(found)
-        found = sc.getCheckpointDir() or found
-    return found
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Materialise once in the shared folder; lost executors don't lose it."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
