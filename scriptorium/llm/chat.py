@@ -3,7 +3,9 @@
 A template is any function from turns to text. It is rendered on successive prefixes of the turns;
 where the output with one turn more starts with the output before, what was added is that turn's
 span. A template that changes what it has already written is detected there, with the length of the
-part that still agrees, and no spans are given.
+part that still agrees, and no spans are given. Where the text stands within a turn's span is found the
+same way: the turn is rendered with two other texts, and what their outputs share at either end is not
+text.
 
 Whole conversations are rendered, whatever their length. Only a template that its author declares to be
 ``concatenative`` (every turn's output depends on that turn alone) is rendered in chunks of bounded
@@ -81,6 +83,24 @@ def render(turns: Sequence[Turn], template: Template = chat_template) -> Renderi
     return Rendering(before, spans)
 
 
+#: Two texts that no template has marks of and that differ in their only character.
+PROBES = "\ue0f0", "\ue0f1"
+
+
+def text_place(turns: Sequence[Turn], k: int, begin: int, stop: int, whole: str, template: Template = chat_template) -> tuple[int, int] | None:
+    """Begin and end of turn k's text in ``whole``; None if the template's other output depends on the text."""
+    apart = getattr(template, "concatenative", False)
+    earlier, role = ([], turns[k][0]) if apart else (list(turns[:k]), turns[k][0])
+    before = 0 if apart else begin
+    one, two = (template([*earlier, (role, probe)])[before:] for probe in PROBES)
+    head = _agreement(one, two)
+    tail = min(_agreement(one[::-1], two[::-1]), len(one) - head, len(two) - head)
+    span = whole[begin:stop]
+    if head == len(one) or len(span) < head + tail or span[:head] != one[:head] or (tail and span[-tail:] != one[-tail:]):
+        return None
+    return begin + head, stop - tail
+
+
 def joins(turns: Sequence[Turn], whole: str, template: Template) -> bool:
     """Whether the template's output is that of its parts in order."""
     half = (len(turns) + 1) // 2
@@ -103,8 +123,8 @@ def format_conversations(turns: DataFrame, template: Template = chat_template, l
     """A row for each conversation, or chunk of one: its output, each turn's span and loss mask, any rewrite.
 
     Conversations are rendered whole unless the template is declared ``concatenative``; then a row holds
-    ``chunk_turns`` turn numbers, and ``joins`` says whether its halves make it up. The mask of a turn to learn is its span without
-    the marks around its text. Turns are ordered by turn, role and text. A null text or role is empty,
+    ``chunk_turns`` turn numbers, and ``joins`` says whether its halves make it up. The mask of a turn to learn is where its text stands,
+    none (-1) if the template's marks depend on the text. Turns are ordered by turn, role and text. A null text or role is empty,
     a null turn comes first; rows without conversation are one conversation. An empty table gives no
     rows; other columns are ignored.
     """
@@ -118,8 +138,8 @@ def format_conversations(turns: DataFrame, template: Template = chat_template, l
                 said = [(r["role"], r["text"]) for r in rows]
                 made = render(said, template)
                 spans = []
-                for (begin, stop), (role, _) in zip(made.spans, said, strict=False):
-                    mask = (made.text.index("\n", begin) + 1, stop - len(END) - 1) if role == learn else (-1, -1)
+                for k, ((begin, stop), (role, _)) in enumerate(zip(made.spans, said, strict=False)):
+                    mask = (role == learn and text_place(said, k, begin, stop, made.text, template)) or (-1, -1)
                     spans.append({"begin": begin, "stop": stop, "role": role, "loss_begin": mask[0], "loss_stop": mask[1]})
                 rewritten = -1 if made.rewritten_at is None else made.rewritten_at
                 out.append((conv_id, chunk, made.text, rewritten, not apart or joins(said, made.text, template), spans))
