@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import bitmap_filter, probe_filter, shared_path, text_of
+from scriptorium.llm.runtime import kept_by, shared_path, text_of
 
 
 def _digest(text: Column) -> Column:
@@ -79,12 +79,13 @@ class DigestIndex:
 
     def split(self, docs: DataFrame) -> DataFrame:
         """``docs`` with digest and ``maybe``: false for rows that surely have no equal."""
-        return probe_filter(docs.withColumn("digest", _digest(text_of())), bitmap_filter(self.hits, _digest_hash()), _digest_hash())
+        return kept_by(docs.withColumn("digest", _digest(text_of())), self.hits, self.hits.count(), _digest_hash(), _digest_hash())
 
     def collided(self, docs: DataFrame) -> DataFrame:
         """Byte verification: digests under which the hits hold more than one text."""
-        verified = self.split(docs.select("doc_id", "text")).where("maybe").select("digest", text_of().alias("bytes")).distinct()
-        return verified.groupBy("digest").count().where("count > 1").select("digest")
+        verified = self.split(docs.select("doc_id", "text")).where("maybe").select("digest", text_of().alias("bytes"))
+        ends = verified.groupBy("digest").agg(F.min("bytes").alias("least"), F.max("bytes").alias("most"))
+        return ends.where("least <> most").select("digest")
 
 
 def build_index(docs: DataFrame, keep: str = "smallest") -> DigestIndex:

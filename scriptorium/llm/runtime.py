@@ -12,8 +12,9 @@ from scriptorium.functions.durable import checkpointed, shared_dir
 
 __all__ = ["checkpointed", "shared_dir"]
 
-#: Bits of a membership bitmap: 2**23 bits are 1 MB, the proven bound of what is broadcast.
-FILTER_BITS = 1 << 23
+#: Bits of a membership bitmap, 1 MB at least and 16 MB at most, the proven bound of what is broadcast.
+FILTER_BITS, MOST_FILTER_BITS = 1 << 23, 1 << 27
+BITS_PER_KEY = 8
 #: Bits in one bitmap row, as ``bitmap_construct_agg`` lays them out (4 KB).
 BITMAP_ROW_BITS = 8 * 4096
 #: A splitter of records ordered by two longs.
@@ -49,6 +50,17 @@ def positive_hash(*columns: Column | str) -> Column:
     return F.xxhash64(*columns).bitwiseAND(F.lit((1 << 63) - 1))
 
 
+def bits_for(keys: int) -> int:
+    """Bits of a bitmap for so many keys; beyond the bound it lets more rows through, never fewer."""
+    return min(MOST_FILTER_BITS, max(FILTER_BITS, 1 << max(0, BITS_PER_KEY * keys - 1).bit_length()))
+
+
+def kept_by(rows: DataFrame, keys: DataFrame, count: int, of_row: Column, of_key: Column) -> DataFrame:
+    """``rows`` with ``maybe``: whether a bitmap of ``keys``, sized by their number, may hold the row's key."""
+    bits = bits_for(count)
+    return probe_filter(rows, bitmap_filter(keys, of_key, bits), of_row, bits)
+
+
 def bitmap_filter(keys: DataFrame, key_hash: Column, bits: int = FILTER_BITS) -> DataFrame:
     """A bitmap of hashed keys: (filter_row, bitmap), at most ``bits / 32768`` rows of 4 KB.
 
