@@ -6,8 +6,8 @@ enough share tokens among the first few of each order. Candidates share a token
 order, at positions that leave enough tokens after it; they must then share as many tokens as the
 bound asks for under each further order. What is left is verified with whole sets.
 
-A token that many documents have is not paired off. Its documents are first compared with one of them,
-the one with the fewest rare tokens; after that only pairs between different components are formed.
+A token's documents are first compared with one of them only; after that only pairs between different
+components are verified, and for a token that many documents have no other pairs are formed at all.
 Sets are compared by 64-bit hashes of their n-grams, whole sets by 128-bit digests; bytes are not.
 """
 
@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.llm.runtime import bitmap_filter, bounded_batches, checkpointed, positive_hash, probe_filter, text_of
+from scriptorium.llm.runtime import bounded_batches, checkpointed, kept_by, positive_hash, text_of
 
 #: Tokens found in so many documents of one block are counted over all blocks; a block is so many tokens of a task.
 LOCAL_COUNT, BLOCK_TOKENS = 2, 2_000_000
@@ -171,6 +171,11 @@ def _enough_left(percent: int) -> Column:
     return left * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
 
 
+def _unpacked(place: str) -> dict[str, Column]:
+    """Set size and position, which share a long while they cross the network."""
+    return {"n": F.shiftright(place, 31), "pos": F.col(place).bitwiseAND(F.lit((1 << 31) - 1)).cast("int")}
+
+
 def _pairs(joined: DataFrame) -> DataFrame:
     a, b = F.col("a.node"), F.col("b.node")
     return joined.select(F.least(a, b).alias("x"), F.greatest(a, b).alias("y")).where("x < y")
@@ -185,7 +190,7 @@ def _further_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
     """
     for k, times in enumerate(FURTHER_PREFIXES):
         nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
-        wanted = probe_filter(prefixes.select("node", "n", f"further{k}"), bitmap_filter(nodes, positive_hash("node")), positive_hash("node")).where("maybe")
+        wanted = kept_by(prefixes.select("node", "n", f"further{k}"), nodes, 2 * pairs.count(), positive_hash("node"), positive_hash("node")).where("maybe")
         length = F.least("n", F.lit(times) * (F.col("n") - F.expr(f"(n * {percent} + 99) div 100") + 1))
         side = lambda at: wanted.select(F.col("node").alias(at), F.col("n").alias(f"{at}_n"), length.alias(f"{at}_length"), F.col(f"further{k}").alias(f"{at}_tokens"))  # noqa: B023, E731
         both = pairs.join(side("x"), "x").join(side("y"), "y")
@@ -199,7 +204,7 @@ def _further_orders(pairs: DataFrame, prefixes: DataFrame, percent: int) -> Data
 def _verify(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """Pairs whose whole sets are similar enough; only documents of some pair leave the scan."""
     nodes = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
-    wanted = probe_filter(docs.select("doc_id", "text"), bitmap_filter(nodes, positive_hash("doc_id")), positive_hash("doc_id"))
+    wanted = kept_by(docs.select("doc_id", "text"), nodes, 2 * pairs.count(), positive_hash("doc_id"), positive_hash("doc_id"))
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -250,11 +255,17 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
     prefixes = checkpointed(_prefixes(docs, words, percent, frequent))
     tokens = prefixes.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     told = tokens.where("pos >= cold")
-    shared = tokens.where("pos < cold").withColumn("has", F.count("*").over(Window.partitionBy("token"))).where("has > 1")
-    shared = checkpointed(shared)
-    cold, hot = shared.where(f"has <= {PAIRED_OFF}").drop("has"), checkpointed(told.unionByName(shared.where(f"has > {PAIRED_OFF}").drop("has")))
-    apart = F.col("a.node") < F.col("b.node")
-    rare = _pairs(cold.alias("a").join(cold.alias("b"), (F.col("a.token") == F.col("b.token")) & apart & _enough_left(percent)))
+    packed = tokens.where("pos < cold").select("token", "node", "cold", F.shiftleft("n", 31).bitwiseOR(F.col("pos")).alias("place"))
+    own = Window.partitionBy("token")
+    after = own.orderBy("node").rowsBetween(1, PAIRED_OFF - 1)
+    shared = packed.withColumn("has", F.count("*").over(own)).withColumn("after", F.collect_list(F.struct("node", "place")).over(after)).withColumn("rank", F.row_number().over(own.orderBy("node")))
+    few = F.col("has") <= PAIRED_OFF
+    shared = checkpointed(shared.where("has > 1").withColumn("after", F.when(few, F.col("after"))).withColumns(_unpacked("place")).drop("place"))
+    hot = checkpointed(told.unionByName(shared.where(~few).select(*told.columns)))
+    rare = shared.where(few).select("node", "n", "pos", (F.col("rank") == 1).alias("first"), F.explode("after").alias("b"))
+    rare = rare.select(F.struct("node", "n", "pos").alias("a"), F.struct("b.node", *[c.alias(name) for name, c in _unpacked("b.place").items()]).alias("b"), "first").where(_enough_left(percent) & (F.col("a.node") < F.col("b.node")))
+    rare = checkpointed(rare.groupBy(F.col("a.node").alias("x"), F.col("b.node").alias("y")).agg(F.bool_or("first").alias("first")))
+    # The document with the fewest rare tokens is the likeliest to be close to the others.
     centre = hot.groupBy("token").agg(F.min(F.struct("cold", "node", "n", "pos")).alias("c")).select("token", "c.*")
     other = F.col("a.node") != F.col("b.node")
     starred = _pairs(hot.alias("a").join(centre.alias("b"), (F.col("a.token") == F.col("b.token")) & other & _enough_left(percent)))
@@ -263,15 +274,17 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
         likely = _further_orders(checkpointed(pairs.distinct()), prefixes, percent)
         return checkpointed(_verify(likely, docs, words, percent))
 
-    found = verified(rare.unionByName(starred))
+    found = verified(rare.where("first").select("x", "y").unionByName(starred))
     labels = connected_components(found)
     grouped = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = grouped.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
     rest = checkpointed(grouped.join(mixed, "token").select("token", "node", "n", "pos", "label"))
-    if rest.isEmpty():
-        return labels
     across = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & _enough_left(percent)
-    more = verified(_pairs(rest.alias("a").join(rest.alias("b"), across)))
+    later = rare.where("NOT first").select("x", "y")
+    for end in "xy":
+        later = later.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    later = later.where(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
+    more = verified(_pairs(rest.alias("a").join(rest.alias("b"), across)).unionByName(later))
     return labels if more.isEmpty() else connected_components(found.unionByName(more))
 
 
@@ -292,10 +305,12 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     several = checkpointed(classes.where("copies > 1").select("key", "node"))
     mapped = checkpointed(rows.join(several, "key", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
 
-    copies = mapped.where("node <> doc_id").select("doc_id").distinct()
-    probed = probe_filter(known, bitmap_filter(copies, positive_hash("doc_id")), positive_hash("doc_id"))
-    maybe = probed.where("maybe").select("doc_id", "text").join(copies, "doc_id", "left_anti")
-    labels = _links(probed.where("not maybe").select("doc_id", "text").unionByName(maybe), words, percent, frequent)
+    copies, key = checkpointed(mapped.where("node <> doc_id").select("doc_id").distinct()), positive_hash("doc_id")
+    size = copies.count()
+    spared = checkpointed(kept_by(known.select("doc_id"), copies, size, key, key).where("maybe").select("doc_id").distinct().join(copies, "doc_id", "left_anti"))
+    single = kept_by(known, copies, size, key, key).withColumnRenamed("maybe", "copy")
+    single = kept_by(single, spared, spared.count(), key, key).where("NOT copy OR maybe")  # a copy that slips through joins its own group
+    labels = _links(single.select("doc_id", "text"), words, percent, frequent)
 
     out = mapped.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
     if (nameless := docs.where("doc_id IS NULL")).isEmpty():
@@ -307,6 +322,6 @@ def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> Data
     """The rows of ``docs`` that stay, all columns as they were: of each component the smallest doc_id."""
     dropped = checkpointed(near_groups(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
-    probed = probe_filter(rows, bitmap_filter(dropped, positive_hash("doc_id")), positive_hash("doc_id"))
+    probed = kept_by(rows, dropped, dropped.count(), positive_hash("doc_id"), positive_hash("doc_id"))
     alone = probed.where("not maybe").select("row.*")
     return alone.unionByName(probed.where("maybe").join(dropped, "doc_id", "left_anti").select("row.*"))

@@ -360,6 +360,23 @@ def test_chat_round_trip(spark):
     assert digests(format_conversations(conversations.limit(0))).count() == 0
 
 
+def test_masks_are_found_without_knowing_the_template():
+    from scriptorium.llm.chat import render, text_place
+
+    def numbered(turns):
+        return "".join(f"#{k} <{role}> «{text}»;\n" for k, (role, text) in enumerate(turns))
+
+    def shouting(turns):
+        return "".join(f"{role}{len(text)}:{text}." for role, text in turns)
+
+    turns = [("user", "a"), ("assistant", "«»;\n#1 <x>"), ("assistant", ""), ("assistant", "»»")]
+    made = render(turns, numbered)
+    found = [text_place(turns, k, *span, made.text, numbered) for k, span in enumerate(made.spans)]
+    assert [made.text[b:e] for b, e in found] == [t for _, t in turns]
+    made = render(turns[:2], shouting)
+    assert text_place(turns, 1, *made.spans[1], made.text, shouting) is None
+
+
 def test_templates_see_whole_conversations(spark):
     from scriptorium.llm.chat import chat_template, concatenative, digests, format_conversations, render
 
