@@ -31,7 +31,7 @@ END_ID = 1
 #: Pieces that are packed together; more of them leave fewer half-filled sequences.
 GROUP_PIECES = 16_384
 #: Words whose ids a task remembers, none longer than so many characters.
-CACHE_WORDS, CACHED_CHARS = 150_000, 40
+CACHE_WORDS, CACHED_CHARS = 300_000, 40
 
 #: Python splits at these four controls; the vocabulary's normaliser doesn't take them for spaces.
 NOT_SPACE = re.compile("[\x1c-\x1f]")
