@@ -174,6 +174,34 @@ FROM d
 """
 
 
+#: Whole sets as text, equal ones once; pairs of sets of like size by their shared shingles; what each reaches.
+ORACLE_OP9 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda w: w <> '') AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                      ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS tokens FROM d
+), k AS (
+  SELECT doc_id, len(tokens) AS n, tokens, sha256(array_to_string(list_sort(tokens), chr(10))) AS key FROM s
+), c AS (
+  SELECT key, n, min(doc_id) AS node, arg_min(tokens, doc_id) AS tokens FROM k WHERE n > 0 GROUP BY key, n
+), t AS (
+  SELECT node, n, unnest(tokens) AS token FROM c
+), l AS (
+  SELECT a.node AS x, b.node AS y FROM t a JOIN t b ON a.token = b.token AND a.node < b.node AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.node, b.node, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))
+), e AS (
+  SELECT x, y FROM l UNION ALL SELECT y, x FROM l
+), r AS (
+  SELECT node, node AS reached FROM c UNION SELECT r.node, e.y FROM r JOIN e ON r.reached = e.x
+), g AS (
+  SELECT node, min(reached) AS label FROM r GROUP BY node
+)
+SELECT k.doc_id, k.n AS n_shingles, coalesce(g.label, k.doc_id) AS component_id
+FROM k LEFT JOIN c ON c.key = k.key AND c.n = k.n LEFT JOIN g ON g.node = c.node
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_sentencepiece_sampling, op3_url_filters, op4_best_fit_packing, op5_chat_formatting, op6_exact_dedup,
@@ -182,4 +210,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": ORACLE_OP3, "op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6}
+    return {"op3_url_filters": ORACLE_OP3, "op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6, "op9_ngram_jaccard_join": ORACLE_OP9}

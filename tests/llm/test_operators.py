@@ -646,7 +646,7 @@ def test_pipeline_stages(spark):
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(texts)
 
 
-@pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup"])
+@pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup", "op9_ngram_jaccard_join"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from scriptorium.llm import queries
