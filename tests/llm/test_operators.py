@@ -151,6 +151,36 @@ def test_quality_learns_and_takes_any_text(spark):
     assert fit(document_statistics(["a", "b"]), np.array([1.0, 1.0])).score(document_statistics(["c"]))[0] > 0.5
 
 
+def test_flat_trees_equal_plain_ones_and_tell_held_out_documents_apart(spark):
+    """The registered query on a whole small table, against trees that are walked node by node."""
+    from scriptorium.llm import queries
+    from scriptorium.llm.quality import document_statistics, train
+
+    folder = "/root/testdata/sf0.01"
+    table, labels = (spark.read.parquet(f"{folder}/{name}.parquet") for name in ("documents", "labels"))
+    model = train(table, labels)
+
+    def leaf(tree: int, node: int, x: np.ndarray) -> float:
+        if node >= model.feature.shape[1]:
+            return model.leaf[tree][node - model.feature.shape[1]]
+        return leaf(tree, 2 * node + (2 if x[model.feature[tree][node]] > model.threshold[tree][node] else 1), x)
+
+    def plain(text: str | None) -> float:
+        x = document_statistics([text])[0]
+        return 1 / (1 + np.exp(-model.base - sum(leaf(t, 0, x) for t in range(len(model.leaf)))))
+
+    got = {r["doc_id"]: r for r in rows(queries.op8_quality_classifier(spark, folder))}
+    texts = {r["doc_id"]: r["text"] for r in rows(table)}
+    assert got.keys() == texts.keys()
+    for doc_id in sorted(texts)[:: len(texts) // 100]:
+        assert got[doc_id]["score"] == pytest.approx(plain(texts[doc_id]), abs=1e-12)
+    known = [(got[r["doc_id"]], r["quality"]) for r in rows(labels.where("quality IS NOT NULL")) if got[r["doc_id"]]["held_out"]]
+    yes, no = ([r["score"] for r, label in known if label == wanted] for wanted in (1, 0))
+    assert len(yes) > 50 and len(no) > 10
+    assert np.mean([(a > b) + (a == b) / 2 for a in yes for b in no]) > 0.98
+    assert np.mean([r["predicted"] == label for r, label in known]) > 0.97
+
+
 def test_trees_split_on_thresholds():
     from scriptorium.llm.quality import fit
 
