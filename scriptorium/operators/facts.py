@@ -9,6 +9,7 @@ from scriptorium.functions import patterns as P
 from scriptorium.functions.patterns import has, java, let
 from scriptorium.functions.vocabulary import BUZZWORDS, GERUND_NOUNS, SPELLING_PAIRS, WEAK_OPENERS
 from scriptorium.operators.entries import bullet_text, is_bullet
+from scriptorium.operators.guardrails import language_of
 
 MIN_OUTCOME_BULLETS, OUTCOME_SHARE = 4, 0.4
 
@@ -190,3 +191,19 @@ def ats_row(docs: DataFrame, headings: DataFrame, marks: DataFrame) -> DataFrame
     rows = docs.join(damaged, "doc_id", "left").join(marks, "doc_id", "left")
     problems = F.filter(F.array(F.when(F.col("icons") > 0, "icon_headings"), F.when(F.size("marks") > 0, "bullets"), F.when(F.col("table_count") > 0, "tables")), lambda p: p.isNotNull())
     return rows.select("doc_id", problems.alias("problems"), F.when(F.size(problems) > 0, "attention").otherwise("good").alias("status"))
+
+
+def writing_row(docs: DataFrame, headings: DataFrame, months: DataFrame) -> DataFrame:
+    """doc_id, problems (written, meant), spelling, status: repaired headings, then mistyped months, and the spelling.
+
+    ``headings`` (doc_id, line_no, line, display, damage), ``months`` (doc_id, pos, written, meant). The
+    spelling is null in a German text, else ``mixed`` or ``consistent``, reported either way.
+    """
+    typos = headings.where("damage = 'typo'").select("doc_id", F.lit(0).alias("kind"), F.col("line_no").alias("at"), F.trim("line").alias("written"), F.col("display").alias("meant"))
+    both = typos.unionByName(months.select("doc_id", F.lit(1).alias("kind"), F.col("pos").alias("at"), "written", "meant"))
+    listed = both.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("kind", "at", "written", "meant"))), lambda x: F.struct(x["written"].alias("written"), x["meant"].alias("meant"))).alias("problems"))
+    mixed = writing_facts(docs).select("doc_id", "mixed_spelling")
+    spelling = F.when(language_of(F.col("text")) == "de", None).otherwise(F.when(F.col("mixed_spelling"), "mixed").otherwise("consistent"))
+    rows = docs.join(mixed, "doc_id", "left").join(listed, "doc_id", "left").withColumn("spelling", spelling)
+    good = F.col("problems").isNull() & ~F.coalesce(F.col("mixed_spelling"), F.lit(False))
+    return rows.select("doc_id", F.coalesce("problems", F.array().cast("array<struct<written:string,meant:string>>")).alias("problems"), "spelling", F.when(good, "good").otherwise("attention").alias("status"))

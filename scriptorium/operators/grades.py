@@ -52,7 +52,7 @@ def repaired(value: Column, scales: Column) -> Column:
 
 
 def find_grades(lines: DataFrame) -> DataFrame:
-    """doc_id, line_no, pos, raw, value, maximum, country, scale, plausible, suggestion, missing_maximum."""
+    """doc_id, line_no, pos, raw, value, maximum, country, scale, plausible, suggestion, missing_maximum, reference (the number to print beside it)."""
     window = Window.partitionBy("doc_id").orderBy("line_no")
     context = F.concat_ws("\n", F.lag("line").over(window), F.col("line"))
     marked = lines.select("doc_id", "line_no", "line", context.alias("context")).where(has(F.col("line"), P.GRADE_WORDS) & F.col("line").rlike(r"\p{Nd}"))
@@ -65,16 +65,33 @@ def find_grades(lines: DataFrame) -> DataFrame:
     rows = rows.withColumn("value", number(part(1))).withColumn("maximum", F.when(part(2) != "", number(part(2))))
     rows = rows.withColumn("country", country_of(F.col("line"), F.col("context"), F.col("whole")))
     rows = rows.withColumn("scales", candidate_scales(F.col("country"), F.col("line"), F.col("context"), F.col("value")))
+    own = F.coalesce(*[F.when(F.col("country") == code, F.lit(low if best_is_low else high)) for code, (_, low, high, best_is_low) in SCALES.items()])
     fits = F.filter("scales", lambda s: F.col("value").between(s["lo"], s["hi"]))
     return rows.select(
         "doc_id", "line_no", "pos", F.trim("raw").alias("raw"), "value", "maximum", "country", F.get(fits, F.lit(0))["name"].alias("scale"),
         (F.size(fits) > 0).alias("plausible"), F.when(F.size(fits) == 0, repaired(F.col("value"), F.col("scales"))).alias("suggestion"), F.col("maximum").isNull().alias("missing_maximum"),
+        F.when(has(F.col("line"), P.GERMAN_SCHOOL) | (F.get(fits, F.lit(0))["name"] == ABITUR_AVERAGE[0]), ABITUR_AVERAGE[1]).otherwise(own).alias("reference"),
     )
 
 
 def pair(value: Column, reference: Column) -> Column:
-    """Both numbers with as many decimals, two at least."""
-    return F.format_string("%.2f / %.2f", value, reference)
+    """Both numbers with as many decimals as the value has, two at least."""
+    decimals = F.greatest(F.lit(2), F.char_length(F.split_part(value.cast("string"), F.lit("."), F.lit(2)))).cast("string")
+    form = F.concat(F.lit("%."), decimals, F.lit("f / %."), decimals, F.lit("f"))
+    return F.call_function("format_string", form, value, reference)
+
+
+def notes(grades: DataFrame) -> DataFrame:
+    """doc_id, line_no, pos, raw, kind, written_as of grades that need a word.
+
+    ``decimal_lost``: not possible on the scale, possible with its decimal point put back. ``no_scale``: on
+    no known scale. ``no_maximum``: possible, but written without what it is out of. ``written_as`` pairs
+    the grade with the best one where low ones are best, else with the highest; null where none is known.
+    """
+    kind = F.when(~F.col("plausible"), F.when(F.col("suggestion").isNotNull(), "decimal_lost").otherwise("no_scale")).when(F.col("missing_maximum"), "no_maximum")
+    shown = F.coalesce("suggestion", "value")
+    written = F.when(F.col("reference").isNotNull() & (kind != "no_scale"), pair(shown, F.col("reference")))
+    return grades.select("doc_id", "line_no", "pos", "raw", kind.alias("kind"), written.alias("written_as")).where("kind IS NOT NULL")
 
 
 def convention_notes(grades: DataFrame) -> DataFrame:

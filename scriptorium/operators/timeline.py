@@ -23,6 +23,27 @@ def month_label(index: Column, language: str = "en") -> Column:
     return F.concat(F.get(names, F.pmod(index - 1, F.lit(12)).cast("int")), F.lit(" "), F.floor((index - 1) / 12).cast("string"))
 
 
+#: A word where a month stands and the year after it; a ratio from which the word is taken for a month.
+BEFORE_YEAR, MONTH_RATIO = r"\b([A-Za-z0-9]{3,4})\.?\s+((?:19|20)\d{2})\b", 0.6
+
+
+def month_typos(docs: DataFrame) -> DataFrame:
+    """doc_id, pos, written, meant: words before a year that are one letter from a month's name.
+
+    Known months and plain numbers are none. Names of as many letters are compared, of several alike the
+    first in the list's order counts. Distinct words are compared once. A null text has none.
+    """
+    from scriptorium.operators.headings import similarity
+
+    part = lambda k: every(F.col("text"), BEFORE_YEAR, False, group=k)
+    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(part(0).alias("written"), part(1).alias("word"), part(2).alias("year"))).alias("pos", "m")).select("doc_id", "pos", "m.written", F.lower("m.word").alias("word"), "m.year")
+    rows = rows.where(~F.col("word").rlike(r"^\d+$") & ~F.col("word").isin(list(MONTH_NUMBERS)))
+    listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name")) for k, name in enumerate(MONTH_NUMBERS)])
+    near = rows.select("word").distinct().select("word", F.explode(listed).alias("m")).where(F.char_length("word") == F.char_length("m.name")).select("word", "m.ord", "m.name")
+    near = near.where(similarity("word", "name") >= MONTH_RATIO).groupBy("word").agg(F.min_by("name", "ord").alias("name"))
+    return rows.join(near, "word").select("doc_id", "pos", "written", F.concat(F.initcap("name"), F.lit(" "), "year").alias("meant"))
+
+
 def endpoint(token: Column, is_end: bool, as_of: str) -> Column:
     """STRUCT<index, explicit> of one end of a range; a null index where it can't be read."""
     day = F.lit(as_of).cast("date")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import patterns as P
 from scriptorium.functions import vocabulary as V
 from scriptorium.operators import (
-    entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, profile, redaction, rendering, selection, sessions, severity, timeline,
+    answers, entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, profile, redaction, rendering, selection, sessions, severity, timeline,
 )
 from scriptorium.plans import fixtures as X
 
@@ -391,6 +391,22 @@ def grade_convention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.convention_notes(grades.find_grades(_grade_lines(spark, sf_dir)))
 
 
+@query()
+def grade_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grades.notes(grades.find_grades(_grade_lines(spark, sf_dir)))
+
+
+@query()
+def month_typos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.month_typos(_docs(spark, sf_dir, X.MONTH_TEXTS))
+
+
+@query()
+def writing_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir, X.MONTH_TEXTS)
+    return facts.writing_row(docs, headings.identify(lines.lines_of(docs), V.heading_table(spark)), timeline.month_typos(docs))
+
+
 @query(f"SELECT doc_id, count(*) AS entries, count(*) FILTER (has_grade) AS graded FROM {X.ENTRIES.sql} GROUP BY doc_id HAVING count(*) >= 2 AND bool_or(has_grade) AND NOT bool_and(has_grade)")
 def grade_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.consistency_notes(X.ENTRIES.frame(spark))
@@ -590,6 +606,53 @@ def letter_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return overlap.paragraph_values(body, letters.select("doc_id", "other"))
 
 
+def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The body paragraphs of letters, measured; every sentence is a claim, known if the other document has most of its words."""
+    letters = _letters(spark, sf_dir)
+    body = overlap.body_paragraphs(overlap.paragraphs(letters), r"^\s*(?:dear|sehr geehrte)", r"^\s*(?:kind regards|freundliche)")
+    said = body.select("doc_id", "n", F.explode(overlap.sentences(F.col("paragraph"))).alias("claim")).join(letters.select("doc_id", "other"), "doc_id")
+    known = overlap.overlap_share(overlap.content_words(F.col("claim")), overlap.content_words(F.col("other"))) >= overlap.ECHO_SHARE
+    return answers.measured_paragraphs(body, letters.select("doc_id", "other"), said.select("doc_id", "n", "claim", known.alias("known")))
+
+
+@query()
+def measured_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _measured(spark, sf_dir)
+
+
+@query()
+def repetition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.repetition_candidates(_measured(spark, sf_dir))
+
+
+@query()
+def flagged_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every measured paragraph flagged, and invented flags."""
+    measured = _measured(spark, sf_dir)
+    return answers.repetitions(measured.select("doc_id", "n", F.lit("restates").alias("issue")).unionByName(X.FLAGGED.frame(spark)), measured)
+
+
+@query(r"""
+WITH p AS (SELECT d.doc_id, d.text, b.text AS points FROM documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)),
+s AS (SELECT doc_id, list_distinct(list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-zÄÖÜäöüß]{6,}'), lambda w: left(lower(w), 6))) AS h,
+             list_distinct(list_transform(regexp_extract_all(coalesce(points, ''), '[A-Za-zÄÖÜäöüß]{6,}'), lambda w: left(lower(w), 6))) AS s FROM p)
+SELECT doc_id, len(h) AS here, len(s) AS said, len(list_intersect(h, s)) AS shared, len(h) > 0 AND len(list_intersect(h, s)) = 0 AS ungrounded FROM s
+""")
+def answer_grounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a benchmark item, taken for an answer, names anything of the document that it is dealt to."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    said = _docs(spark, sf_dir).withColumn("item_id", F.pmod("doc_id", F.lit(items.count()))).select("doc_id", "item_id").join(items.select("item_id", F.col("text").alias("points")), "item_id")
+    return answers.grounding(said.select("doc_id", "points"), _docs(spark, sf_dir), ["doc_id"])
+
+
+@query()
+def merged_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, vocabulary = _docs(spark, sf_dir, X.CV), V.heading_table(spark)
+    body = lines.lines_of(docs)
+    proposed = answers.proposed_sections(docs, X.PROPOSED.frame(spark), [r["category"] for r in vocabulary.select("category").distinct().collect()])
+    return answers.merged_sections(body, headings.identify(body, vocabulary), proposed, vocabulary)
+
+
 @query()
 def letter_redaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.strip_letter(_docs(spark, sf_dir, X.WHOLE_LETTERS))
@@ -634,7 +697,19 @@ def heading_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.heading_style(layout.rows_of(pieces), layout.body_size(pieces))
 
 
-@query()
+@query(rf"""
+WITH docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT doc_id, text FROM {X.PIECES.sql}),
+l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM docs),
+f AS (SELECT doc_id, 5 * (length(line) - length(regexp_replace(line, '^[ \t]+', ''))) AS indent, list_filter(string_split_regex(regexp_replace(line, '^[ \t]+|[ \t]+$', '', 'g'), '[ \t]{{2,}}'), lambda x: x <> '') AS fs FROM l WHERE trim(line) <> ''),
+k AS (SELECT *, unnest(range(1, len(fs) + 1)) AS k FROM f),
+e AS (SELECT doc_id, CAST(indent + coalesce(list_sum(list_transform(fs[1:k - 1], lambda x: length(x) * 5 + 15)), 0) AS DOUBLE) AS x0 FROM k),
+g AS (SELECT doc_id, x0, lag(x0) OVER (PARTITION BY doc_id ORDER BY x0) AS before FROM e),
+c AS (SELECT doc_id, x0, sum(CASE WHEN x0 - before > 20 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY x0) AS cluster, count(*) OVER (PARTITION BY doc_id) AS pieces FROM g),
+r AS (SELECT doc_id, cluster, min(x0) AS x FROM c GROUP BY doc_id, cluster HAVING count(*) >= greatest(2, floor(max(pieces) * 0.25))),
+n AS (SELECT doc_id, row_number() OVER w - 1 AS c, x, coalesce(lead(x) OVER w, 600) AS stop, count(*) OVER (PARTITION BY doc_id) AS m FROM r WINDOW w AS (PARTITION BY doc_id ORDER BY x))
+SELECT doc_id, 1 AS page, CAST(c AS INTEGER) AS "column", x AS "left", CAST(stop AS DOUBLE) AS "right" FROM n WHERE m >= 2
+UNION ALL SELECT DISTINCT doc_id, 1, 0, CAST(0 AS DOUBLE), CAST(600 AS DOUBLE) FROM e WHERE doc_id NOT IN (SELECT doc_id FROM n WHERE m >= 2)
+""")
 def page_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.columns_of(layout.pieces_of_text(_docs(spark, sf_dir, X.PIECES)), 4 * layout.CHAR_WIDTH)
 
@@ -670,7 +745,9 @@ def message_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("text", "scored")
 
 
-@query()
+@query(rf"""
+WITH {MESSAGES_SQL} SELECT conv_id, turn, regexp_matches(coalesce(text, ''), {_text('(?i)' + P.SCORES.replace("(?<![" + chr(92) + "d.])", "(?:^|[^0-9.])"))}) AS scored FROM m
+""")
 def score_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guardrails.message_checks(_conversations(spark, sf_dir)).select("conv_id", "turn", "scored")
 

@@ -193,3 +193,20 @@ WHOLE = Relation(
         (-103, "\ue000 line with an icon\nGeburtsort: Beispielstadt\nDear Ms Beispiel,\nI worked with Dr. Berta Test for long\nBerta Test\nKind regards"),
     ],
 )
+
+
+MONTH_TEXTS = Relation(
+    "doc_id long, text string",
+    [(-1, "Mapmaker 3un 2025 - Gun 2026\nOkt 2019, Dez. 2020\n1234 2019, OKI\n2019"), (-2, "from 2019, nothing 2020"), (-3, ""), (-4, None), (-5, "Work Experiense\nMuster AG Mae 2018\nThe colour of the center")],
+)
+PROPOSED = Relation(
+    "doc_id long, ord long, heading string, category string",
+    [
+        (-1, 0, "Work Experience", "Experience"), (-1, 1, "Old maps of small islands", "Cartography"), (-1, 2, "old maps of small islands", "Projects"),
+        (-1, 3, "Invented heading", "Projects"), (-1, 4, "x", "Projects"), (-1, 5, None, None), (-1, 6, "Kites", "Extracurricular & Interests"), (-1, 7, "drill", "Projects"), (-9, 0, "Nowhere", "Other"),
+    ],
+)
+FLAGGED = Relation(
+    "doc_id long, n int, issue string",
+    [(-1, 2, "says what the other says"), (-1, 9, "no such paragraph"), (-1, 2, ""), (-3, 1, None)],
+)

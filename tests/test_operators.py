@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from scriptorium.functions import vocabulary as V
-from scriptorium.operators import entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, profile, redaction, rendering, sessions, severity, timeline
+from scriptorium.operators import answers, entries, extraction, facts, grades, guardrails, headings, lines, overlap, picks, profile, redaction, rendering, sessions, severity, timeline
 from scriptorium.plans import catalogue
 from scriptorium.plans import fixtures as X
 from tests.conftest import SF
@@ -345,3 +345,70 @@ def test_facts_of_whole_documents(spark):
 def test_queries_keep_every_document(spark, name):
     asked = catalogue.queries()[name](spark, SF).select("doc_id").distinct()
     assert spark.read.parquet(f"{SF}/documents.parquet").join(asked, "doc_id", "left_anti").count() == 0
+
+
+# --- answers ---
+
+
+def test_month_typos(spark):
+    got = {(r["doc_id"], r["written"], r["meant"]) for r in timeline.month_typos(X.MONTH_TEXTS.frame(spark)).collect()}
+    assert got == {(-1, "3un 2025", "Jun 2025"), (-1, "Gun 2026", "Jun 2026"), (-1, "OKI\n2019", "Okt 2019"), (-5, "Mae 2018", "Mar 2018")}
+
+
+def test_grade_notes(spark):
+    found = {(r["doc_id"], r["line_no"]): (r["kind"], r["written_as"]) for r in grades.notes(grades.find_grades(X.GRADE_LINES.frame(spark))).collect()}
+    assert found[-1, 1] == ("no_maximum", "2.40 / 1.00") and found[-1, 3] == ("decimal_lost", "4.76 / 6.00") and (-2, 0) not in found
+    shown = spark.createDataFrame([(4.756, 6.0), (5.0, 6.0), (None, 6.0)], "v double, r double").select(grades.pair(F.col("v"), F.col("r"))).collect()
+    assert [r[0] for r in shown][:2] == ["4.756 / 6.000", "5.00 / 6.00"]
+
+
+def test_writing_row(spark):
+    docs = X.MONTH_TEXTS.frame(spark)
+    found = headings.identify(lines.lines_of(docs), V.heading_table(spark))
+    got = {r["doc_id"]: r for r in facts.writing_row(docs, found, timeline.month_typos(docs)).collect()}
+    assert len(got) == 5 and got[-2]["status"] == "good" and got[-2]["problems"] == [] and got[-1]["status"] == "attention"
+    assert [tuple(p) for p in got[-5]["problems"]] == [("Work Experiense", "Work Experience"), ("Mae 2018", "Mar 2018")] and got[-5]["spelling"] in ("mixed", "consistent")
+
+
+def test_proposed_sections(spark):
+    docs, vocabulary = X.CV.frame(spark), V.heading_table(spark)
+    usable = answers.proposed_sections(docs, X.PROPOSED.frame(spark), ["Experience", "Projects", "Extracurricular & Interests"])
+    assert sorted((r["ord"], r["category"]) for r in usable.collect()) == [(0, "Experience"), (1, "Other"), (6, "Extracurricular & Interests"), (7, "Projects")]
+    body = lines.lines_of(docs)
+    found = headings.identify(body, vocabulary)
+    got = [r for r in answers.merged_sections(body, found, usable, vocabulary).orderBy("doc_id", "n").collect() if r["doc_id"] == -1]
+    assert [r["heading"] for r in got if r["heading"] in ("Work Experience", "Old maps of small islands", "Kites", "drill")] == ["Work Experience", "Kites", "Old maps of small islands", "drill"]
+    assert got[-1]["line_no"] is None and [r["n"] for r in got] == list(range(1, len(got) + 1))
+
+
+def test_repetitions(spark):
+    body = spark.createDataFrame(
+        [(1, n, "Prepared valuation models for acquisitions, presented findings to partners, negotiated contracts with suppliers in Basel this spring.") for n in (1, 2, 3)]
+        + [(1, 4, "This strengthened my analytical skills and my communication skills and my presentation skills and my negotiation skills and my leadership skills further.")],
+        "doc_id long, n int, paragraph string",
+    )
+    claims = [(1, 1, "prepared valuation models", True), (1, 1, "negotiated contracts", True), (1, 1, "cooked dinner yesterday evening", False), (1, 1, "strengthened my analytical skills", False)]
+    claims += [(1, 2, "presented findings", True), (1, 2, "contracts with suppliers", False), (1, 3, "presented findings", True), (1, 3, None, None)]
+    made = spark.createDataFrame(claims, "doc_id long, n int, claim string, known boolean")
+    assert sorted(map(tuple, answers.claim_counts(body, made).collect())) == [(1, 1, 2, 2), (1, 2, 2, 1)]
+    other = spark.createDataFrame([(1, None)], "doc_id long, other string")
+    measured = answers.measured_paragraphs(body, other, made, least=3)
+    assert {r["n"]: r["reason"] for r in answers.repetition_candidates(measured).collect()} == {1: "all_claims_known", 4: "nothing_left"}
+    flagged = spark.createDataFrame([(1, 2, "x"), (1, 3, " why "), (1, 4, "y"), (1, 4, ""), (1, 8, "z"), (2, 1, "z"), (None, None, None)], "doc_id long, n int, issue string")
+    assert sorted((r["n"], r["issue"]) for r in answers.repetitions(flagged, measured).collect()) == [(3, "why"), (4, "y")]
+    assert [r["n"] for r in answers.unreported(flagged, measured).collect()] == [1]
+
+
+def test_ungrounded_sections(spark):
+    sections = spark.createDataFrame([(1, "Experience", "Experience", "Mapmaker at Muster AG"), (1, "Languages", "Skills & Languages", "English, German"), (2, "Projects", "Projects", None)], "doc_id long, section string, category string, text string")
+    said = [(1, " Experience", "needs_attention", "be more concrete"), (1, "Languages", "needs_attention", "anything"), (2, "Projects", "needs_attention", "nothing"), (1, "Experience", "strong", "words")]
+    asked = spark.createDataFrame(said, "doc_id long, section string, status string, points string")
+    assert [tuple(r) for r in answers.ungrounded_sections(asked, sections).collect()] == [(1, "Experience")]
+    named = spark.createDataFrame([(1, "Experience", "needs_attention", "say what a MAPMAKER does")], asked.schema)
+    assert answers.ungrounded_sections(named, sections).isEmpty()
+
+
+def test_points_in_place(spark):
+    rows = spark.createDataFrame([("Interests", ["join a club", "say more"]), ("Extracurricular interests", ["join a club"]), (None, ["join a club"])], "section string, points array<string>")
+    got = answers.points_in_place(rows, "interest|skill", "extracurricular|volunteer", "club")
+    assert [r["points"] for r in got.collect()] == [["say more"], ["join a club"], ["join a club"]]
