@@ -86,8 +86,9 @@ def claim_counts(body: DataFrame, claims: DataFrame) -> DataFrame:
     ``body`` (doc_id, n, paragraph), ``claims`` (doc_id, n, claim, known). A claim counts if half of its
     stems are in its paragraph and if more than a claim to have grown is left of it.
     """
-    rows = skills_removed(claims.where("claim IS NOT NULL").withColumnRenamed("claim", "text")).join(body.select("doc_id", "n", "paragraph"), ["doc_id", "n"])
-    rows = rows.select("doc_id", "n", F.coalesce("known", F.lit(False)).alias("known"), content_words(F.col("text")).alias("c"), content_words(F.col("kept")).alias("left"), content_words(F.col("paragraph")).alias("p"))
+    rows = skills_removed(claims.where("claim IS NOT NULL").withColumnRenamed("claim", "text"))
+    rows = rows.select("doc_id", "n", F.coalesce("known", F.lit(False)).alias("known"), content_words(F.col("text")).alias("c"), content_words(F.col("kept")).alias("left"))
+    rows = rows.join(body.select("doc_id", "n", content_words(F.col("paragraph")).alias("p")), ["doc_id", "n"])
     anchored = (F.size("c") > 0) & (F.size("left") > 0) & (F.size(F.array_intersect("c", "p")) >= ANCHOR_SHARE * F.size("c"))
     return rows.where(anchored).groupBy("doc_id", "n").agg(F.count("*").alias("claims"), F.count_if("known").alias("known_claims")).where(F.col("claims") >= LEAST_CLAIMS)
 
@@ -97,8 +98,8 @@ def measured_paragraphs(body: DataFrame, known: DataFrame, claims: DataFrame, le
 
     ``known`` (doc_id, other) is the other document; without one ``known_left`` is null.
     """
-    rows = skills_removed(body.select("doc_id", "n", F.col("paragraph").alias("text"))).join(known, "doc_id", "left")
-    rows = rows.withColumn("w", content_words(F.col("text"))).withColumn("r", content_words(F.col("kept"))).withColumn("k", content_words(F.col("other"))).where(F.size("w") >= least)
+    rows = skills_removed(body.select("doc_id", "n", F.col("paragraph").alias("text"))).withColumn("w", content_words(F.col("text"))).where(F.size("w") >= least).withColumn("r", content_words(F.col("kept")))
+    rows = rows.join(known.select("doc_id", content_words(F.col("other")).alias("k")), "doc_id", "left")  # stems once a document
     opening = F.substring(F.regexp_replace(F.trim("text"), r"(?U)\s+", " "), 1, 80)
     known_left = F.when(F.size("k") > 0, F.when(F.size("r") == 0, 1.0).otherwise(overlap_share(F.col("r"), F.col("k"))))
     rows = rows.select(

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
 from scriptorium.functions import vocabulary as V
+from scriptorium.functions.durable import checkpointed
 from scriptorium.operators import (
     answers, entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, profile, redaction, rendering, selection, sessions, severity, timeline,
 )
@@ -610,8 +611,9 @@ def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The body paragraphs of letters, measured; every sentence is a claim, known if the other document has most of its words."""
     letters = _letters(spark, sf_dir)
     body = overlap.body_paragraphs(overlap.paragraphs(letters), r"^\s*(?:dear|sehr geehrte)", r"^\s*(?:kind regards|freundliche)")
-    said = body.select("doc_id", "n", F.explode(overlap.sentences(F.col("paragraph"))).alias("claim")).join(letters.select("doc_id", "other"), "doc_id")
-    known = overlap.overlap_share(overlap.content_words(F.col("claim")), overlap.content_words(F.col("other"))) >= overlap.ECHO_SHARE
+    said = body.select("doc_id", "n", F.explode(overlap.sentences(F.col("paragraph"))).alias("claim")).withColumn("c", overlap.content_words(F.col("claim")))
+    said = said.join(letters.select("doc_id", overlap.content_words(F.col("other")).alias("k")), "doc_id")
+    known = overlap.overlap_share(F.col("c"), F.col("k")) >= overlap.ECHO_SHARE
     return answers.measured_paragraphs(body, letters.select("doc_id", "other"), said.select("doc_id", "n", "claim", known.alias("known")))
 
 
@@ -628,7 +630,7 @@ def repetition_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def flagged_repetitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every measured paragraph flagged, and invented flags."""
-    measured = _measured(spark, sf_dir)
+    measured = checkpointed(_measured(spark, sf_dir))
     return answers.repetitions(measured.select("doc_id", "n", F.lit("restates").alias("issue")).unionByName(X.FLAGGED.frame(spark)), measured)
 
 
