@@ -667,13 +667,24 @@ def test_pipeline_stages(spark):
     from tests.conftest import SF
 
     docs_table = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = docs_table
+    kept, outputs = docs_table, []
     for _, stage in corpus_pipeline.STAGES[:3]:
         before, kept = kept.count(), stage(spark, kept, SF).cache()
         assert kept.columns == docs_table.columns and kept.count() <= before
-    texts = [r["text"] for r in rows(kept)]
-    assert len(set(texts)) == len(texts)
-    assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == len(texts)
+        outputs.append({r["doc_id"]: r["text"] for r in rows(kept)})
+    good, distinct, alone = outputs
+    smallest = {}
+    for doc_id in sorted(good):
+        smallest.setdefault(good[doc_id], doc_id)
+    assert distinct == {doc_id: text for text, doc_id in smallest.items()}
+    homes = brute_components(list(distinct.values()), list(distinct), 5, 80)
+    assert alone == {doc_id: text for doc_id, text in distinct.items() if homes[doc_id][1] == doc_id}
+    packed = rows(corpus_pipeline.run(spark, SF))
+    assert {r["doc_id"] for r in packed} == alone.keys()
+    filled = {}
+    for r in packed:
+        filled[r["sequence_id"]] = filled.get(r["sequence_id"], 0) + r["length"]
+    assert max(filled.values()) <= 4096
 
 
 @pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup", "op9_ngram_jaccard_join"])
