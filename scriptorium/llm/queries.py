@@ -151,6 +151,24 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.vector_codes import vector_codes
+
+    return vector_codes(_table(spark, sf_dir, "embeddings"), parts=16, entries=64, rounds=2)
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.importance import importance_sample
+
+    return importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), percent=5, least_words=20)
+
+
+def op13_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from scriptorium.llm.nearest import nearest_vectors
+
+    return nearest_vectors(_table(spark, sf_dir, "embeddings"), top=20, every=20).drop("on_curve")
+
+
 ORACLE_OP5 = f"""
 WITH c AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -202,12 +220,98 @@ FROM k LEFT JOIN c ON c.key = k.key AND c.n = k.n LEFT JOIN g ON g.node = c.node
 """
 
 
+def _coded(book: str) -> str:
+    """Each part with the nearest entry of a codebook, by squared distance, then index."""
+    far = " + ".join(f"(p.x[{k}] - b.x[{k}]) * (p.x[{k}] - b.x[{k}])" for k in range(1, 5))
+    return f"SELECT i, part, min((CAST({far} AS BIGINT), entry)) AS m FROM p JOIN {book} b USING (part) GROUP BY i, part"
+
+
+def _moved(coded: str, book: str) -> str:
+    """A codebook after its entries became the floored means of their parts."""
+    mean = ", ".join(f"CAST((sum(p.x[{k}]) - ((sum(p.x[{k}]) % count(*)) + count(*)) % count(*)) // count(*) AS BIGINT)" for k in range(1, 5))
+    return f"SELECT part, entry, coalesce(n.x, b.x) AS x FROM {book} b LEFT JOIN (SELECT part, c.m[2] AS entry, [{mean}] AS x FROM {coded} c JOIN p USING (i, part) GROUP BY 1, 2) n USING (part, entry)"
+
+
+#: Vectors of 64 components, as the table has.
+ORACLE_OP11 = f"""
+WITH v AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS i, vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS c
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT i, part, c[4 * part + 1 : 4 * part + 4] AS x FROM v, range(16) AS r(part)
+), b0 AS (
+  SELECT part, i - 1 AS entry, x FROM p WHERE i <= 64
+), c1 AS ({_coded("b0")}), b1 AS ({_moved("c1", "b0")}), c2 AS ({_coded("b1")}), b2 AS ({_moved("c2", "b1")}), c3 AS ({_coded("b2")}),
+d AS (
+  SELECT i, string_agg(printf('%02x', m[2]), '' ORDER BY part) AS code, CAST(sum(m[1]) AS BIGINT) AS error FROM c3 GROUP BY i
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM b2) AS codebooks_sha256
+FROM v JOIN d USING (i)
+"""
+
+#: Checksums byte by byte over a table made by the rule; every distinct n-gram once.
+ORACLE_OP12 = r"""
+WITH RECURSIVE bits AS (
+  SELECT i, CAST(i AS UBIGINT) AS c, 0 AS k FROM range(256) AS r(i)
+  UNION ALL
+  SELECT i, CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS UBIGINT)) ELSE c >> 1 END, k + 1 FROM bits WHERE k < 8
+), crc AS MATERIALIZED (
+  SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8
+), texts AS MATERIALIZED (
+  SELECT 0 AS src, row_number() OVER () AS id, doc_id, text FROM documents UNION ALL SELECT 1, row_number() OVER (), NULL, text FROM benchmark
+), w AS MATERIALIZED (
+  SELECT src, id, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM texts
+), g AS MATERIALIZED (
+  SELECT src, id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]), list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS gram FROM w
+), h AS MATERIALIZED (
+  SELECT gram, hex(encode(gram)) AS x FROM (SELECT DISTINCT gram FROM g)
+), b AS MATERIALIZED (
+  SELECT gram, CAST(xor(list_reduce(list_transform(range(0, len(x) // 2), lambda i: CAST('0x' || substr(x, 2 * i + 1, 2) AS UBIGINT)), lambda c, v: xor(c >> 8, t[CAST(xor(c, v) & 255 AS BIGINT) + 1]), CAST(4294967295 AS UBIGINT)), CAST(4294967295 AS UBIGINT)) % 10000 AS BIGINT) AS bucket
+  FROM h, crc
+), f AS MATERIALIZED (
+  SELECT src, id, bucket FROM g JOIN b USING (gram)
+), n AS (
+  SELECT bucket, count(*) FILTER (WHERE src = 0) AS s, count(*) FILTER (WHERE src = 1) AS t FROM f GROUP BY bucket
+), gain AS (
+  SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (sum(s) OVER () + 10000) AS DOUBLE) / CAST((s + 1) * (sum(t) OVER () + 10000) AS DOUBLE))) AS BIGINT) AS gain FROM n
+), v AS (
+  SELECT id, count(*) AS n_features, sum(gain) AS weight FROM f JOIN gain USING (bucket) WHERE src = 0 GROUP BY id
+), d AS (
+  SELECT doc_id, len(w) >= 20 AS eligible, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+         CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+  FROM w LEFT JOIN v USING (id) WHERE src = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY eligible ORDER BY score DESC, doc_id NULLS LAST, n_features, weight) AS place, 5 * count(*) OVER (PARTITION BY eligible) // 100 AS draw FROM d
+)
+SELECT doc_id, n_features, weight, score, CASE WHEN eligible AND place <= draw THEN place END AS rank FROM r
+"""
+
+#: The exact result, components added from the first to the last.
+ORACLE_OP13 = """
+WITH v AS (
+  SELECT vec_id, row_number() OVER (ORDER BY vec_id, embedding) AS i, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), s AS (
+  SELECT q.i, q.vec_id AS query_id, x.vec_id, list_sum(list_transform(range(1, 65), lambda k: q.e[k] * x.e[k])) AS score
+  FROM v q JOIN v x ON q.i <> x.i AND q.vec_id % 20 = 0
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY i ORDER BY score DESC, vec_id) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_sentencepiece_sampling, op3_url_filters, op4_best_fit_packing, op5_chat_formatting, op6_exact_dedup,
         op7_html_extraction, op8_quality_classifier, op9_ngram_jaccard_join, op10_document_fingerprints,
+        op11_vector_codes, op12_importance_resampling, op13_nearest_vectors,
     )}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": ORACLE_OP3, "op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6, "op9_ngram_jaccard_join": ORACLE_OP9}
+    return {
+        "op3_url_filters": ORACLE_OP3, "op5_chat_formatting": ORACLE_OP5, "op6_exact_dedup": ORACLE_OP6, "op9_ngram_jaccard_join": ORACLE_OP9,
+        "op11_vector_codes": ORACLE_OP11, "op12_importance_resampling": ORACLE_OP12, "op13_nearest_vectors": ORACLE_OP13,
+    }

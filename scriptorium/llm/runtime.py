@@ -32,6 +32,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(setting, str(rows))
 
 
+def bounded_bytes(spark: SparkSession, megabytes: int = 16) -> None:
+    """Hand Python at most about so many bytes at a time in this session, for packed rows are large; a smaller setting stays."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    said = spark.conf.get(setting).strip().lower()
+    size = int(said.rstrip("bkmgt") or -1) << {"k": 10, "m": 20, "g": 30, "t": 40}.get(said.rstrip("b")[-1:], 0)
+    if not 0 < size <= megabytes << 20:
+        spark.conf.set(setting, f"{megabytes}m")
+
+
 def few_rows(spark: SparkSession, rows: list[tuple], fields: str) -> DataFrame:
     """A frame of a bounded list of rows of numbers, made without Python workers."""
     names = [f.split()[0] for f in fields.split(", ")]
@@ -104,3 +113,25 @@ def place_among(bounds: list[Bound], key: Column, salt: Column) -> Column:
 
 def quantiles(sample: list, parts: int) -> list:
     return [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
+
+
+def placed(rows: DataFrame, *order: Column | str) -> DataFrame:
+    """``rows`` with ``place``, counted from 0 by the order over all of them.
+
+    Rows are range-partitioned by the order, of which every column counts, so equal first columns don't
+    meet in one task; a row's place is its place in its range plus the rows of the ranges before.
+    """
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = checkpointed(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = {r["part"]: r["n"] for r in dealt.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return dealt.withColumn("place", F.lit(0).cast("long")).drop("_at")
+    before, ahead = [], 0
+    for k in sorted(sizes):
+        before.append((k, ahead))
+        ahead += sizes[k]
+    offsets = F.broadcast(few_rows(spark, before, "_part long, _ahead long"))
+    place = F.col("_ahead") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    return dealt.withColumn("_part", part).join(offsets, "_part").withColumn("place", place).drop("_at", "_part", "_ahead")

@@ -687,14 +687,14 @@ def test_pipeline_stages(spark):
     assert max(filled.values()) <= 4096
 
 
-@pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup", "op9_ngram_jaccard_join"])
+@pytest.mark.parametrize("name", ["op3_url_filters", "op5_chat_formatting", "op6_exact_dedup", "op9_ngram_jaccard_join", "op11_vector_codes", "op12_importance_resampling", "op13_nearest_vectors"])
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from scriptorium.llm import queries
     from tests.conftest import SF
 
     database = duckdb.connect()
-    for table in ("documents", "pages", "conversations"):
+    for table in ("documents", "pages", "conversations", "benchmark", "embeddings"):
         database.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     got = queries.queries()[name](spark, SF)
     asked = database.execute(queries.oracle_sql()[name])
