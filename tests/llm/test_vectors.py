@@ -6,7 +6,6 @@ import random
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 SCHEMA = "vec_id long, embedding array<double>, label int, rid long, curve int, code string, place long, part int"
 
@@ -186,12 +185,3 @@ def test_the_curve_goes_from_cell_to_neighbouring_cell():
         keys = hilbert_keys(cells, bits)
         assert sorted(keys) == list(range(len(cells)))
         assert (np.abs(np.diff(cells[np.argsort(keys)], axis=0)).sum(axis=1) == 1).all()
-
-
-def test_bounds_exclude_blocks_of_vectors_with_structure(spark):
-    """Clusters far apart: what reaches the scan is a small part of all pairs of chunks and blocks."""
-    from scriptorium.llm.nearest import _dot
-
-    both = spark.createDataFrame([([1.0, 2.0], [3.0, -1.0])], "a array<double>, b array<double>")
-    assert both.select(_dot("a", "b").alias("d")).first()["d"] == 1.0
-    assert both.select(F.size("a").alias("n")).first()["n"] == 2
