@@ -87,6 +87,10 @@ SINGLE_DATE_END = r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]{3,9}\.?,?[ \t]{0,2}|(?:0?[1-9]|1[
 # --- fixed values: lines of a CV ---
 BULLETS = "-–—•·*▪■◦‣→▸▹►⁃∙"
 BULLET_LINE = r"^\s*[\-–—•·*▪■◦‣→▸▹►⁃∙]\s+\S|^\s*o\s+(?=[A-ZÄÖÜ])"
+GLYPHS = "-–—•·*▪■●○◦‣→▸▹►⁃∙◆❖➢✓»«"
+FIELD_DATE = (
+    r"^(?:(?:19|20)\d{2}|(?:0?[1-9]|1[0-2])[./](?:19|20)\d{2}|(?:Jan|Feb|M[aä]r|Apr|Mai|May|Jun|Jul|Aug|Sep|O[ck]t|Nov|De[cz])[a-z]*\.?\s*(?:19|20)\d{2})$"
+)
 INLINE_BULLET = r"\s[•·▪◦‣→▸▹►∙]\s+\S"
 INDENTED_LINE = r"^(?:\t| {2,})\S"
 IMPACT = (

@@ -210,3 +210,19 @@ FLAGGED = Relation(
     "doc_id long, n int, issue string",
     [(-1, 2, "says what the other says"), (-1, 9, "no such paragraph"), (-1, 2, ""), (-3, 1, None)],
 )
+TREES = Relation(
+    "doc_id long, text string",
+    [
+        (
+            -301,
+            "Mira Beispiel\nmira@example.org\n\nWORK\n\nKiln and Sons                    Lausanne\nPotter            04/2015 - 09/2017\n- Glazed four hundred bowls,\n  all of them blue\n- Fired the kiln at night\n\n"
+            "Harbour Museum\nGuide             2011 - 2014\nled visitors through the old ships\n\nSTUDIES\n\nBA, Academy of Clay      2008 - 2011\nThesis on the glazes of the north, written over two long winters in a\nsmall hut by the sea\n                                              Geneva\n\n"
+            "PROJECTS\n\nA WHEEL FOR CHILDREN\n- built of beech\n- shown at two fairs\nTHE QUIET KILN\n- burns no wood\n\nSPRACHEN\n\nEnglish: fluent\nGerman: basic",
+        ),
+        (-302, "Training\nCollege of Maps 2003 - 2005\nPosts\nAtlas House 2006 - 2009\n- drew coasts\n- drew rivers\nMap Room, 2010 - heute\nnothing said\nHobbies\nrowing"),
+        (-303, "first block\nof two rows\n\n\n\nsecond block 2001 - 2002\nwhat was done there\n\n\n\nthird block\n"),
+        (-304, "SEA\n\nquiet water\n\nSAND\n\nloud wind\n\nSALT\n\nold rope\nHarbour (1999 - 2001)\nHarbour (1999 - 2001), then away\nMay 2004   Ferry\n   deeper than its title\n\nSTONE\n\nend"),
+        (-305, "Ship (2001 -\n2003), Port\n> mark one\n> mark two\n> mark three\n* Some Thing 2001 - 2002\no Outer ring\n-\n2005 - 2006   Crew\n   rows of oars\nand sails"),
+        (-306, ""), (-307, None), (-308, "   \n\t\n"),
+    ],
+)
