@@ -133,6 +133,15 @@ REWRITE_ASKED = (
 REWRITE_GIVEN = r"(?:here'?s a (?:rewritten|revised|new) (?:version|bullet|line)|you could (?:write|say|put)\s*[:\-]|try this\s*[:\-]|suggested wording\s*[:\-])"
 AFFIRMATIVE = r"^\s*(?:yes|y|yeah|yep|sure|please|ok|okay|ja|jep|klar|gerne|bitte)\b"
 
+# --- fixed values: letters; umlauts in either spelling ---
+OPENING_WORDS = r"\b(?:dear\b|sehr geehrte[rn]?\b|guten tag\b|liebe[rs]?\s+(?:frau|herr|team)\b|to whom it may concern\b)"
+CLOSING_WORDS = (
+    r"\b(?:yours sincerely|yours faithfully|kind regards|best regards|sincerely\b|mit freundlichen Gr(?:ü|ue|u)(?:ß|ss|s)en|"
+    r"freundliche Gr(?:ü|ue|u)(?:ß|ss|s)e|herzliche Gr(?:ü|ue|u)(?:ß|ss|s)e|liebe Gr(?:ü|ue|u)(?:ß|ss|s)e|beste Gr(?:ü|ue|u)(?:ß|ss|s)e|"
+    r"mit besten Gr(?:ü|ue|u)(?:ß|ss|s)en|freundlicher Gru(?:ß|ss|s)|viele Gr(?:ü|ue|u)(?:ß|ss|s)e)"
+)
+WRITTEN_WORD = r"[\p{L}\p{N}_'’\-]*[\p{L}\p{N}_][\p{L}\p{N}_'’\-]*"
+
 
 def has(column: Column, pattern: str, ignore_case: bool = True, lines: bool = False) -> Column:
     return column.rlike(java(pattern, ignore_case, lines))

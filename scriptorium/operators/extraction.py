@@ -52,3 +52,19 @@ def word_gate(rows: DataFrame, flat: str, structural: str, share: float = 0.9) -
     """The structural reading where it keeps enough of the flat reading's words, else the flat one."""
     keeps = F.size(tokens(F.coalesce(F.col(structural), F.lit("")))) >= share * F.size(tokens(F.coalesce(F.col(flat), F.lit(""))))
     return rows.withColumn("reading", F.when(keeps, F.col(structural)).otherwise(F.col(flat)))
+
+
+def arbitrated(flat: DataFrame, structural: DataFrame, share: float = 0.9) -> DataFrame:
+    """doc_id, reading, reader, share, flat_words, words, note of documents read twice (doc_id, text in both).
+
+    The structural reading is kept if it has at least ``share`` of the flat one's words; a document that it
+    lacks, or where it lost more, keeps the flat reading and a note. A null text has no words.
+    """
+    words = lambda c: F.size(tokens(F.coalesce(F.col(c), F.lit("")))).cast("long")
+    rows = flat.select("doc_id", F.col("text").alias("flat")).join(structural.select("doc_id", F.col("text").alias("made")), "doc_id", "left")
+    rows = rows.withColumns({"flat_words": words("flat"), "words": words("made")})
+    missing = F.col("made").isNull()
+    keeps = ~missing & (F.col("words") >= share * F.col("flat_words"))
+    note = F.when(missing, "no structural reading").when(~keeps, F.concat(F.lit("the structural reading has "), F.col("words"), F.lit(" words of "), F.col("flat_words")))
+    part = F.when(F.col("flat_words") > 0, F.round(F.col("words") / F.col("flat_words"), 6))
+    return rows.select("doc_id", F.when(keeps, F.col("made")).otherwise(F.col("flat")).alias("reading"), F.when(keeps, "tree").otherwise("flat").alias("reader"), part.alias("share"), "flat_words", "words", note.alias("note"))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
 from scriptorium.functions.durable import checkpointed
+from scriptorium.operators.headings import normalise
 from scriptorium.operators.layout import BODY_SIZE, CHAR_WIDTH, LARGER_THAN_BODY, LINE_HEIGHT, MAX_HEADING_WORDS, STYLE_FLOOR
 from scriptorium.operators.lines import lines_of
 
@@ -347,6 +348,21 @@ def forest(tree: DataFrame) -> DataFrame:
     )
 
 
+def entries_by_heading(tree: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, key, offset, title, bullets, description: entries under each heading's name in small letters, in the order of reading.
+
+    A heading without entries of its own has those below it; one that appears twice keeps both sets.
+    """
+    own = nodes.where("heading IS NOT NULL").select("doc_id", normalise(F.col("heading")).alias("key"), "place", "sec", "sub", "entries", "all_entries")
+    child = nodes.where("parent_sec IS NOT NULL").select("doc_id", "sec", "sub")
+    inherited = own.where("entries = 0 AND all_entries > 0").select("doc_id", "key", "place", "sec").join(child, ["doc_id", "sec"])
+    source = own.where("entries > 0").select("doc_id", "key", "place", "sec", "sub").unionByName(inherited.select("doc_id", "key", "place", "sec", "sub"))
+    ordered = lambda kind: F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct("n", "text")))), lambda x: x["text"])
+    told = tree.where("entry_no IS NOT NULL").groupBy("doc_id", "sec", "sub", "entry_no").agg(F.min("n").alias("n"), F.max(F.when(F.col("kind") == "title", F.col("text"))).alias("title"), ordered("bullet").alias("bullets"), ordered("line").alias("description"))
+    offset = F.row_number().over(Window.partitionBy("doc_id", "key").orderBy("place", "n")) - 1
+    return source.join(told, ["doc_id", "sec", "sub"]).select("doc_id", "key", offset.cast("long").alias("offset"), "title", "bullets", "description")
+
+
 def rendered(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, text: the forest written out in the order of reading, children under their parents, bullets behind hyphens."""
     place = nodes.select("doc_id", F.col("sec").alias("_sec"), F.col("sub").alias("_sub"), "place", "level", "parent_sec", "heading")

@@ -226,3 +226,26 @@ TREES = Relation(
         (-306, ""), (-307, None), (-308, "   \n\t\n"),
     ],
 )
+LONG_LETTERS = Relation(
+    "doc_id long, text string",
+    [
+        (
+            -401,
+            "Orla Muster\nHarbour Lane, Port\n1 May 2031\nDear Ms Beispiel,\n"
+            "I am writing because your museum keeps the only collection of rope knots that I know of, and since\nmy first year at the school of boats I have tied, drawn and named more of them than my teachers wanted to see.\n"
+            "Last winter I sorted the knots of a closed yard, four hundred of them, by the hands that had made them and the\nropes they were made of; the list now hangs in the hall.\n"
+            "With you I would like to do the same for the knots that came by sea, and to learn from those who already do it\nhow a collection is kept dry, complete and open to children who want to touch it. I can begin in any month of\n"
+            "the year and would gladly show you a few of my drawings, the ones with the errors in them too.\nKind regards\nOrla Muster",
+        ),
+        (-402, "Dear team, all in one block with nothing to part it, kind regards Orla"), (-403, "Hello\n\nno salutation here\n\nFreundliche Gruesse\n\nOrla"), (-404, None), (-405, " \n \n"),
+        (-406, "Bern\n\nDear Sir, this first paragraph goes on in the same block for well over a dozen words.\n\nSecond one.\n\nAnd I close here with many more words than twelve in this block, kind regards, Orla\n\nPS"),
+    ],
+)
+ANSWERS = Relation(
+    "doc_id long, overall string, tone string, close string, issue string, quote string, facts string",
+    [
+        (-1, "The candidate's letter — short, and the candidate has relevant skills —.", "matches the role's requirements", "already on your CV", "The applicant is close to the skills needed for the trainee role", "a dash — stays", "no_advert,no_cv"),
+        (-2, "Your relevant experience mirrors your CV already; your résumé too", "what the company is looking for", None, "passend zu der Stelle, in deinem Lebenslauf", "your CV", "no_cv"),
+        (-3, "der Kandidat has nothing, the candidate was here", None, "entspricht den Anforderungen", None, None, "no_advert"), (-4, None, None, None, None, None, ""),
+    ],
+)
