@@ -74,14 +74,18 @@ def _words(text: Column) -> Column:
 
 
 def with_features(rows: DataFrame) -> DataFrame:
-    """``rows`` with what a row says of itself and of its document: text, style, indent, gap, marks, whether it is dated."""
+    """``rows`` with what a row says of itself and of its document: text, style, indent, gap, marks, whether it is dated.
+
+    A column ``flow`` parts pages whose columns are read one after the other; indents count from a flow's own edge.
+    """
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), "   ")
+    rows = rows if "flow" in rows.columns else rows.withColumn("flow", F.lit(0))
     rows = rows.withColumns({
         "text": text, "count": F.size("pieces"), "size": F.array_max(F.transform("pieces", lambda p: p["size"])), "x0": F.array_min(F.transform("pieces", lambda p: p["x0"])), "x1": F.array_max(F.transform("pieces", lambda p: p["x1"])),
         "bold": _sum("pieces", lambda p: F.when(p["bold"], F.char_length(p["text"])).otherwise(0)) > 0.6 * F.greatest(F.lit(1), _sum("pieces", lambda p: F.char_length(p["text"]))),
         "first": F.get("pieces", F.lit(0))["text"], "last": F.element_at("pieces", -1)["text"], "family": F.regexp_extract(F.get("pieces", F.lit(0))["font"], r"(?:.*\+)?([^,\-+]*)", 1),
     })
-    left = F.min("x0").over(Window.partitionBy("doc_id", "page"))
+    left = F.min("x0").over(Window.partitionBy("doc_id", "page", "flow"))
     text_x = F.when((F.col("count") > 1) & _only_a_date(F.col("first")), F.get("pieces", F.lit(1))["x0"]).otherwise(F.col("x0"))
     gap = F.when(F.lag("page").over(_order()) != F.col("page"), BLOCK_GAP * F.col("body")).otherwise(F.col("top") - F.lag("bottom").over(_order()))
     sign = F.substring("text", 1, 1)
@@ -124,7 +128,7 @@ def wrapped_headings_joined(rows: DataFrame, lookup: Lookup) -> DataFrame:
     pieces, bottom = F.when(F.col("begins"), F.concat("pieces", more)).otherwise(F.col("pieces")), F.when(F.col("begins"), F.lead("bottom").over(_order())).otherwise(F.col("bottom"))
     rows = rows.withColumns({"merged": merged, "pieces": pieces, "bottom": bottom, "whole": F.when(F.col("begins"), F.col("joined"))}).where("NOT merged")
     one = F.struct(*[(F.col("whole") if f == "text" else F.array_max(F.transform("pieces", lambda p: p[f])) if f == "x1" else F.get("pieces", F.lit(0))[f]).alias(f) for f in ("x0", "x1", "text", "size", "bold", "font")])  # noqa: B023
-    return rows.select("doc_id", "n", "page", "top", "bottom", "body", F.when(F.col("begins"), F.array(one)).otherwise(F.col("pieces")).alias("pieces"))
+    return rows.select("doc_id", "n", "page", "flow", "top", "bottom", "body", F.when(F.col("begins"), F.array(one)).otherwise(F.col("pieces")).alias("pieces"))
 
 
 def with_headings(rows: DataFrame) -> DataFrame:
