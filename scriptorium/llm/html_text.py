@@ -2,7 +2,10 @@
 
 A tokenizer feeds a small tree builder that implies missing end tags; a renderer walks the tree with
 visibility rules and writes blocks on lines of their own, list items behind their marks, preformatted
-text as it is, and tables with aligned cells. Both take time in proportion to the page, however broken.
+text as it is, and tables with aligned cells. An end tag only reaches as far as its element's scope, so
+one that is out of place neither opens what is hidden nor breaks a table. Alignment stops at a bounded
+width and lists at a bounded indent: time and output stay in proportion to the page, however broken, and
+no text is cut for it.
 """
 
 from __future__ import annotations
@@ -40,6 +43,21 @@ IMPLIED_END = {
     "tr": (frozenset({"td", "th", "tr", "caption", "colgroup"}), frozenset({"table"})),
     **dict.fromkeys("thead tbody tfoot".split(), (frozenset("td th tr thead tbody tfoot caption colgroup".split()), frozenset({"table"}))),
 }
+#: End tags don't reach beyond these; those of table parts only stop at a table.
+FENCES = frozenset("td th table caption button object template".split())
+TABLE_PARTS = frozenset("tr td th thead tbody tfoot caption table".split())
+LISTS = frozenset("ul ol menu dir".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: What an inline element's end tag doesn't close.
+SOLID = BLOCK | FENCES | {"select"}
+#: Hidden elements whose end tag closes whatever was left open inside.
+SHUT = HIDDEN - BLOCK - RAW
+#: Elements of text style: their end tag takes effect within blocks too.
+FORMATTING = frozenset("a b big code em font i nobr s small strike strong tt u".split())
+FOREIGN, INTEGRATED = frozenset({"svg", "math"}), frozenset({"foreignobject", "desc", "title", "annotation-xml"})
+#: Start tags that end a drawing or formula.
+BREAKS_OUT = (BLOCK | frozenset("b big br code em embed i img nobr ruby s small span strong strike sub sup tt u var".split())) - {"html", "legend", "summary", "fieldset", "form"}
+IN_SELECT = frozenset("option optgroup hr script template".split())
 ENDS_PARAGRAPH = BLOCK - frozenset("td th tr tbody thead tfoot body html".split())
 _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _GAP = re.compile(r"[\s/]*")
@@ -63,14 +81,69 @@ class _Stack:
     def __init__(self, root: Node) -> None:
         self.nodes = [root]
         self.places: dict[str, list[int]] = defaultdict(list)
+        self.solid: list[int] = []
+        self.again = 0
 
     def push(self, node: Node) -> None:
         self.places[node.tag].append(len(self.nodes))
+        if node.tag in SOLID:
+            self.solid.append(len(self.nodes))
         self.nodes.append(node)
 
     def cut(self, at: int) -> None:
         while len(self.nodes) > at:
             self.places[self.nodes.pop().tag].pop()
+        while self.solid and self.solid[-1] >= at:
+            self.solid.pop()
+
+    def highest(self, tags: frozenset[str]) -> int:
+        return max(map(self.last, tags))
+
+    def end(self, tag: str, most: int) -> bool:
+        """Close the innermost open element of a name that the end tag reaches; false if there is none.
+
+        An element of text style that is hidden and has open blocks inside ends there all the same: those
+        blocks are begun again behind it. That is done for ``most`` blocks of a page at most.
+        """
+        at = self.last(tag)
+        if not at:
+            return False
+        if tag in TABLE_PARTS:
+            if tag != "table" and at < self.last("table"):
+                return False
+        elif tag in BLOCK or tag in SHUT or tag in FENCES:
+            if at < self.highest(FENCES - {tag}) or (tag == "li" and at < self.highest(LISTS)):
+                return False
+        elif self.solid and self.solid[-1] > at:
+            inside = self.nodes[at + 1 :]
+            if tag not in FORMATTING or not hidden(self.nodes[at]) or at < self.highest(FENCES) or self.again + len(inside) > most:
+                return False
+            self.again += len(inside)
+            self.cut(at)
+            for node in inside:
+                if node.tag in BLOCK:
+                    fresh = Node(node.tag, node.attributes)
+                    self.nodes[-1].children.append(fresh)
+                    self.push(fresh)
+            return True
+        self.cut(at)
+        return True
+
+    def out_of_drawing(self, tag: str) -> None:
+        """A start tag of text ends a drawing or formula that it stands in."""
+        at = self.highest(FOREIGN)
+        if at and tag in BREAKS_OUT and at > self.highest(INTEGRATED) and at > self.highest(FENCES):
+            self.cut(min(p for t in FOREIGN for p in self.places.get(t, ()) if p > max(self.highest(INTEGRATED), self.highest(FENCES))))
+
+    def in_select(self, tag: str) -> bool:
+        """Whether a start tag is lost because a selection is open; what can't stand in one ends it."""
+        at = self.last("select")
+        if not at or at < self.highest(FENCES) or tag in IN_SELECT:
+            return False
+        if tag in ("input", "textarea", "select") or (tag in TABLE_PARTS and self.last("table")):
+            self.cut(at)
+            return tag == "select"
+        return True
 
     def last(self, tag: str) -> int:
         """Where the innermost open element of a name stands, 0 if there is none."""
@@ -166,13 +239,14 @@ def parse(source: str) -> Node:
         if (attributes := scan.attributes()) is None:
             break
         if closing:
-            if stack.last(tag):
-                stack.cut(stack.last(tag))
-            elif tag == "p":
-                stack.nodes[-1].children.append(Node("p"))
+            if tag in HEADINGS and not stack.last(tag):
+                tag = max(HEADINGS, key=stack.last)
+            if not stack.end(tag, size) and tag in ("p", "br"):
+                stack.nodes[-1].children.append(Node(tag))
             continue
-        if tag in ("html", "body"):
+        if tag in ("html", "body") or stack.in_select(tag):
             continue
+        stack.out_of_drawing(tag)
         if tag in ENDS_PARAGRAPH:
             stack.close(frozenset({"p"}), frozenset({"td", "th", "table", "button", "li", "dd", "dt"}))
         if tag in IMPLIED_END:
@@ -189,7 +263,9 @@ def parse(source: str) -> Node:
             inner = source[begin : end.start() if end else size]
             node.children.append(html.unescape(inner) if tag in ("title", "textarea") else inner)
             scan.at = end.end() if end else size
-        elif tag not in VOID and not (tag in ("svg", "path") and source[scan.at - 2] == "/"):
+        elif tag == "form" and stack.nodes[-2:] and stack.nodes[-1].tag in ("table", "thead", "tbody", "tfoot", "tr"):
+            pass  # a form between the parts of a table holds nothing
+        elif tag not in VOID and not ((stack.highest(FOREIGN) or tag in FOREIGN) and source[scan.at - 2] == "/"):
             stack.push(node)
     return root
 
@@ -208,7 +284,8 @@ def hidden(node: Node) -> bool:
 class _Lines:
     """Text as lines; spaces collapse and empty lines are put between spaced blocks, never doubled."""
 
-    def __init__(self) -> None:
+    def __init__(self, tables: int = 0) -> None:
+        self.tables = tables  # how many aligned tables these lines stand in
         self.lines: list[str] = []
         self.open: list[str] = []
         self.space = self.gap = False
@@ -280,6 +357,10 @@ class _Open:
         return self.number
 
 
+#: Lists deeper than this aren't indented further; tables within so many others are blocks, not aligned.
+DEEPEST_INDENT, ALIGNED_TABLES = 24, 6
+
+
 def _number(value: str | None, default: int) -> int:
     found = re.match(r"\s*([+-]?[0-9]{1,9})", value or "")
     return int(found[1]) if found else default
@@ -312,13 +393,13 @@ def render(node: Node) -> str:
         elif tag == "img":
             if child.attributes.get("alt", "").strip():
                 out.text(f" {child.attributes['alt']} ", False)
-        elif tag == "table":
+        elif tag == "table" and out.tables < ALIGNED_TABLES:
             out.end(True)
             _open_table(child, out, stack)
         elif tag == "li":
             number = frame.next(child)
             out.end()
-            out.mark = "  " * max(0, depth - 1) + (f"{number}. " if frame.node.tag == "ol" else "- ")
+            out.mark = "  " * min(max(0, depth - 1), DEEPEST_INDENT) + (f"{number}. " if frame.node.tag == "ol" else "- ")
             stack.append(_Open(child, out, pre, depth, partial(_end_item, out)))
         elif tag in BLOCK:
             nested = tag in ("ul", "ol", "menu", "dir")
@@ -345,11 +426,29 @@ def _rows(table: Node) -> Iterator[Node]:
         waiting += [c for c in reversed(node.children) if isinstance(c, Node) and not hidden(c) and c.tag in ("tr", "thead", "tbody", "tfoot")]
 
 
+#: Cells up to this length set a column's width; lines are aligned up to this place, in so many columns.
+ALIGNED_CELL, ALIGNED_LINE, ALIGNED_COLUMNS = 48, 200, 64
+Cell = tuple[Node, _Lines]
+
+
+def _stray(node: Node) -> Iterator[Node | str]:
+    """What stands in a table, its groups and rows outside of cells, in order."""
+    waiting = list(reversed(node.children))
+    while waiting:
+        child = waiting.pop()
+        if isinstance(child, Node) and (child.tag in ("td", "th", "colgroup", "col") or hidden(child)):
+            continue
+        if isinstance(child, Node) and child.tag in ("tr", "thead", "tbody", "tfoot"):
+            waiting += reversed(child.children)
+        else:
+            yield child
+
+
 def _open_table(table: Node, out: _Lines, stack: list[_Open]) -> None:
     """Put the table's cells and its stray content on the stack, each with lines of its own, and lay them out after the last."""
-    rest = Node("div", {}, [c for c in table.children if not (isinstance(c, Node) and c.tag in ("tr", "thead", "tbody", "tfoot", "colgroup"))])
-    rows = [[(c, _Lines()) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)] for r in _rows(table)]
-    stray = _Lines()
+    rest = Node("div", {}, list(_stray(table)))
+    rows = [[(c, _Lines(out.tables + 1)) for c in r.children if isinstance(c, Node) and c.tag in ("td", "th") and not hidden(c)] for r in _rows(table)]
+    stray = _Lines(out.tables + 1)
 
     def laid_out() -> None:
         for line in _aligned(stray, rows):
@@ -361,47 +460,55 @@ def _open_table(table: Node, out: _Lines, stack: list[_Open]) -> None:
     stack.extend(_Open(c, cell, False, 0) for row in reversed(rows) for c, cell in reversed(row))
 
 
-def _placed(rows: list[list[tuple[Node, _Lines]]]) -> list[list[tuple[int, int, str]]]:
-    """First column, column after the last, and text of every cell; cells of earlier rows that reach down take their columns."""
-    out, reaching = [], []  # reaching: first column, column after, rows still to go
+def _placed(rows: list[list[Cell]]) -> list[list[tuple[int, int, list[str]]]]:
+    """First column, column after the last, and lines of every cell; cells of earlier rows that reach down take their columns.
+
+    Columns beyond the last that is aligned are all the same one.
+    """
+    out, until = [], [0] * ALIGNED_COLUMNS
     for k, row in enumerate(rows):
-        taken, at, here, later = sorted(reaching), 0, [], []
+        at, here = 0, []
         for node, cell in row:
-            while taken and taken[0][0] <= at:
-                at = max(at, taken.pop(0)[1])
-            wide = min(max(_number(node.attributes.get("colspan"), 1), 1), 1000)
+            while at < ALIGNED_COLUMNS and until[at] > k:
+                at += 1
+            stop = min(at + min(max(_number(node.attributes.get("colspan"), 1), 1), 1000), ALIGNED_COLUMNS)
             down = _number(node.attributes.get("rowspan"), 1)
             down = len(rows) - k if down == 0 else max(down, 1)
-            here.append((at, at + wide, " ".join(line for line in cell.done().split("\n") if line)))
-            if down > 1:
-                later.append((at, at + wide, down - 1))
-            at += wide
-        reaching = [(a, b, n - 1) for a, b, n in reaching if n > 1] + later
+            here.append((at, stop, [line for line in cell.done().split("\n") if line]))
+            for c in range(at, stop if down > 1 else at):
+                until[c] = max(until[c], k + down)
+            at = max(at, stop)
         out.append(here)
     return out
 
 
-def _aligned(stray: _Lines, rows: list[list[tuple[Node, _Lines]]]) -> list[str]:
+def _aligned(stray: _Lines, rows: list[list[Cell]]) -> list[str]:
     """Caption and stray content first, then rows whose cells stand in columns, two spaces apart.
 
     A cell over several columns begins where the first of them does; the last is widened if it needs more.
+    A cell of several lines takes as many below each other. A longer cell than the aligned ones pushes what
+    follows it on its line to the right; no line is filled up beyond a fixed place.
     """
     lines = [line for line in stray.done().split("\n") if line]
     placed = _placed(rows)
-    starts = sorted({a for row in placed for a, _, _ in row})
+    starts = sorted({a for row in placed for a, _, _ in row if a < ALIGNED_COLUMNS})
     number = {a: k for k, a in enumerate(starts)}
-    ends = {b: bisect_left(starts, b) for row in placed for _, b, _ in row}
-    width = [0] * len(number)
-    cells = [(number[a], ends[b], text) for row in placed for a, b, text in row]
-    for a, b, text in sorted(cells, key=lambda c: c[1] - c[0]):
-        width[b - 1] += max(0, len(text) - sum(width[a:b]) - 2 * (b - a - 1))
+    width = [0] * len(starts)
+    cells = [(number[a], bisect_left(starts, b), max(len(t) for t in said)) for row in placed for a, b, said in row if a in number and said]
+    for a, b, size in sorted(cells, key=lambda c: c[1] - c[0]):
+        if size <= ALIGNED_CELL * (b - a):
+            width[b - 1] += max(0, size - sum(width[a:b]) - 2 * (b - a - 1))
     begin = [0, *accumulate(w + 2 for w in width)]
     for row in placed:
-        line = ""
-        for a, _, text in row:
-            line = line.ljust(begin[number[a]]) + text
-        if line.strip(" "):
-            lines.append(line.rstrip())
+        said = [(begin[number[a]] if a in number else ALIGNED_LINE + 1, own) for a, _, own in row if own]
+        for k in range(max((len(own) for _, own in said), default=0)):
+            parts, size = [], 0
+            for at, own in said:
+                if k < len(own):
+                    gap = max(at - size if at <= ALIGNED_LINE else 0, 2 if size else 0)
+                    parts += (" " * gap, own[k])
+                    size += gap + len(own[k])
+            lines.append("".join(parts).rstrip())
     return lines
 
 
