@@ -8,9 +8,10 @@ same way: the turn is rendered with two other texts, and what their outputs shar
 text.
 
 Whole conversations are rendered, whatever their length. Only a template that its author declares to be
-``concatenative`` (every turn's output depends on that turn alone) is rendered in chunks of bounded
-length, so that a very long conversation spreads over tasks; on every chunk the outputs of its halves
-must then make up the whole.
+``concatenative`` (every turn's output depends on that turn alone) is rendered in parts of bounded
+length, so that a very long conversation spreads over tasks. The declaration is tested: a part rendered
+as a whole must be what its short stretches of prefixes made, and the same behind the last turn of the
+part before.
 """
 
 from __future__ import annotations
@@ -24,12 +25,14 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.llm.runtime import bounded_bytes, placed
+
 Turn = tuple[str, str]
 Template = Callable[[Sequence[Turn]], str]
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Turn numbers that are rendered together where the template is concatenative.
-CHUNK_TURNS = 32
+#: Where the template is concatenative: turns of a part, and of a stretch that is rendered by its prefixes.
+PART_TURNS, STRETCH_TURNS = 256, 32
 
 
 def concatenative(template: Template) -> Template:
@@ -101,10 +104,22 @@ def text_place(turns: Sequence[Turn], k: int, begin: int, stop: int, whole: str,
     return begin + head, stop - tail
 
 
-def joins(turns: Sequence[Turn], whole: str, template: Template) -> bool:
-    """Whether the template's output is that of its parts in order."""
-    half = (len(turns) + 1) // 2
-    return not template([]) and template(turns[:half]) + template(turns[half:]) == whole
+def render_part(turns: Sequence[Turn], before: Turn | None, template: Template) -> tuple[Rendering, bool]:
+    """A part of a conversation from stretches of prefixes, and whether the declared template keeps its word on it."""
+    text, spans, rewritten = "", [], None
+    for at in range(0, len(turns), STRETCH_TURNS):
+        made = render(turns[at : at + STRETCH_TURNS], template)
+        if made.rewritten_at is not None and rewritten is None:
+            rewritten = Rendering("", [], at + made.rewritten_at, len(text) + made.agreed)
+        spans += [(len(text) + b, len(text) + e) for b, e in made.spans]
+        text += made.text
+    whole = template(turns)
+    holds = not template([]) and whole == text
+    if before is not None:
+        holds = holds and template([before, *turns]) == template([before]) + whole
+    if rewritten is not None:
+        return Rendering(whole, [], rewritten.rewritten_at, rewritten.agreed), False
+    return Rendering(text, spans), holds
 
 
 def parse_turn(text: str) -> Turn:
@@ -119,14 +134,16 @@ FORMATTED = (
 )
 
 
-def format_conversations(turns: DataFrame, template: Template = chat_template, learn: str = "assistant", chunk_turns: int = CHUNK_TURNS) -> DataFrame:
-    """A row for each conversation, or chunk of one: its output, each turn's span and loss mask, any rewrite.
+def format_conversations(turns: DataFrame, template: Template = chat_template, learn: str = "assistant", part_turns: int = PART_TURNS) -> DataFrame:
+    """A row for each conversation, or part of one: its output, each turn's span and loss mask, any rewrite.
 
-    Conversations are rendered whole unless the template is declared ``concatenative``; then a row holds
-    ``chunk_turns`` turn numbers, and ``joins`` says whether its halves make it up. The mask of a turn to learn is where its text stands,
-    none (-1) if the template's marks depend on the text. Turns are ordered by turn, role and text. A null text or role is empty,
-    a null turn comes first; rows without conversation are one conversation. An empty table gives no
-    rows; other columns are ignored.
+    Conversations are rendered whole unless the template is declared ``concatenative``; then a row holds at
+    most ``part_turns`` turns, ``chunk`` orders the rows, and ``joins`` is false where the template's output
+    isn't that of its parts. The mask of a turn to learn is where its text stands, none (-1) if the
+    template's marks depend on the text. Turns are ordered by turn, role and text, and counted in that
+    order: missing and repeated turn numbers change nothing. A null text or role is empty, a null turn
+    comes first; rows without conversation are one conversation. An empty table gives no rows; other
+    columns are ignored.
     """
 
     apart = getattr(template, "concatenative", False)
@@ -135,23 +152,31 @@ def format_conversations(turns: DataFrame, template: Template = chat_template, l
         for batch in batches:
             out = []
             for conv_id, chunk, rows in zip(batch["conv_id"], batch["chunk"], batch["turns"], strict=True):
-                said = [(r["role"], r["text"]) for r in rows]
-                made = render(said, template)
+                said = [(r["role"], r["text"]) for r in rows if not r["lead"]]
+                before = [(r["role"], r["text"]) for r in rows if r["lead"]]
+                made, holds = render_part(said, before[0] if before else None, template) if apart else (render(said, template), True)
                 spans = []
                 for k, ((begin, stop), (role, _)) in enumerate(zip(made.spans, said, strict=False)):
                     mask = (role == learn and text_place(said, k, begin, stop, made.text, template)) or (-1, -1)
                     spans.append({"begin": begin, "stop": stop, "role": role, "loss_begin": mask[0], "loss_stop": mask[1]})
                 rewritten = -1 if made.rewritten_at is None else made.rewritten_at
-                out.append((conv_id, chunk, made.text, rewritten, not apart or joins(said, made.text, template), spans))
+                out.append((conv_id, chunk, made.text, rewritten, holds, spans))
             yield pd.DataFrame(out, columns=["conv_id", "chunk", "formatted", "rewritten_at", "joins", "spans"])
 
-    chunk = F.coalesce(F.floor(F.col("turn") / chunk_turns), F.lit(-(1 << 40))) if apart else F.lit(0)
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    return (
-        turns.groupBy(F.col("conv_id").cast("string").alias("conv_id"), chunk.cast("long").alias("chunk"))
-        .agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-        .mapInPandas(run, FORMATTED)
-    )
+    rows = turns.select(F.col("conv_id").cast("string").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    if apart:
+        # The last turn of a part is in the next one too, in front of its own; parts of one conversation follow each other.
+        counted = placed(rows, "conv_id", "turn", "role", "text")
+        part, last = F.floor(F.col("place") / part_turns).cast("long"), F.col("place") % part_turns == part_turns - 1
+        own, lead = F.struct(part.alias("chunk"), F.lit(False).alias("lead")), F.struct((part + 1).alias("chunk"), F.lit(True).alias("lead"))
+        rows = counted.withColumn("to", F.explode(F.when(last, F.array(own, lead)).otherwise(F.array(own)))).select("conv_id", "to.chunk", "place", "to.lead", "role", "text")
+        turn = F.struct("place", "lead", "role", "text")
+    else:
+        rows = rows.withColumns({"chunk": F.lit(0).cast("long"), "lead": F.lit(False)})
+        turn = F.struct("turn", "role", "text", "lead")
+    grouped = rows.groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.min("lead").alias("only_lead"))
+    bounded_bytes(turns.sparkSession)
+    return grouped.where("NOT only_lead").select("conv_id", "chunk", "turns").mapInPandas(run, FORMATTED)
 
 
 DIGESTS = "conv_id string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, rewritten boolean"
