@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import patterns as P
 from scriptorium.functions import vocabulary as V
 from scriptorium.functions.durable import checkpointed
+from scriptorium.functions.spreading import spread
 from scriptorium.operators import (
     answers, entries, extraction, facts, grades, guardrails, headings, layout, letters, lines, overlap, picks, profile, redaction, rendering, selection, sessions, severity, timeline,
 )
@@ -46,7 +47,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _docs(spark: SparkSession, sf_dir: str, fixture: X.Relation | None = None) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = spread(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     return docs.unionByName(fixture.frame(spark)) if fixture else docs
 
 
