@@ -70,6 +70,13 @@ CONTACT_LINE = (
     r"\+\d{1,3}[\s\-./]?\d|strasse|straße|str\.|gasse|weg\b|platz\b|avenue|street|road\b|date of birth|geburtsdatum|geboren|born|"
     r"nationality|staatsangehörigkeit|citizenship|marital|familienstand|zivilstand|\b(?:CH|DE|AT)?[\s\-]?\d{4,5}\s+[A-ZÄÖÜ])"
 )
+HEADING_LINE = (
+    r"^\s*[\W_]*(?:education|ausbildung|studium|akademisch\w*|experience|berufserfahrung|praktische erfahrung|praktika|work history|employment|"
+    r"profile|summary|profil|kurzprofil|about me|über mich|objective|skills|kenntnisse|fähigkeiten|competenc\w*|it[- ]skills|edv|tools|"
+    r"languages|sprachen|publications|publikationen|research|forschung|papers|projects|projekte|certificat\w*|zertifikate|weiterbildung|courses|kurse|training|"
+    r"awards|honou?rs|auszeichnungen|stipendien|scholarships|preise|extracurricular\w*|ausserschulisch\w*|außerschulisch\w*|engagement|"
+    r"interests|hobbies|interessen|freizeit|volunteer\w*|ehrenamt\w*|freiwilligenarbeit|references|referenzen|military|zivildienst|militärdienst)\b[\s\W_]*$"
+)
 SALUTATION_START = r"^\s*(?:dear\b|sehr\s+geehrte|liebe[rs]?\s|guten\s+tag|to\s+whom\b)"
 
 # --- fixed values: dates ---

@@ -249,3 +249,13 @@ ANSWERS = Relation(
         (-3, "der Kandidat has nothing, the candidate was here", None, "entspricht den Anforderungen", None, None, "no_advert"), (-4, None, None, None, None, None, ""),
     ],
 )
+PERSONS = Relation(
+    "doc_id long, text string",
+    [
+        (-501, "Orla Kettle\norla@example.org\nHarbour Lane 4\n\nEducation\nCollege of Maps 2003 - 2005\nwritten by Orla Kettle and Dr. Tom Sailor\nKettle drums"),
+        (-502, "Ben Anker\nMapmaker and rower\n+41 44 000 00 00\nsomething that is no contact\nDr. Ina Lotse, ina@example.org"),
+        (-503, "Personal Details\nborn on 1 May 1999\nunmarried\n\nEducation\nCollege of Maps 2003 - 2005\nReferences\nIna Lotse\nMs. Eva Rahe"),
+        (-504, "2003 Gymnasium am See 2001 - 2003\nDear Hiring Team\nnothing else"), (-505, "Muster University\nEva Lund\nschool of Eva Lund\nMuster University of Eva Lund"),
+        (-506, None), (-507, "\n\n"), (-508, "MAPS AND ROPES\nBen Anker"), (-509, "Ben Anker\nMilo Reed\nAda Ley Orr\n\nTel 044 000 00 00"),
+    ],
+)
