@@ -250,8 +250,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
 
 
-def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """node, label of the linked ones among ``docs``, whose sets are all different."""
+def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], known: DataFrame | None = None) -> DataFrame:
+    """node, label of the linked ones among ``docs``; ``known`` (x, y) are links that need no search."""
     prefixes = checkpointed(_prefixes(docs, words, percent, frequent))
     tokens = prefixes.select("node", "n", "cold", F.posexplode("first").alias("pos", "token"))
     told = tokens.where("pos >= cold")
@@ -275,6 +275,7 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
         return checkpointed(_verify(likely, docs, words, percent))
 
     found = verified(rare.where("first").select("x", "y").unionByName(starred))
+    found = found if known is None else found.unionByName(known)
     labels = connected_components(found)
     grouped = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed = grouped.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
@@ -293,7 +294,8 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
     Two documents link when 100 * shared >= percent * united n-grams. Null and wordless texts have no
     n-gram and link with nothing. A row without identifier links with nothing and has none as its
-    component. Repeated rows share a component; an identifier with several texts has the links of each.
+    component. Repeated rows share a component; an identifier with several texts is one document with the
+    links of each, so what those texts link shares a component too.
     An empty table gives no rows; other columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
@@ -305,12 +307,21 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
     several = checkpointed(classes.where("copies > 1").select("key", "node"))
     mapped = checkpointed(rows.join(several, "key", "left").select("doc_id", "n", F.coalesce("node", "doc_id").alias("node")))
 
-    copies, key = checkpointed(mapped.where("node <> doc_id").select("doc_id").distinct()), positive_hash("doc_id")
+    # An identifier that stands for a set itself stays in the search with all its texts: they are one document.
+    # One that only copies several other documents links those.
+    key = positive_hash("doc_id")
+    moved = checkpointed(mapped.where("node <> doc_id").groupBy("doc_id").agg(F.min("node").alias("low"), F.max("node").alias("high")))
+    own = kept_by(mapped.where("node = doc_id").select("doc_id"), moved, moved.count(), key, key).where("maybe").select("doc_id").distinct()
+    copies = checkpointed(moved.join(own, "doc_id", "left_anti"))
+    between, torn = None, copies.where("low <> high").select("doc_id", F.col("low").alias("x"))
+    if not torn.isEmpty():
+        between = checkpointed(torn.join(mapped, "doc_id").select("x", F.col("node").alias("y")).where("x <> y").distinct())
+    copies = copies.select("doc_id")
     size = copies.count()
     spared = checkpointed(kept_by(known.select("doc_id"), copies, size, key, key).where("maybe").select("doc_id").distinct().join(copies, "doc_id", "left_anti"))
     single = kept_by(known, copies, size, key, key).withColumnRenamed("maybe", "copy")
     single = kept_by(single, spared, spared.count(), key, key).where("NOT copy OR maybe")  # a copy that slips through joins its own group
-    labels = _links(single.select("doc_id", "text"), words, percent, frequent)
+    labels = _links(single.select("doc_id", "text"), words, percent, frequent, between)
 
     out = mapped.join(labels, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
     if (nameless := docs.where("doc_id IS NULL")).isEmpty():
@@ -319,7 +330,10 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns as they were: of each component the smallest doc_id."""
+    """The rows of ``docs`` that stay, all columns as they were: of each component the smallest doc_id.
+
+    Rows without identifier stay; all rows of an identifier that goes, go.
+    """
     dropped = checkpointed(near_groups(docs, words, percent).where("component_id <> doc_id").select("doc_id").distinct())
     rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"))
     probed = kept_by(rows, dropped, dropped.count(), positive_hash("doc_id"), positive_hash("doc_id"))

@@ -290,6 +290,19 @@ def test_near_groups_of_odd_tables(spark):
     assert sorted(r["doc_id"] for r in rows(kept)) == [2, 9] and kept.columns == table.columns
 
 
+def test_identifiers_with_several_texts_lose_no_link(spark):
+    from scriptorium.llm.jaccard import near_groups
+
+    words = lambda seed: [f"{seed}{k}" for k in range(100)]
+    a, b, c = (" ".join(words(s)) for s in "abc")
+    nearly = lambda s: " ".join([*words(s)[:99], "other"])
+    table = docs(spark, [a, a, b, nearly("b"), c, a, b, nearly("c"), ""], [1, 5, 5, 7, 20, 30, 30, 40, 5])
+    got = {(r["doc_id"], r["component_id"]) for r in rows(near_groups(table, 3, 90))}
+    assert got == {(1, 1), (5, 1), (7, 1), (20, 20), (30, 1), (40, 20), (5, 1)}
+    torn = docs(spark, [a, b, a, b, nearly("b")], [1, 2, 9, 9, 12])
+    assert {(r["doc_id"], r["component_id"]) for r in rows(near_groups(torn, 3, 90))} == {(1, 1), (2, 1), (9, 1), (12, 1)}
+
+
 def test_components_of_chains_and_stars(spark):
     from scriptorium.llm.jaccard import connected_components
 
