@@ -41,9 +41,9 @@ CONTACT = Relation(
         (-1, "Ada Muster\nada.muster@example.org\nLinkedIn: ada-muster-12\nhttps://www.linkedin.com/in/ada-muster/ and github.com/adam"),
         (-2, "IBAN CH93 0076 2011 6238 5295 7 for refunds\nMatrikelnummer 12-345-678\nnothing here"),
         (-3, "Geburtsort: Beispielstadt\nNationality: Swiss\nName: Ada Muster\nProject: Name of the game"),
-        (-4, "Tel 079 000 00 00 und 2019-2022\n07/2018-01/2019\nNürnberg, 01.10.2020\n+41 44 000 00 00\n0791234567\nID 1234567"),
-        (-5, "Musterweg 12, 8001 Zürich\n2022 Leiterin der Gruppe Muster\nCH-9000 St. Gallen\nPittsburgh, PA 15213\nSW1A 1AA"),
-        (-6, "geb. 09.06.2001\nZivilstand: ledig\nverheiratet\n\n09. Juni 2024\nborn on 1 May 1999 in Bern"),
+        (-4, "Tel 079 000 00 00 und 2019-2022\n07/2018-01/2019\nFulda, 02.11.2019\n+41 44 000 00 00\n0791234567\nID 1234567"),
+        (-5, "Musterweg 12, 8001 Zürich\n2021 Pflege der Boote\nCH-7999 St. Exempel\nSpringfield, IL 62799\nKW17 9ZZ"),
+        (-6, "geb. 09.06.2001\nZivilstand: ledig\nverheiratet\n\n08. Juli 2025\nborn on 1 May 1999 in Bern"),
         (-7, ""),
         (-8, None),
     ],
@@ -58,7 +58,7 @@ CV = Relation(
             "- Reduced waste by 31% in the mill.\n- Responsible for rock samples\n- Supporting the drill crew\n- Prepared maps for guests\n"
             "Other AG\nIntern 03/2016 - 09/2016\nInterests\nKites\nOld maps of small islands\nSkills & Languages\nEnglish: C1\nGerman: native\nFrench - fluent\nItalian: a bit",
         ),
-        (-2, "Selected Projects\n• Built a kite\n• Wrote a poem\n> odd mark\n> odd mark\n> odd mark\n£ once\nS BERUFSERFAHRUNG\nMuster GmbH 2011 - 2013\nnothing else"),
+        (-2, "Selected Projects\n• Built a kite\n• Wrote a poem\n> odd mark\n> odd mark\n> odd mark\n£ once\nQ PRAKTIKA\nMuster GmbH 2011 - 2013\nnothing else"),
         (-3, None),
     ],
 )
@@ -171,8 +171,8 @@ CONTENT = Relation(
         (-3, "only text"),
     ],
 )
-NAMES = Relation("doc_id long, name string", [(-1, "Berta Test"), (-1, "Gallen"), (-2, "Carl Ohne")])
-NAME_TEXTS = Relation("doc_id long, text string", [(-1, "Worked with Dr. Berta Test\nUniversity of St. Gallen"), (-2, "met Carl Ohne once")])
+NAMES = Relation("doc_id long, name string", [(-1, "Berta Test"), (-1, "Exempel"), (-2, "Carl Ohne")])
+NAME_TEXTS = Relation("doc_id long, text string", [(-1, "Worked with Dr. Berta Test\nUniversity of Exempel"), (-2, "met Carl Ohne once")])
 PIECES = Relation("doc_id long, text string", [(-1, "EDUCATION\n\nExample University     2019 - 2021\n  - detail of the work\n\nWORK HISTORY\n\nMuster AG     2021 - 2022\n  - more detail there\n\nOTHER THINGS\n\nplain words")])
 TRAITS = Relation(
     "doc_id long, section string, line_no int, line string",
@@ -186,7 +186,7 @@ WHOLE = Relation(
             -101,
             "Ada Muster\nWork Experience\nMuster AG, Analyst 01/2016 - 03/2017\n- Responsible for weekly reports.\n- Managed a team of three people\n- Presenting results to clients\n"
             "- Prepared slides for the board\nOther AG, Intern 01/2019 - 12/2019\n- Helped with the yearly events.\nThird AG, Trainee 06/2019 - 06/2020\n- Saved 3k CHF in a year\n"
-            "Education\nUniversity of St. Gallen, BSc 2012 - 2015\nGrade: 4.8\nUniversity of Bern, MSc 2010 - 2012\n09/2008\n06/2009\nInterests\nChess\nTennis\n"
+            "Education\nUniversity of Basel, BSc 2012 - 2015\nGrade: 4.8\nUniversity of Bern, MSc 2010 - 2012\n09/2008\n06/2009\nInterests\nChess\nTennis\n"
             "IT Skills\nteam player, motivated\nDocker, Kafka, Spark\nLanguages\nEnglish: a bit\nFrench: fluent",
         ),
         (-102, "Skills\nteam player, motivated\nflexible"),
