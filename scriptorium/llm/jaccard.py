@@ -6,14 +6,17 @@ enough share tokens among the first few of each order. Candidates share a token
 order, at positions that leave enough tokens after it; they must then share as many tokens as the
 bound asks for under each further order. What is left is verified with whole sets.
 
-A token's documents are first compared with one of them only; after that only pairs between different
-components are verified, and for a token that many documents have no other pairs are formed at all.
+A frequent token's documents are first compared with one of them only; after that only pairs between
+different components matter. Those aren't formed token by token: all tokens are dealt by a hash over one
+part more than two similar sets of such sizes can differ in, so that similar sets have some part in common
+as a whole, and only documents that share a whole part meet (``part_keys``); the orders are asked then.
 Sets are compared by 64-bit hashes of their n-grams, whole sets by 128-bit digests; bytes are not.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -31,6 +34,8 @@ FREQUENT_COUNT, FREQUENT_TOKENS = 6, 1 << 20
 PAIRED_OFF = 16
 #: Of each further order a prefix so many times as long is kept, of every token 16 bits.
 FURTHER_PREFIXES = (1, 4)
+#: A part of so few tokens says little; its key is asked for together with a token of the first prefix.
+SMALL_PART = 1
 #: Words whose hashes a task remembers.
 CACHE_WORDS = 100_000
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -129,6 +134,74 @@ def prefix_length(n: np.ndarray | int, percent: int) -> np.ndarray | int:
     return n - (n * percent + 99) // 100 + 1
 
 
+def _ranks(s: np.ndarray, tokens: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """0 for a rare token, else its class."""
+    rank = np.zeros(len(s), np.uint64)
+    if not len(tokens):
+        return rank
+    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
+    return np.where(tokens[at] == s, classes[at].astype(np.uint64), rank)
+
+
+def _leading(s: np.ndarray, rank: np.ndarray, order: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the first ``size`` tokens under a global order, unsorted, and all tokens' sort keys."""
+    key = (rank << np.uint64(58)) | (_mix(s + _SEEDS[order]) >> np.uint64(6))
+    return np.argpartition(key, size - 1)[:size] if size < len(s) else np.arange(len(s)), key
+
+
+@lru_cache
+def _levels(percent: int) -> np.ndarray:
+    """Least sizes of the levels: sets that are similar enough are of one level or of two that follow each other."""
+    found = [1]
+    while found[-1] < 1 << 40:
+        found.append(found[-1] * 100 // min(percent, 99) + 1)
+    return np.array(found, np.int64)
+
+
+def part_keys(s: np.ndarray, first: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the parts of the set ``s`` by its own level's rule and by the next one's; ``first`` is its first prefix.
+
+    The rule of a level deals all tokens over one part more than two similar sets up to that level can
+    differ in, so such sets have a key of a part in common: of the level's rule, of which one of them is.
+    A part of few tokens has a key with each token of ``first``, of which similar sets share one.
+    """
+    bounds, value, place = _levels(percent), _mix(s + _SEEDS[4]), _mix(s + _SEEDS[3])
+    level, found = int(np.searchsorted(bounds, len(s), "right")) - 1, []
+    with np.errstate(over="ignore"):
+        for rule in (level, level + 1):
+            parts = 2 * (int(bounds[rule + 1]) - 1) * (100 - percent) // (100 + percent) + 1
+            at = (place % np.uint64(parts)).astype(np.int64)
+            total = np.zeros(parts, np.uint64)
+            np.add.at(total, at, value)
+            small = np.bincount(at, minlength=parts) <= SMALL_PART
+            key = _mix(total + _mix(np.arange(parts, dtype=np.uint64) * _SEEDS[0] + np.uint64(rule) * _SEEDS[1]))
+            paired = _mix(key[small][:, None] + _mix(first + _SEEDS[2])[None, :]).ravel()
+            found.append(np.concatenate([key[~small], paired]))
+    return found[0], found[1]
+
+
+def _parts(docs: DataFrame, nodes: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """node, n, own, part of the documents among ``nodes``; only their texts leave the scan."""
+    told = docs.sparkSession.sparkContext.broadcast(frequent)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for node, text in zip(batch["doc_id"], batch["text"], strict=True):
+                s = shingles(text, words)
+                if len(s):
+                    first, _ = _leading(s, _ranks(s, *told.value), 0, prefix_length(len(s), percent))
+                    out.append((node, len(s), *[k.view(np.int64) for k in part_keys(s, s[first], percent)]))
+            yield pd.DataFrame(out, columns=["node", "n", "own", "next"])
+        _word_hash.clear()
+
+    key = positive_hash("doc_id")
+    wanted = kept_by(docs.select("doc_id", "text"), nodes.withColumnRenamed("node", "doc_id"), nodes.count(), key, key).where("maybe")
+    dealt = wanted.select("doc_id", "text").mapInPandas(run, "node long, n long, own array<long>, next array<long>")
+    marked = [F.expr(f"transform({c}, k -> struct({c == 'own'} AS own, k AS part))") for c in ("own", "next")]
+    return dealt.select("node", "n", F.explode(F.concat(*marked)).alias("p")).select("node", "n", "p.*")
+
+
 def _prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """node, n, cold (rare tokens in the first prefix), first and further prefixes."""
     told = docs.sparkSession.sparkContext.broadcast(frequent)
@@ -141,15 +214,10 @@ def _prefixes(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndar
                 s = shingles(text, words)
                 if not len(s):
                     continue
-                p, rank = prefix_length(len(s), percent), np.zeros(len(s), np.uint64)
-                if len(tokens):
-                    at = np.minimum(np.searchsorted(tokens, s), len(tokens) - 1)
-                    rank = np.where(tokens[at] == s, classes[at].astype(np.uint64), rank)
+                p, rank = prefix_length(len(s), percent), _ranks(s, tokens, classes)
                 found = []
                 for k, times in enumerate((1, *FURTHER_PREFIXES)):
-                    size = min(len(s), p * times)
-                    key = (rank << np.uint64(58)) | (_mix(s + _SEEDS[k]) >> np.uint64(6))
-                    first = np.argpartition(key, size - 1)[:size] if size < len(s) else np.arange(len(s))
+                    first, key = _leading(s, rank, k, min(len(s), p * times))
                     if k == 0:
                         first = first[np.argsort(key[first])]
                         cold = int((rank[first] == 0).sum())
@@ -250,6 +318,30 @@ def connected_components(links: DataFrame) -> DataFrame:
     )
 
 
+def _across(hot: DataFrame, labels: DataFrame, docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """x, y: documents of different components that share a whole part, among those of frequent tokens in several components."""
+    grouped = hot.select("token", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = [F.min("label").alias("low"), F.max("label").alias("high")]
+    mixed = grouped.groupBy("token").agg(*several).where("low < high").select("token")
+    nodes = checkpointed(grouped.join(mixed, "token").select("node", "label").distinct())
+    parts = checkpointed(_parts(docs, nodes.select("node"), words, percent, frequent).join(nodes, "node"))
+    shared = parts.groupBy("part").agg(*several, F.bool_or("own").alias("any")).where("low < high AND any").select("part")
+    rest = checkpointed(parts.join(shared, "part"))
+    alike = F.least("a.n", "b.n") * 100 >= F.greatest("a.n", "b.n") * percent
+    meet = (F.col("a.part") == F.col("b.part")) & (F.col("a.label") < F.col("b.label")) & (F.col("a.own") | F.col("b.own")) & alike
+    return checkpointed(_pairs(rest.alias("a").join(rest.alias("b"), meet)).distinct())
+
+
+def _first_order(pairs: DataFrame, prefixes: DataFrame) -> DataFrame:
+    """Pairs that share a token of the first prefix."""
+    nodes = pairs.select(F.explode(F.array("x", "y")).alias("node")).distinct()
+    key = positive_hash("node")
+    wanted = kept_by(prefixes.select("node", "first"), nodes, 2 * pairs.count(), key, key).where("maybe")
+    for end in "xy":
+        pairs = pairs.join(wanted.select(F.col("node").alias(end), F.col("first").alias(f"{end}_first")), end)
+    return pairs.where(F.arrays_overlap("x_first", "y_first")).select("x", "y")
+
+
 def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray, np.ndarray], known: DataFrame | None = None) -> DataFrame:
     """node, label of the linked ones among ``docs``; ``known`` (x, y) are links that need no search."""
     prefixes = checkpointed(_prefixes(docs, words, percent, frequent))
@@ -277,15 +369,12 @@ def _links(docs: DataFrame, words: int, percent: int, frequent: tuple[np.ndarray
     found = verified(rare.where("first").select("x", "y").unionByName(starred))
     found = found if known is None else found.unionByName(known)
     labels = connected_components(found)
-    grouped = hot.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = grouped.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low < high").select("token")
-    rest = checkpointed(grouped.join(mixed, "token").select("token", "node", "n", "pos", "label"))
-    across = (F.col("a.token") == F.col("b.token")) & (F.col("a.label") < F.col("b.label")) & _enough_left(percent)
+    across = _across(hot, labels, docs, words, percent, frequent)
     later = rare.where("NOT first").select("x", "y")
     for end in "xy":
         later = later.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
     later = later.where(F.coalesce("label_x", "x") != F.coalesce("label_y", "y")).select("x", "y")
-    more = verified(_pairs(rest.alias("a").join(rest.alias("b"), across)).unionByName(later))
+    more = verified(_first_order(across, prefixes).unionByName(later))
     return labels if more.isEmpty() else connected_components(found.unionByName(more))
 
 

@@ -1,0 +1,53 @@
+"""Parts of sets: no similar pair is lost, and templated texts don't meet in pairs."""
+
+import numpy as np
+import pytest
+
+from scriptorium.llm import jaccard
+from tests.llm.test_operators import docs, rows
+
+
+@pytest.mark.parametrize("percent", [60, 80, 90, 100])
+def test_similar_sets_share_a_part_and_a_first_token(percent):
+    draw = np.random.default_rng(percent)
+    none, seen = np.zeros(0, np.uint64), 0
+    for _ in range(1500):
+        size = int(draw.choice([1, 2, 5, 9, 10, 19, 20, 21, 60, 300]))
+        a = np.unique(draw.integers(0, 1 << 62, size).astype(np.uint64))
+        kept = a[draw.random(len(a)) > draw.choice([0, 0.03, 0.1, 0.2])]
+        b = np.unique(np.concatenate([kept, draw.integers(0, 1 << 62, int(draw.integers(0, 1 + size // 6 + 1))).astype(np.uint64)]))
+        same = len(np.intersect1d(a, b))
+        if not len(b) or 100 * same < percent * (len(a) + len(b) - same):
+            continue
+        seen += 1
+        keys = []
+        for s in (a, b):
+            first, _ = jaccard._leading(s, jaccard._ranks(s, none, none), 0, jaccard.prefix_length(len(s), percent))
+            keys.append([set(k.tolist()) for k in jaccard.part_keys(s, s[first], percent)])
+        (own_a, next_a), (own_b, next_b) = keys
+        assert own_a & own_b or own_a & next_b or next_a & own_b
+    assert seen > 100
+
+
+def templated(draw, number, sentences=60, each=12):
+    said = [" ".join(f"w{draw.integers(0, 3000)}" for _ in range(10)) for _ in range(sentences)]
+    return [" ".join(said[k] for k in draw.permutation(sentences)[:each]) for _ in range(number)]
+
+
+def test_templated_texts_meet_hardly_ever(spark, monkeypatch):
+    """Twelve of sixty sentences in any order: every token is frequent, hardly any two texts are similar."""
+    met, across = [], jaccard._across
+
+    def counted(*given):
+        pairs = across(*given)
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(jaccard, "_across", counted)
+    for number in (500, 1500):
+        texts = templated(np.random.default_rng(7), number)
+        texts[number // 2] = texts[3].rsplit(" ", 2)[0] + " other end"
+        got = {r["doc_id"]: r["component_id"] for r in rows(jaccard.near_groups(docs(spark, texts, range(number)), 5, 80))}
+        assert got.pop(number // 2) == 3
+        assert all(k == v for k, v in got.items())
+    assert met[0] < 500 and met[1] < 1500
