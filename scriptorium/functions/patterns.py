@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -172,6 +172,11 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def worked(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """``rows`` with a column that is computed once a row, however many filters and columns read it."""
+    return rows.select("*", F.explode(F.array(value)).alias(name))
+
+
 def swap_if(column: Column, pattern: str, keep: Callable[[Column, Column], Column], ignore_case: bool = True, lines: bool = False) -> Column:
     """Each match becomes ``keep(match, text before it in its piece)``: the text is split and woven again."""
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from scriptorium.functions.patterns import has
+from scriptorium.functions.patterns import has, worked
 from scriptorium.operators import headings
 from scriptorium.operators.overlap import content_words, overlap_share, skills_removed
 
@@ -87,8 +87,9 @@ def claim_counts(body: DataFrame, claims: DataFrame) -> DataFrame:
     stems are in its paragraph and if more than a claim to have grown is left of it.
     """
     rows = skills_removed(claims.where("claim IS NOT NULL").withColumnRenamed("claim", "text"))
-    rows = rows.select("doc_id", "n", F.coalesce("known", F.lit(False)).alias("known"), content_words(F.col("text")).alias("c"), content_words(F.col("kept")).alias("left"))
-    rows = rows.join(body.select("doc_id", "n", content_words(F.col("paragraph")).alias("p")), ["doc_id", "n"])
+    rows = worked(rows.withColumn("known", F.coalesce("known", F.lit(False))), "c", content_words(F.col("text")))
+    rows = worked(rows, "left", F.when(F.size("removed") == 0, F.col("c")).otherwise(content_words(F.col("kept")))).select("doc_id", "n", "known", "c", "left")
+    rows = rows.join(worked(body, "p", content_words(F.col("paragraph"))).select("doc_id", "n", "p"), ["doc_id", "n"])
     anchored = (F.size("c") > 0) & (F.size("left") > 0) & (F.size(F.array_intersect("c", "p")) >= ANCHOR_SHARE * F.size("c"))
     return rows.where(anchored).groupBy("doc_id", "n").agg(F.count("*").alias("claims"), F.count_if("known").alias("known_claims")).where(F.col("claims") >= LEAST_CLAIMS)
 
@@ -98,8 +99,9 @@ def measured_paragraphs(body: DataFrame, known: DataFrame, claims: DataFrame, le
 
     ``known`` (doc_id, other) is the other document; without one ``known_left`` is null.
     """
-    rows = skills_removed(body.select("doc_id", "n", F.col("paragraph").alias("text"))).withColumn("w", content_words(F.col("text"))).where(F.size("w") >= least).withColumn("r", content_words(F.col("kept")))
-    rows = rows.join(known.select("doc_id", content_words(F.col("other")).alias("k")), "doc_id", "left")  # stems once a document
+    rows = worked(skills_removed(body.select("doc_id", "n", F.col("paragraph").alias("text"))), "w", content_words(F.col("text"))).where(F.size("w") >= least)
+    rows = worked(rows, "r", F.when(F.size("removed") == 0, F.col("w")).otherwise(content_words(F.col("kept"))))
+    rows = rows.join(worked(known, "k", content_words(F.col("other"))).select("doc_id", "k"), "doc_id", "left")  # stems once a document
     opening = F.substring(F.regexp_replace(F.trim("text"), r"(?U)\s+", " "), 1, 80)
     known_left = F.when(F.size("k") > 0, F.when(F.size("r") == 0, 1.0).otherwise(overlap_share(F.col("r"), F.col("k"))))
     rows = rows.select(
