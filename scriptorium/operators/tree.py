@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
 from scriptorium.functions.durable import checkpointed
+from scriptorium.functions.spreading import dealt
 from scriptorium.operators.headings import normalise
 from scriptorium.operators.layout import BODY_SIZE, CHAR_WIDTH, LARGER_THAN_BODY, LINE_HEIGHT, MAX_HEADING_WORDS, STYLE_FLOOR
 from scriptorium.operators.lines import lines_of
@@ -43,7 +44,7 @@ def _order() -> Window:
 
 def text_rows(docs: DataFrame) -> DataFrame:
     """doc_id, n, page, top, bottom, body, pieces of the non-blank lines: fields apart by two blanks or more, with a nominal geometry."""
-    rows = lines_of(docs).where(F.col("line").rlike(r"(?U)\S")).repartition("doc_id")
+    rows = lines_of(dealt(docs.select("doc_id", "text"))).where(F.col("line").rlike(r"(?U)\S"))
     fields = F.filter(F.split(F.regexp_replace("line", r"^[ \t]+|[ \t]+$", ""), r"[ \t]{2,}"), lambda f: f != "")
     lead = F.char_length("line") - F.char_length(F.regexp_replace("line", r"^[ \t]+", ""))
     before = lambda k: F.when(k == 0, 0).otherwise(F.char_length(F.array_join(F.slice("fields", F.lit(1), k), "   ")) + 3)
@@ -275,7 +276,9 @@ def filled(rows: DataFrame, lookup: Lookup) -> DataFrame:
     is_head = F.col("heading") | F.col("subheading")
     heads = rows.where(is_head).select("doc_id", F.col("n").alias("line_no"), F.trim("text").alias("line"))
     known = lookup(heads).groupBy("doc_id", F.col("line_no").cast("long").alias("n")).agg(F.min("category").alias("own"))
-    rows = rows.join(known, ["doc_id", "n"], "left").withColumn("category", F.max(F.when(is_head, F.col("own"))).over(leaf))
+    known = known.where("own IS NOT NULL").groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("n", "own"))).alias("_known"))  # by document, so that its rows stay where they are
+    own = F.when(is_head, F.try_element_at("_known", F.col("n")))
+    rows = rows.join(known, "doc_id", "left").withColumn("category", F.max(own).over(leaf)).drop("_known")
     still = rows.where(is_head | F.col("preamble"))
     kind = F.when(F.col("heading"), "heading").when(F.col("subheading"), "subheading").otherwise("preamble")
     none = F.lit(None).cast("int")
