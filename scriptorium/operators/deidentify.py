@@ -61,6 +61,12 @@ def without_names(text: Column, names: Column) -> Column:
     return F.aggregate(name_parts(names), text, lambda t, p: F.when(t.contains(p), F.regexp_replace(t, quoted(p), F.lit(placeholder("name")))).otherwise(t))
 
 
+def first_place(items: Column, holds: Callable[[Column], Column]) -> Column:
+    """The place, from 0, of the first item for which ``holds``, else null; nothing is asked of the items behind it."""
+    step = lambda s, x: F.struct((s["next"] + 1).alias("next"), F.when(s["at"].isNotNull(), s["at"]).when(holds(x), s["next"]).alias("at"))
+    return F.aggregate(items, F.struct(F.lit(0).alias("next"), F.lit(None).cast("int").alias("at")), step)["at"]
+
+
 def with_blocks(docs: DataFrame, lookup: Lookup) -> DataFrame:
     """``docs`` with _lines (line, display, head), personal (whether a section of personal details went) and _cut, the length of the header.
 
@@ -79,10 +85,9 @@ def with_blocks(docs: DataFrame, lookup: Lookup) -> DataFrame:
     cleaned = F.filter(F.transform(split, lambda x, k: F.when(F.coalesce(display(k) == PERSONAL, F.lit(False)), gone).when(F.coalesce(under(k) == PERSONAL, F.lit(False)) & ~_blank(x), F.lit(None)).otherwise(line(x, k))), lambda x: x.isNotNull())
     rows = rows.withColumn("_lines", F.when(F.col("personal"), cleaned).otherwise(F.transform(split, line)))
     top = F.slice("_lines", 1, V.MAX_CONTACT_LINES)
-    stops = F.transform(top, lambda x: x["display"].isNotNull() | _heading_like(x["line"]) | P.has_range(x["line"]))
-    ends = F.transform(top, lambda x: ~(_blank(x["line"]) | has(x["line"], P.CONTACT_LINE) | _name_line(x["line"], x["display"].isNotNull())))
-    first = lambda flags: F.array_position(flags, F.lit(True)) - 1
-    cut = F.when(F.array_contains(stops, True), first(stops)).when(F.array_contains(ends, True), first(ends)).otherwise(F.size(top))
+    stops = lambda x: x["display"].isNotNull() | _heading_like(x["line"]) | P.has_range(x["line"])
+    ends = lambda x: ~(_blank(x["line"]) | has(x["line"], P.CONTACT_LINE) | _name_line(x["line"], x["display"].isNotNull()))
+    cut = F.coalesce(first_place(top, stops), first_place(top, ends), F.size(top))
     return rows.withColumn("_cut", cut.cast("int")).drop("_heads")
 
 
