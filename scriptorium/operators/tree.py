@@ -61,8 +61,8 @@ def _sum(pieces: str, value: Callable[[Column], Column]) -> Column:
 
 def _only_a_date(text: Column) -> Column:
     size = F.char_length(F.trim(text))
-    span = F.char_length(F.regexp_extract(text, P.java(P.RANGE, True), 0))
-    return size.between(1, 32) & (P.has(F.trim(text), P.FIELD_DATE) | ((span > 0) & (span >= 0.7 * size)))
+    span = F.char_length(F.regexp_extract(F.when(size.between(1, 32), text), P.java(P.RANGE, True), 0))  # long texts aren't searched
+    return size.between(1, 32) & (P.has(F.trim(text), P.FIELD_DATE) | F.coalesce((span > 0) & (span >= 0.7 * size), F.lit(False)))
 
 
 def _dated_outside_brackets(text: Column) -> Column:
@@ -70,8 +70,9 @@ def _dated_outside_brackets(text: Column) -> Column:
     return P.has_range(F.regexp_replace(text, r"\([^()]*\)", " ")) | P.has_range(F.regexp_extract(text, r"(\([^()]*\)).?\s*$", 1))
 
 
-def _words(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""))
+def _words_at_most(text: Column, most: int) -> Column:
+    """Whether a text has ``most`` words or fewer; a longer one isn't split to its end."""
+    return F.size(F.filter(F.split(text, r"(?U)\s+", most + 3), lambda w: w != "")) <= most
 
 
 def with_features(rows: DataFrame) -> DataFrame:
@@ -91,15 +92,15 @@ def with_features(rows: DataFrame) -> DataFrame:
     gap = F.when(F.lag("page").over(_order()) != F.col("page"), BLOCK_GAP * F.col("body")).otherwise(F.col("top") - F.lag("bottom").over(_order()))
     sign = F.substring("text", 1, 1)
     counted = (F.char_length("text") >= 3) & F.col("spaced") & ~F.col("sign").rlike(r"""[\p{L}\p{N}"'(]""")
-    letters, words = F.regexp_replace("text", r"[^\p{L}]", ""), _words(F.col("text"))
+    letters = F.regexp_replace("text", r"[^\p{L}]+", "")
     rows = rows.withColumns({"indent": F.col("x0") - left, "text_indent": text_x - left, "gap": F.coalesce(gap, F.lit(0.0)), "sign": sign, "spaced": F.substring("text", 2, 1).isin("", " ", "\t")})
     rows = rows.withColumn("glyph", F.col("spaced") & (F.col("sign").isin(*P.GLYPHS) | (F.sum(counted.cast("int")).over(Window.partitionBy("doc_id", "sign")) >= MARKER_USES)))
     rows = rows.withColumn("printed", F.col("glyph") | F.col("text").rlike(r"^[oO] \p{Lu}"))
     two = F.col("count") > 1
     rows = rows.withColumns({
         "anchor": _dated_outside_brackets(F.col("text")) | (two & (P.has(F.trim("first"), P.FIELD_DATE) | P.has(F.trim("last"), P.FIELD_DATE))),
-        "able": (words <= MAX_HEADING_WORDS) & ~F.col("printed") & (F.col("count") == 1) & ~P.has_range(F.col("text")),
-        "caps": (F.char_length(letters) >= 3) & (F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) > 0.8 * F.char_length(letters)),
+        "able": _words_at_most(F.col("text"), MAX_HEADING_WORDS) & ~F.col("printed") & (F.col("count") == 1) & ~P.has_range(F.col("text")),
+        "caps": (F.char_length(letters) >= 3) & (F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]+", "")) > 0.8 * F.char_length(letters)),
     })
     return rows.withColumns({
         "style": F.struct((F.bround(F.col("size") * 4) / 4).alias("size"), "bold", "caps", "family"), "marked": F.sum(F.col("printed").cast("int")).over(_doc()) >= MARKER_USES,
@@ -108,26 +109,49 @@ def with_features(rows: DataFrame) -> DataFrame:
     }).drop("sign", "spaced")
 
 
+def _style_and_gap(rows: DataFrame) -> DataFrame:
+    """``rows`` with text, size, bold of the whole row and the gap above it."""
+    rows = rows.withColumns({
+        "text": F.array_join(F.transform("pieces", lambda p: p["text"]), "   "), "size": F.array_max(F.transform("pieces", lambda p: p["size"])),
+        "bold": _sum("pieces", lambda p: F.when(p["bold"], F.char_length(p["text"])).otherwise(0)) > 0.6 * F.greatest(F.lit(1), _sum("pieces", lambda p: F.char_length(p["text"]))),
+    })
+    gap = F.when(F.lag("page").over(_order()) != F.col("page"), BLOCK_GAP * F.col("body")).otherwise(F.col("top") - F.lag("bottom").over(_order()))
+    return rows.withColumn("gap", F.coalesce(gap, F.lit(0.0)))
+
+
 def wrapped_headings_joined(rows: DataFrame, lookup: Lookup) -> DataFrame:
     """Two neighbouring rows that mean nothing apart and a heading together become one row.
 
-    ``rows`` have features; ``lookup`` takes (doc_id, line_no, line) and returns those that are headings.
-    Pairs are taken from the top: a row that ended a pair begins none. Features must be made anew.
+    ``lookup`` takes (doc_id, line_no, line) and returns those that are headings. Pairs are taken from the
+    top: a row that ended a pair begins none. What decides is asked of narrow rows with short texts only,
+    before any other feature; the whole rows are then joined in one pass over their document's order, to
+    which the pairs come as one value a document.
     """
+    rows = rows if "flow" in rows.columns else rows.withColumn("flow", F.lit(0))
+    rows = rows.select("doc_id", "n", "page", "flow", "top", "bottom", "body", "pieces")
+    text = F.array_join(F.transform("pieces", lambda p: p["text"]), "   ")
+    pair = F.coalesce(F.array_contains("_pairs", F.col("n")), F.lit(False))
+
+    narrow = _style_and_gap(rows).drop("pieces", "flow", "top", "bottom", "page", "body")
+    narrow = narrow.withColumn("text", F.when(_words_at_most(F.col("text"), WRAPPED_WORDS), F.trim("text")))
     follows = lambda c: F.lead(c).over(_order())
     near = (follows("bold") == F.col("bold")) & (F.abs(follows("size") - F.col("size")) <= 0.6) & (follows("gap") <= 1.3 * F.greatest("size", follows("size")))
-    short = (_words(F.col("text")) <= WRAPPED_WORDS) & (_words(follows("text")) <= WRAPPED_WORDS)
-    rows = rows.withColumns({"near": F.coalesce(near & short, F.lit(False)), "joined": F.concat_ws(" ", F.trim("text"), F.trim(follows("text")))})
-    asked = rows.where("near").select("doc_id", F.explode(F.array(F.struct((F.col("n") * 2).alias("line_no"), F.trim("text").alias("line")), F.struct((F.col("n") * 2 + 1).alias("line_no"), F.col("joined").alias("line")))).alias("a")).select("doc_id", "a.*")
-    known = lookup(asked).select("doc_id", F.floor(F.col("line_no") / 2).cast("long").alias("n"), F.pmod("line_no", F.lit(2)).alias("both"))
-    known = known.groupBy("doc_id", "n").agg(F.min("both").alias("least"))
-    rows = rows.join(known, ["doc_id", "n"], "left").withColumn("able_pair", F.coalesce(F.col("near") & (F.col("least") == 1), F.lit(False)))
-    run = F.sum((~F.col("able_pair")).cast("int")).over(_order())
-    rows = rows.withColumn("run", run).withColumn("begins", F.col("able_pair") & (F.row_number().over(Window.partitionBy("doc_id", "run", "able_pair").orderBy("n")) % 2 == 1))
-    merged = F.coalesce(F.lag("begins").over(_order()), F.lit(False))
-    more = F.transform(F.coalesce(F.lead("pieces").over(_order()), F.array().cast(rows.schema["pieces"].dataType)), lambda p: p)
-    pieces, bottom = F.when(F.col("begins"), F.concat("pieces", more)).otherwise(F.col("pieces")), F.when(F.col("begins"), F.lead("bottom").over(_order())).otherwise(F.col("bottom"))
-    rows = rows.withColumns({"merged": merged, "pieces": pieces, "bottom": bottom, "whole": F.when(F.col("begins"), F.col("joined"))}).where("NOT merged")
+    asked = narrow.withColumns({"near": F.coalesce(near, F.lit(False)), "next": follows("text")}).where("near AND text IS NOT NULL AND next IS NOT NULL")
+    both = F.array(F.struct((F.col("n") * 2).alias("line_no"), F.col("text").alias("line")), F.struct((F.col("n") * 2 + 1).alias("line_no"), F.concat_ws(" ", "text", "next").alias("line")))
+    known = lookup(checkpointed(asked.select("doc_id", F.explode(both).alias("a")).select("doc_id", "a.*")))
+    known = known.groupBy("doc_id", F.floor(F.col("line_no") / 2).cast("long").alias("n")).agg(F.min(F.pmod("line_no", F.lit(2))).alias("least"))
+    pairs = checkpointed(known.where("least = 1").groupBy("doc_id").agg(F.collect_list("n").alias("_pairs")))
+
+    rows = rows.join(pairs, "doc_id", "left").withColumns({"able_pair": pair, "place": F.row_number().over(_order())})
+    before = F.last(F.when(~F.col("able_pair"), F.col("place")), ignorenulls=True).over(_order())
+    rows = rows.withColumn("begins", F.col("able_pair") & ((F.col("place") - F.coalesce(before, F.lit(0))) % 2 == 1))
+    after = F.col("begins") & F.lead("n").over(_order()).isNotNull()
+    whole = F.concat_ws(" ", F.trim(text), F.trim(F.lead(text).over(_order())))
+    more = F.coalesce(F.lead("pieces").over(_order()), F.array().cast(rows.schema["pieces"].dataType))
+    rows = rows.withColumns({
+        "merged": F.coalesce(F.lag("begins").over(_order()), F.lit(False)), "whole": F.when(after, whole),
+        "pieces": F.when(after, F.concat("pieces", more)).otherwise(F.col("pieces")), "bottom": F.when(after, F.lead("bottom").over(_order())).otherwise(F.col("bottom")),
+    }).where("NOT merged")
     one = F.struct(*[(F.col("whole") if f == "text" else F.array_max(F.transform("pieces", lambda p: p[f])) if f == "x1" else F.get("pieces", F.lit(0))[f]).alias(f) for f in ("x0", "x1", "text", "size", "bold", "font")])  # noqa: B023
     return rows.select("doc_id", "n", "page", "flow", "top", "bottom", "body", F.when(F.col("begins"), F.array(one)).otherwise(F.col("pieces")).alias("pieces"))
 
@@ -319,9 +343,7 @@ def filled(rows: DataFrame, lookup: Lookup) -> DataFrame:
 
 def tree_of(rows: DataFrame, lookup: Lookup, rejoin: bool = True) -> DataFrame:
     """``filled`` rows of documents given as rows with pieces: every rung from features to entries."""
-    featured = with_features(rows)
-    if rejoin:
-        featured = with_features(wrapped_headings_joined(checkpointed(featured), lookup))
+    featured = with_features(wrapped_headings_joined(rows, lookup) if rejoin else rows).drop("pieces", "first", "last")  # the sorts to come carry what is asked later
     return filled(checkpointed(with_sections(with_headings(featured))), lookup)
 
 
