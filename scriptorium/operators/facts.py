@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.patterns import has, java, let
+from scriptorium.functions.patterns import has, java, let, worked
 from scriptorium.functions.vocabulary import BUZZWORDS, GERUND_NOUNS, SPELLING_PAIRS, WEAK_OPENERS
 from scriptorium.operators.entries import bullet_text, is_bullet
 from scriptorium.operators.guardrails import language_of
@@ -22,7 +22,8 @@ def words_in(text: Column, words: list[str]) -> Column:
 
 def writing_facts(docs: DataFrame) -> DataFrame:
     """doc_id, buzzwords, spelling_pairs (British forms whose American one is there too), mixed_spelling."""
-    text = F.lower(F.coalesce(F.col("text"), F.lit("")))
+    docs = worked(docs.select("doc_id", "text"), "low", F.lower(F.coalesce(F.col("text"), F.lit(""))))
+    text = F.col("low")
     word = lambda w: text.contains(w) & text.rlike(rf"(?U)\b{w}\b")
     british = F.coalesce(*[F.when(word(b), True) for b, _ in SPELLING_PAIRS], F.lit(False))
     american = F.coalesce(*[F.when(word(a), True) for _, a in SPELLING_PAIRS], F.lit(False))

@@ -35,8 +35,9 @@ def month_typos(docs: DataFrame) -> DataFrame:
     """
     from scriptorium.operators.headings import similarity
 
-    part = lambda k: every(F.col("text"), BEFORE_YEAR, False, group=k)
-    rows = docs.select("doc_id", F.posexplode(F.arrays_zip(part(0).alias("written"), part(1).alias("word"), part(2).alias("year"))).alias("pos", "m")).select("doc_id", "pos", "m.written", F.lower("m.word").alias("word"), "m.year")
+    part = lambda k: F.regexp_extract("written", java(BEFORE_YEAR), k)
+    rows = docs.where(has(F.col("text"), r"(?:19|20)\d{2}", False)).select("doc_id", F.posexplode(every(F.col("text"), BEFORE_YEAR, False)).alias("pos", "written"))
+    rows = rows.select("doc_id", "pos", "written", F.lower(part(1)).alias("word"), part(2).alias("year"))
     rows = rows.where(~F.col("word").rlike(r"^\d+$") & ~F.col("word").isin(list(MONTH_NUMBERS)))
     listed = F.array(*[F.struct(F.lit(k).alias("ord"), F.lit(name).alias("name")) for k, name in enumerate(MONTH_NUMBERS)])
     near = rows.select("word").distinct().select("word", F.explode(listed).alias("m")).where(F.char_length("word") == F.char_length("m.name")).select("word", "m.ord", "m.name")
