@@ -27,7 +27,7 @@ def bullet_text(line: Column) -> Column:
 
 
 def is_anchor(line: Column) -> Column:
-    return ~is_bullet(line) & (F.trim(line) != "") & (P.has_range(line) | has(line, P.SINGLE_DATE_END, False))
+    return (P.has_range(line) | has(line, P.DATE_END, False)) & ~is_bullet(line) & (F.trim(line) != "")
 
 
 def title_shaped(line: Column) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
-from scriptorium.functions.patterns import every, has, java, swap
+from scriptorium.functions.patterns import every, has, java, swap, worked
 from scriptorium.functions.vocabulary import ABITUR_AVERAGE, ABITUR_POINTS, PLACES, SCALES, SWISS_CONVENTION, SWISS_FLOOR
 
 
@@ -53,12 +53,14 @@ def repaired(value: Column, scales: Column) -> Column:
 
 def find_grades(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, pos, raw, value, maximum, country, scale, plausible, suggestion, missing_maximum, reference (the number to print beside it)."""
+    words = F.col("line").rlike(r"\p{Nd}") & has(F.col("line"), P.GRADE_STEMS) & has(F.col("line"), P.GRADE_WORDS)
+    told = lines.where(words).select("doc_id").distinct()
+    asked = worked(lines.join(told, "doc_id", "left_semi"), "_marked", words)
+    whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]))
     window = Window.partitionBy("doc_id").orderBy("line_no")
     context = F.concat_ws("\n", F.lag("line").over(window), F.col("line"))
-    marked = lines.select("doc_id", "line_no", "line", context.alias("context")).where(has(F.col("line"), P.GRADE_WORDS) & F.col("line").rlike(r"\p{Nd}"))
-    asked = lines.join(marked.select("doc_id").distinct(), "doc_id", "left_semi")
-    whole = asked.groupBy("doc_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"])).alias("whole"))
-    rows = marked.join(whole, "doc_id")
+    marked = asked.select("doc_id", "line_no", "line", context.alias("context"), "_marked").where("_marked").drop("_marked")
+    rows = marked.join(asked.groupBy("doc_id").agg(whole.alias("whole")), "doc_id")
     scanned = F.regexp_replace(swap(swap(F.col("line"), P.RANGE, " "), P.DATE_IN_LINE, " "), r"\b(?:19|20)\d{2}\b", " ")
     rows = rows.select("*", F.posexplode(every(scanned, P.GRADE_NUMBER, False)).alias("pos", "raw"))
     part = lambda k: F.regexp_extract("raw", java(P.GRADE_NUMBER), k)

@@ -15,9 +15,13 @@ def by_line() -> WindowSpec:
     return Window.partitionBy("doc_id").orderBy("line_no")
 
 
+def split_lines(text: Column) -> Column:
+    return F.split(unified_lines(text), "\n")
+
+
 def lines_of(docs: DataFrame, text: str = "text") -> DataFrame:
     """doc_id, line_no (from 0), line; an empty or null text has one empty line."""
-    return docs.select("doc_id", F.posexplode(F.split(unified_lines(F.col(text)), "\n")).alias("line_no", "line"))
+    return docs.select("doc_id", F.posexplode(split_lines(F.col(text))).alias("line_no", "line"))
 
 
 def text_of(lines: DataFrame, line: str = "line") -> DataFrame:

@@ -7,7 +7,7 @@ null, and a null fact holds no rule.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -32,20 +32,55 @@ MIN_LINES_WITHOUT_SECTION, BARE_LINES, FULL_INTERESTS, UNLABELLED, MAX_GRADE_LIN
 
 
 class Profile:
-    """Tables of ``docs`` (doc_id, text), those that many others read made once on shared storage; ``section`` is a heading's line number and text, ``display`` its name."""
+    """Tables of ``docs`` (doc_id, text), those that many others read made once on shared storage when first asked for.
+
+    ``section`` is a heading's line number and text, ``display`` its name. What needs a heading reads only
+    the documents that have one.
+    """
 
     def __init__(self, docs: DataFrame, vocabulary: DataFrame, as_of: str) -> None:
         self.docs, self.as_of = docs, as_of
         self.lines = lines.lines_of(docs)
         self.headings = checkpointed(headings.identify(self.lines, vocabulary))
-        key = F.concat_ws(" ", "line_no", F.trim("line"))
-        self.heads = self.headings.select("doc_id", key.alias("section"), "line_no", "display", "category")
-        self.body = checkpointed(headings.lines_with_section(self.lines, self.headings.withColumn("display", key)))
-        self.named = self.body.join(self.heads.select("doc_id", "section", "display"), ["doc_id", "section"])
-        self.bullets = checkpointed(facts.bullets_of(self.named))
-        self.entries = checkpointed(self._named(entries_of(self.named)))
-        self.above = entries_of(self.body.join(self.headings.select("doc_id").distinct(), "doc_id").where("section IS NULL").withColumn("section", F.lit("")))
-        self.ranges = checkpointed(timeline.ranges_of(self.named, as_of))
+        self._key = F.concat_ws(" ", "line_no", F.trim("line"))
+        self.heads = self.headings.select("doc_id", self._key.alias("section"), "line_no", "display", "category")
+
+    @cached_property
+    def headed(self) -> DataFrame:
+        """The lines of documents with a heading."""
+        return checkpointed(lines.lines_of(self.docs.join(self.headings.select("doc_id").distinct(), "doc_id", "left_semi")))
+
+    def _under(self, rows: DataFrame) -> DataFrame:
+        return headings.lines_with_section(rows, self.headings.withColumn("display", self._key))
+
+    @cached_property
+    def body(self) -> DataFrame:
+        """The lines of all documents with the section they stand in."""
+        return self._under(self.lines)
+
+    @cached_property
+    def _headed_body(self) -> DataFrame:
+        return checkpointed(self._under(self.headed))
+
+    @cached_property
+    def named(self) -> DataFrame:
+        return checkpointed(self._headed_body.join(self.heads.select("doc_id", "section", "display"), ["doc_id", "section"]))
+
+    @cached_property
+    def bullets(self) -> DataFrame:
+        return checkpointed(facts.bullets_of(self.named))
+
+    @cached_property
+    def entries(self) -> DataFrame:
+        return checkpointed(self._named(entries_of(self.named)))
+
+    @cached_property
+    def above(self) -> DataFrame:
+        return entries_of(self._headed_body.where("section IS NULL").withColumn("section", F.lit("")))
+
+    @cached_property
+    def ranges(self) -> DataFrame:
+        return checkpointed(timeline.ranges_of(self.named, self.as_of))
 
     def _named(self, rows: DataFrame) -> DataFrame:
         return rows.join(self.heads.withColumnRenamed("line_no", "heading_line"), ["doc_id", "section"])
@@ -66,16 +101,19 @@ class Profile:
 
     def grades(self) -> DataFrame:
         """Grades of the education sections, of the whole text where there is none."""
-        own = self.named.where("category = 'Education'").select("doc_id", "line_no", "line")
-        return grades.find_grades(own.unionByName(self.lines.join(own.select("doc_id").distinct(), "doc_id", "left_anti")))
+        own = self._education()
+        return grades.find_grades(own.unionByName(lines.lines_of(self.docs.join(own.select("doc_id").distinct(), "doc_id", "left_anti"))))
+
+    def _education(self) -> DataFrame:
+        return self.named.where("category = 'Education'").select("doc_id", "line_no", "line")
 
     def graded_degrees(self) -> DataFrame:
-        """doc_id, section, line_no, has_grade of the degrees among the education entries."""
+        """doc_id, section, line_no, has_grade of the degrees among the education entries; their documents' grades are those of the education sections."""
         rows = self.entries.where("category = 'Education'")
         upto = F.coalesce(F.lead("line_no").over(Window.partitionBy("doc_id", "section").orderBy("entry_no")), F.lit(1 << 30))
         degree = facts.is_degree(F.concat_ws(" ", "title_line", "line", F.array_join("description", " ")))
         spans = rows.withColumn("stop", upto).where(degree).select("doc_id", "section", "line_no", "stop")
-        held = self.grades().select("doc_id", F.col("line_no").alias("graded")).distinct().join(self.named.withColumnRenamed("line_no", "graded"), ["doc_id", "graded"])
+        held = grades.find_grades(self._education()).select("doc_id", F.col("line_no").alias("graded")).distinct().join(self.named.withColumnRenamed("line_no", "graded"), ["doc_id", "graded"])
         held = held.where(has(F.col("line"), DEGREE_GRADE) | (F.char_length(F.trim("line")) < MAX_GRADE_LINE)).select("doc_id", "section", "graded")
         inside = F.coalesce(F.col("graded").between(F.col("line_no"), F.col("stop") - 1), F.lit(False))
         return spans.join(held, ["doc_id", "section"], "left").groupBy("doc_id", "section", "line_no").agg(F.bool_or(inside).alias("has_grade"))
@@ -104,7 +142,7 @@ class Profile:
         degrees = grades.consistency_notes(self.graded_degrees())
         named = lambda rows: self._named(rows).groupBy("doc_id")
         parts = [
-            by_doc(self.lines, F.count_if(F.trim("line") != "").alias("_filled")),
+            by_doc(self.docs.select("doc_id", F.size(F.filter(lines.split_lines(F.col("text")), lambda x: F.trim(x) != "")).alias("n")), F.sum("n").alias("_filled")),
             by_doc(self.above, F.slice(listed(title, "entry_no"), 1, UNLABELLED).alias("unlabelled_entries")),
             by_doc(thin, listed(F.col("title"), "entry_no").alias("education_thin_entries")),
             by_doc(self.bullets, F.count("*").alias("total_bullets")),
@@ -113,7 +151,7 @@ class Profile:
             by_doc(self.entries, first("display", "heading_line", bare & F.col("category").isin(DETAIL)).alias("entries_no_detail_section"),
                    first("display", "heading_line", no_title).alias("entries_no_title_section")),
             by_doc(empty, listed(F.col("display"), "line_no").alias("bare_sections")),
-            facts.unlabelled_intro(self.lines, self.headings).withColumnRenamed("intro", "unlabelled_intro"),
+            facts.unlabelled_intro(self.headed, self.headings).withColumnRenamed("intro", "unlabelled_intro"),
             named(facts.soft_skills_only(skills)).agg(F.min_by("display", "heading_line").alias("soft_skills_only_section")),
             by_doc(self.headings, F.count_if(F.expr("damage = 'typo'")).alias("typos"), (at("Education") > at("Experience")).alias("education_after_experience"),
                    listed(F.col("display"), "line_no").alias("sections")),
@@ -143,6 +181,6 @@ class Profile:
 
 def with_missing(rows: DataFrame, profile: Profile, expected: DataFrame) -> DataFrame:
     """``rows`` of facts with the expected sections (section, category) that a document lacks."""
-    lacking = headings.missing_sections(profile.lines, profile.headings, expected)
+    lacking = headings.missing_sections(profile.docs, profile.headings, expected)
     names = lacking.groupBy("doc_id").agg(F.array_sort(F.collect_list("section")).alias("_missing"))
     return rows.join(names, "doc_id", "left").withColumn("missing_sections", F.coalesce("_missing", "missing_sections")).drop("_missing")
