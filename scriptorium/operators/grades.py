@@ -55,17 +55,18 @@ def find_grades(lines: DataFrame) -> DataFrame:
     """doc_id, line_no, pos, raw, value, maximum, country, scale, plausible, suggestion, missing_maximum, reference (the number to print beside it)."""
     words = F.col("line").rlike(r"\p{Nd}") & has(F.col("line"), P.GRADE_STEMS) & has(F.col("line"), P.GRADE_WORDS)
     told = lines.where(words).select("doc_id").distinct()
-    asked = worked(lines.join(told, "doc_id", "left_semi"), "_marked", words)
+    asked = worked(lines.join(told, "doc_id"), "_marked", words)  # a semi join would be pushed into the parts of a union
     whole = F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]))
     window = Window.partitionBy("doc_id").orderBy("line_no")
     context = F.concat_ws("\n", F.lag("line").over(window), F.col("line"))
     marked = asked.select("doc_id", "line_no", "line", context.alias("context"), "_marked").where("_marked").drop("_marked")
-    rows = marked.join(asked.groupBy("doc_id").agg(whole.alias("whole")), "doc_id")
+    home = asked.groupBy("doc_id").agg(whole.alias("whole")).select("doc_id", country_of(F.col("whole")).alias("home"))
+    rows = marked.join(home, "doc_id")
     scanned = F.regexp_replace(swap(swap(F.col("line"), P.RANGE, " "), P.DATE_IN_LINE, " "), r"\b(?:19|20)\d{2}\b", " ")
     rows = rows.select("*", F.posexplode(every(scanned, P.GRADE_NUMBER, False)).alias("pos", "raw"))
     part = lambda k: F.regexp_extract("raw", java(P.GRADE_NUMBER), k)
     rows = rows.withColumn("value", number(part(1))).withColumn("maximum", F.when(part(2) != "", number(part(2))))
-    rows = rows.withColumn("country", country_of(F.col("line"), F.col("context"), F.col("whole")))
+    rows = rows.withColumn("country", F.coalesce(country_of(F.col("line"), F.col("context")), F.col("home")))
     rows = rows.withColumn("scales", candidate_scales(F.col("country"), F.col("line"), F.col("context"), F.col("value")))
     own = F.coalesce(*[F.when(F.col("country") == code, F.lit(low if best_is_low else high)) for code, (_, low, high, best_is_low) in SCALES.items()])
     fits = F.filter("scales", lambda s: F.col("value").between(s["lo"], s["hi"]))

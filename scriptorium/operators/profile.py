@@ -48,7 +48,7 @@ class Profile:
     @cached_property
     def headed(self) -> DataFrame:
         """The lines of documents with a heading."""
-        return checkpointed(lines.lines_of(self.docs.join(self.headings.select("doc_id").distinct(), "doc_id", "left_semi")))
+        return checkpointed(lines.lines_of(self.docs.join(self.headings.select("doc_id").distinct(), "doc_id")))
 
     def _under(self, rows: DataFrame) -> DataFrame:
         return headings.lines_with_section(rows, self.headings.withColumn("display", self._key))
@@ -102,7 +102,8 @@ class Profile:
     def grades(self) -> DataFrame:
         """Grades of the education sections, of the whole text where there is none."""
         own = self._education()
-        return grades.find_grades(own.unionByName(lines.lines_of(self.docs.join(own.select("doc_id").distinct(), "doc_id", "left_anti"))))
+        rest = self.docs.join(own.select("doc_id").distinct().withColumn("_own", F.lit(True)), "doc_id", "left").where("_own IS NULL")  # an anti join would be pushed into the parts of a union
+        return grades.find_grades(own.unionByName(lines.lines_of(rest)))
 
     def _education(self) -> DataFrame:
         return self.named.where("category = 'Education'").select("doc_id", "line_no", "line")
