@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions import patterns as P
 from scriptorium.functions.durable import checkpointed
+from scriptorium.functions.patterns import let
 from scriptorium.functions.spreading import dealt
 from scriptorium.operators.headings import normalise
 from scriptorium.operators.layout import BODY_SIZE, CHAR_WIDTH, LARGER_THAN_BODY, LINE_HEIGHT, MAX_HEADING_WORDS, STYLE_FLOOR
@@ -32,6 +33,7 @@ TITLED_UNDATED = ("Publications & Research", "Projects")
 KINDS = ("title", "bullet", "line", "aside")
 WRAPPED, ANCHOR, PRINTED, BOLD, WIDE_GAP, ASIDE, MARKED = (1 << k for k in range(7))
 Lookup = Callable[[DataFrame], DataFrame]
+_LINES = "array<struct<a:bigint,b:bigint,c:bigint,d:bigint,t:string>>"
 
 
 def _doc() -> Window:
@@ -335,7 +337,7 @@ def filled(rows: DataFrame, lookup: Lookup) -> DataFrame:
     mark = F.regexp_replace("text", r"(?U)^(?:[oO] (?=\p{Lu})|.)\s*", "")
     clean = F.when((F.col("kind") == "bullet") & (F.col("n") == F.col("part")) & F.col("printed"), mark).otherwise(F.col("text"))
     dates = F.when(F.col("kind") == "title", F.regexp_extract("text", P.java(P.RANGE, True), 0))
-    parts = out.withColumns({"text": F.concat("glue", clean), "dates": dates})
+    parts = out.withColumns({"text": F.concat("glue", clean), "dates": dates}).repartition(max(1, rows.rdd.getNumPartitions()), "doc_id")  # dealt as the rows were, for whatever reads the tree by document
     ordered = F.array_sort(F.collect_list(F.struct("n", "text")))
     seen = F.min_by("dates", F.when(F.col("dates") != "", F.col("n")))
     return parts.groupBy("doc_id", "sec", "sub", "part", "entry_no", "kind").agg(F.array_join(F.transform(ordered, lambda p: p["text"]), "").alias("text"), F.coalesce(seen, F.lit("")).alias("dates"), F.min("category").alias("category")).withColumnRenamed("part", "n")
@@ -344,7 +346,7 @@ def filled(rows: DataFrame, lookup: Lookup) -> DataFrame:
 def tree_of(rows: DataFrame, lookup: Lookup, rejoin: bool = True) -> DataFrame:
     """``filled`` rows of documents given as rows with pieces: every rung from features to entries."""
     featured = with_features(wrapped_headings_joined(rows, lookup) if rejoin else rows).drop("pieces", "first", "last")  # the sorts to come carry what is asked later
-    return filled(checkpointed(with_sections(with_headings(featured))), lookup)
+    return filled(checkpointed(with_sections(with_headings(featured)), stays_dealt=not rejoin), lookup)
 
 
 def forest(tree: DataFrame) -> DataFrame:
@@ -355,14 +357,16 @@ def forest(tree: DataFrame) -> DataFrame:
     section's own or, where it has none, those below it. A bare entry has neither bullet nor line, a thin
     one has one of them. Entries that say nothing want attention; items never do.
     """
-    nodes = tree.where("kind <> 'preamble'")
     count = lambda kind: F.sum((F.col("kind") == kind).cast("int"))
-    told = nodes.where("entry_no IS NOT NULL").groupBy("doc_id", "sec", "sub", "entry_no").agg((count("bullet") + count("line")).alias("said"))
-    told = told.groupBy("doc_id", "sec", "sub").agg(F.count("*").alias("entries"), F.sum((F.col("said") == 0).cast("int")).alias("bare"), F.sum((F.col("said") == 1).cast("int")).alias("thin"))
     head = F.col("kind").isin("heading", "subheading")
-    made = nodes.groupBy("doc_id", "sec", "sub").agg(F.max(F.when(head, F.col("text"))).alias("heading"), F.max("category").alias("category"), count("item").alias("items"))
-    owner = made.select("doc_id", "sec").distinct().withColumn("sub", F.lit(0).cast("long"))
-    made = owner.join(made, ["doc_id", "sec", "sub"], "full").join(told, ["doc_id", "sec", "sub"], "left").fillna(0, ["entries", "bare", "thin", "items"])
+    told = tree.where("kind <> 'preamble'").groupBy("doc_id", "sec", "sub", "entry_no").agg((count("bullet") + count("line")).alias("said"), F.max(F.when(head, F.col("text"))).alias("heading"), F.max("category").alias("category"), count("item").alias("items"))
+    of_entries = lambda said: F.sum((F.col("entry_no").isNotNull() & (F.col("said") == said)).cast("int"))
+    made = told.groupBy("doc_id", "sec", "sub").agg(
+        F.max("heading").alias("heading"), F.max("category").alias("category"), F.sum("items").alias("items"), F.count("entry_no").alias("entries"), of_entries(0).alias("bare"), of_entries(1).alias("thin"),
+    ).withColumn("sub", F.col("sub").cast("long"))
+    owner = F.struct(*[(F.lit(0) if c in ("sub", "items", "entries", "bare", "thin") else F.lit(None)).cast(made.schema[c].dataType).alias(c) for c in made.columns[2:]])
+    own, orphan = F.struct(*made.columns[2:]), (F.col("sub") > 0) & (F.col("sub") == F.min("sub").over(Window.partitionBy("doc_id", "sec")))
+    made = made.withColumn("both", F.when(orphan, F.array(owner, own)).otherwise(F.array(own))).select("doc_id", "sec", F.explode("both").alias("r")).select("doc_id", "sec", "r.*")
     section = Window.partitionBy("doc_id", "sec")
     lifted = (F.col("sub") > 0) & F.col("category").isNotNull()
     made = made.withColumn("lifted", lifted)
@@ -394,20 +398,25 @@ def entries_by_heading(tree: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def rendered(tree: DataFrame, nodes: DataFrame) -> DataFrame:
     """doc_id, text: the forest written out in the order of reading, children under their parents, bullets behind hyphens."""
-    place = nodes.select("doc_id", F.col("sec").alias("_sec"), F.col("sub").alias("_sub"), "place", "level", "parent_sec", "heading")
-    closing = F.max(F.when(F.col("parent_sec").isNotNull() | (F.col("_sub") == 0), F.col("place"))).over(Window.partitionBy("doc_id", "_sec"))
-    place = place.withColumn("closes", F.when(F.col("_sub") == 0, closing).otherwise(F.col("place")))
-    body = tree.where("kind NOT IN ('preamble', 'heading', 'subheading')").join(place, (tree["doc_id"] == place["doc_id"]) & (F.col("sec") == F.col("_sec")) & (F.col("sub") == F.col("_sub"))).drop(place["doc_id"])
-    pad = lambda steps: F.repeat(F.lit("  "), F.col("level") + steps)
-    item = F.col("entry_no").isNull()
-    said = F.when(F.col("kind") == "title", F.concat(pad(1), "text")).when(item, F.concat(pad(1), "text")).when(F.col("kind") == "bullet", F.concat(pad(2), F.lit("- "), "text")).otherwise(F.concat(pad(2), "text"))
     row = lambda k1, k2, k3, k4, t: F.struct(k1.cast("long").alias("a"), k2.cast("long").alias("b"), k3.cast("long").alias("c"), k4.cast("long").alias("d"), t.alias("t"))
-    zero = F.lit(0)
-    lines = body.select("doc_id", row(F.col("place"), F.lit(1) + item.cast("int"), F.coalesce("entry_no", zero), F.col("n"), said).alias("r"))
-    heads = place.select("doc_id", row(F.col("place"), zero, zero, zero, F.concat(F.repeat(F.lit("  "), F.col("level")), F.coalesce("heading", F.lit("(section with no readable heading)")))).alias("r"))
-    ends = place.select("doc_id", row(F.col("closes"), F.lit(3), -F.col("level"), F.col("place"), F.lit("")).alias("r"))
-    opening = tree.where("kind = 'preamble'").select("doc_id", row(F.lit(-1), zero, zero, F.col("n"), F.col("text")).alias("r"))
-    after = opening.select("doc_id").distinct().select("doc_id", row(F.lit(-1), F.lit(1), zero, zero, F.lit("")).alias("r"))
-    everything = lines.unionByName(heads).unionByName(ends).unionByName(opening).unionByName(after)
-    text = F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["t"]), "\n")
-    return everything.groupBy("doc_id").agg(F.concat(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("\n")).alias("text"))
+    zero, pad = F.lit(0), lambda level, steps: F.repeat(F.lit("  "), level + steps)
+    closing = F.max(F.when(F.col("parent_sec").isNotNull() | (F.col("sub") == 0), F.col("place"))).over(Window.partitionBy("doc_id", "sec"))
+    closes = F.when(F.col("sub") == 0, closing).otherwise(F.col("place"))
+    title = F.concat(pad(F.col("level"), 0), F.coalesce("heading", F.lit("(section with no readable heading)")))
+    marks = F.array(row(F.col("place"), zero, zero, zero, title), row(F.col("closes"), F.lit(3), -F.col("level"), F.col("place"), F.lit("")))
+    at = F.struct(F.struct("sec", "sub").alias("at"), F.struct("place", "level").alias("to"))
+    placed = nodes.where("doc_id IS NOT NULL").withColumn("closes", closes).groupBy("doc_id").agg(F.flatten(F.collect_list(marks)).alias("marks"), F.map_from_entries(F.collect_list(at)).alias("places"))
+
+    def line(x: Column, to: Column) -> Column:
+        item = x["entry_no"].isNull()
+        said = F.when((x["kind"] == "title") | item, F.concat(pad(to["level"], 1), x["text"])).when(x["kind"] == "bullet", F.concat(pad(to["level"], 2), F.lit("- "), x["text"])).otherwise(F.concat(pad(to["level"], 2), x["text"]))
+        body = F.when(~x["kind"].isin("heading", "subheading") & to.isNotNull(), row(to["place"], F.lit(1) + item.cast("int"), F.coalesce(x["entry_no"], zero), x["n"], said))
+        return F.when(x["kind"] == "preamble", row(F.lit(-1), zero, zero, x["n"], x["text"])).otherwise(body)
+
+    # A document's tree is one row where it lies, and so are its places: nothing of the text is moved.
+    whole = tree.groupBy("doc_id").agg(F.collect_list(F.struct("sec", "sub", "n", "entry_no", "kind", "text")).alias("said")).join(placed, "doc_id", "left")
+    lines = F.filter(F.transform("said", lambda x: let(F.try_element_at("places", F.struct(x["sec"].alias("sec"), x["sub"].alias("sub"))), lambda to: line(x, to))), lambda r: r.isNotNull())
+    after = F.when(F.exists("said", lambda x: x["kind"] == "preamble"), F.array(row(F.lit(-1), F.lit(1), zero, zero, F.lit(""))))
+    everything = F.concat(lines, *(F.coalesce(c, F.array().cast(_LINES)) for c in (F.col("marks"), after)))
+    text = F.array_join(F.transform(F.array_sort(everything), lambda r: r["t"]), "\n")
+    return whole.select("doc_id", F.concat(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit("\n")).alias("text"))
