@@ -80,35 +80,52 @@ def ungrounded_sections(answers: DataFrame, sections: DataFrame) -> DataFrame:
     return grounding(asked, held, ["doc_id", "section"]).where("ungrounded").select("doc_id", "section")
 
 
+def _weighed(claims: DataFrame) -> DataFrame:
+    """doc_id, n, said: each paragraph's claims with known, stems (c), and whether more than a claim to have grown is left."""
+    rows = claims.where("claim IS NOT NULL").withColumn("known", F.coalesce("known", F.lit(False)))
+    rows = rows if "c" in rows.columns else worked(rows, "c", content_words(F.col("claim")))
+    rows = skills_removed(rows.where(F.size("c") > 0).withColumnRenamed("claim", "text"))
+    left = F.when(F.size("removed") == 0, F.lit(True)).otherwise(F.size(content_words(F.col("kept"))) > 0)
+    return rows.where(left).groupBy("doc_id", "n").agg(F.collect_list(F.struct("known", "c")).alias("said"))
+
+
+def _counted(rows: DataFrame, stems: str) -> DataFrame:
+    """``rows`` with claims, known_claims of ``said`` whose stems are half in ``stems``; null below two of them."""
+    rows = worked(rows, "_missing", F.array_except(F.flatten(F.transform("said", lambda x: x["c"])), F.col(stems)))  # what no claim has in its paragraph, found in one pass
+    held = F.filter("said", lambda x: F.size(x["c"]) - F.size(F.array_intersect(x["c"], F.col("_missing"))) >= ANCHOR_SHARE * F.size(x["c"]))
+    rows = worked(rows, "_held", F.when(F.size("_missing") == 0, F.col("said")).otherwise(held))
+    enough = F.size("_held") >= LEAST_CLAIMS
+    known = F.size(F.filter("_held", lambda x: x["known"]))
+    return rows.withColumns({"claims": F.when(enough, F.size("_held").cast("long")), "known_claims": F.when(enough, known.cast("long"))}).drop("_held", "_missing", "said")
+
+
 def claim_counts(body: DataFrame, claims: DataFrame) -> DataFrame:
     """doc_id, n, claims, known_claims of paragraphs with two anchored claims or more.
 
-    ``body`` (doc_id, n, paragraph), ``claims`` (doc_id, n, claim, known). A claim counts if half of its
-    stems are in its paragraph and if more than a claim to have grown is left of it.
+    ``body`` (doc_id, n, paragraph), ``claims`` (doc_id, n, claim, known, and c if their stems are made
+    already). A claim counts if half of its stems are in its paragraph and if more than a claim to have grown
+    is left of it.
     """
-    rows = skills_removed(claims.where("claim IS NOT NULL").withColumnRenamed("claim", "text"))
-    rows = worked(rows.withColumn("known", F.coalesce("known", F.lit(False))), "c", content_words(F.col("text")))
-    rows = worked(rows, "left", F.when(F.size("removed") == 0, F.col("c")).otherwise(content_words(F.col("kept")))).select("doc_id", "n", "known", "c", "left")
-    rows = rows.join(worked(body, "p", content_words(F.col("paragraph"))).select("doc_id", "n", "p"), ["doc_id", "n"])
-    anchored = (F.size("c") > 0) & (F.size("left") > 0) & (F.size(F.array_intersect("c", "p")) >= ANCHOR_SHARE * F.size("c"))
-    return rows.where(anchored).groupBy("doc_id", "n").agg(F.count("*").alias("claims"), F.count_if("known").alias("known_claims")).where(F.col("claims") >= LEAST_CLAIMS)
+    rows = worked(body, "p", content_words(F.col("paragraph"))).select("doc_id", "n", "p").join(_weighed(claims), ["doc_id", "n"])
+    return _counted(rows, "p").select("doc_id", "n", "claims", "known_claims").where("claims IS NOT NULL")
 
 
 def measured_paragraphs(body: DataFrame, known: DataFrame, claims: DataFrame, least: int = 10) -> DataFrame:
     """doc_id, n, opening, words, skill_claims, words_left, claim_share, known_left, claims, known_claims of paragraphs of ten stems or more.
 
-    ``known`` (doc_id, other) is the other document; without one ``known_left`` is null.
+    ``known`` (doc_id, other) is the other document; without one ``known_left`` is null. Its stems can come
+    as k instead, and those of ``claims`` as c.
     """
     rows = worked(skills_removed(body.select("doc_id", "n", F.col("paragraph").alias("text"))), "w", content_words(F.col("text"))).where(F.size("w") >= least)
     rows = worked(rows, "r", F.when(F.size("removed") == 0, F.col("w")).otherwise(content_words(F.col("kept"))))
-    rows = rows.join(worked(known, "k", content_words(F.col("other"))).select("doc_id", "k"), "doc_id", "left")  # stems once a document
+    known = known if "k" in known.columns else worked(known, "k", content_words(F.col("other")))
+    rows = rows.join(known.select("doc_id", "k"), "doc_id", "left").join(_weighed(claims), ["doc_id", "n"], "left")  # stems once a document
     opening = F.substring(F.regexp_replace(F.trim("text"), r"(?U)\s+", " "), 1, 80)
     known_left = F.when(F.size("k") > 0, F.when(F.size("r") == 0, 1.0).otherwise(overlap_share(F.col("r"), F.col("k"))))
-    rows = rows.select(
+    return _counted(rows, "w").select(
         "doc_id", "n", opening.alias("opening"), F.size("w").alias("words"), F.size("removed").alias("skill_claims"), F.size("r").alias("words_left"),
-        F.bround(1 - F.size("r") / F.size("w"), 2).alias("claim_share"), known_left.alias("known_left"),
+        F.bround(1 - F.size("r") / F.size("w"), 2).alias("claim_share"), known_left.alias("known_left"), "claims", "known_claims",
     )
-    return rows.join(claim_counts(body, claims), ["doc_id", "n"], "left")
 
 
 def repetition_candidates(measured: DataFrame) -> DataFrame:
